@@ -209,7 +209,7 @@ def near_duplicate_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     """doc_id, fingerprint (16 hex digits), component_id: the smallest id of the component."""
     keyed = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     member = near_duplicates(keyed, ["doc_id"])
-    smallest = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    smallest = cut_lineage(member.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     return member.join(smallest, "root").select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
