@@ -30,7 +30,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            ids = [np.frombuffer(b"".join(w[0] for w in enc.words(t.as_py())), np.int32) for t in batch.column("text_")]
+            ids = [np.frombuffer(enc.ids(t.as_py()), np.int32) for t in batch.column("text_")]
             ends = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
             values = pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
@@ -43,12 +43,10 @@ def encode_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", t
 
 def decode_documents(encoded: DataFrame, vocabulary: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
     """doc_id and ``text``: what the library's decode gives for the ids, special tokens included."""
+    from covlattice.llm.wordbpe import encoder
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        lib = Tokenizer.from_file(vocabulary)
-        shown = [lib.id_to_token(i) for i in range(lib.get_vocab_size(with_added_tokens=True))]
+        shown = encoder(vocabulary).shown
         for batch in batches:
             texts = [" ".join([shown[i] for i in x or ()]) for x in batch.column("ids_").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts)], names=["doc_id", "text"])
@@ -61,7 +59,7 @@ def encoding_digests(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", t
     """doc_id, n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256.
 
     Ids and decoded text of a document are put together from those of its
-    words, hashed and let go, so that a task holds one document's at a time.
+    runs, hashed and let go, so that a task holds one document's at a time.
     """
     from covlattice.llm.wordbpe import encoder
 
@@ -70,10 +68,10 @@ def encoding_digests(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", t
         for batch in batches:
             counts, ids, decoded = [], [], []
             for t in batch.column("text_"):
-                words = enc.words(t.as_py())
-                counts.append(sum([len(w[0]) for w in words]) // 4)
-                ids.append(hashlib.sha256(" ".join([w[1] for w in words if w[1]]).encode()).hexdigest())
-                decoded.append(hashlib.sha256(" ".join([w[2] for w in words if w[1]]).encode()).hexdigest())
+                shown, tokens = enc.strings(t.as_py())
+                counts.append(shown.count(" ") + 1 if shown else 0)
+                ids.append(hashlib.sha256(shown.encode()).hexdigest())
+                decoded.append(hashlib.sha256(tokens.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

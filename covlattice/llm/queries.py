@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from covlattice.llm import decontaminate, quality, simhash
+from covlattice.llm import bpe, decontaminate, quality, simhash
 from covlattice.llm.common import table
 
 
@@ -85,6 +85,18 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 """
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of the encoding and decoding of every document."""
+    return bpe.encoding_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicate_report(table(spark, sf_dir, "documents"))
@@ -93,6 +105,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op8_decontaminate": op8_decontaminate,
+    "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
 }
 

@@ -5,7 +5,7 @@ text may be cut there: the fragments are encoded on their own and their ids are
 put one after the other.  White space is in no token of such a vocabulary, so
 every text falls into words, words into the runs of the tokenizer's own split
 pattern, and runs into fragments between forced boundaries; the last fragment
-of a run carries the word end.  Words repeat, so a worker keeps the encodings
+of a run carries the word end.  Runs repeat, so a worker keeps the encodings
 of those it has met, a bounded number of them.
 
 Words with characters outside the plain Latin blocks (where normalisation or
@@ -16,21 +16,32 @@ library, which also makes the merges of every fragment.
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 from array import array
 from collections.abc import Iterable
 
-import regex
 from tokenizers import Tokenizer, models
 
-#: Words that a worker remembers.
-REMEMBERED = 150_000
+#: Runs that a worker remembers.
+REMEMBERED = 400_000
 
-#: The split pattern of the vocabulary.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-
-#: Letters, digits and signs of the Latin blocks: composed already, and lower-cased one by one.
-_PLAIN = regex.compile(r"[!-~¡-įı-ɏ]+")
 _SPACES = " \t\n\r\x0b\x0c"
+_BREAKS = dict.fromkeys(map(ord, _SPACES), " ")
+
+
+def _latin(kind: str) -> str:
+    """Characters of the Latin blocks above ASCII of a general category."""
+    return "".join(chr(c) for c in range(0xA1, 0x250) if unicodedata.category(chr(c))[0] == kind)
+
+
+#: Anything but ASCII text and Latin signs that are composed already and lower-cased one by one.
+_ODD = re.compile(r"[^ \t\n\r\x0b\x0c!-~\xa1-\u012f\u0131-\u024f]")
+
+#: The vocabulary's split pattern (a fixed value), its letter and digit classes written out for such text.
+_RUN = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_latin('L')}]+|[0-9{_latin('N')}]|[^ \t\n\r\x0b\x0ca-z0-9{_latin('L')}{_latin('N')}]+"
+)
 
 
 def byte_alphabet() -> list[str]:
@@ -53,7 +64,7 @@ def inner_pairs(tokens: Iterable[str], word_end: str = "</w>") -> bytearray:
 
 
 class WordEncoder:
-    """Ids and token strings of words, as the tokenizer of the file gives them."""
+    """Ids of texts as the tokenizer of the file gives them."""
 
     def __init__(self, path: str):
         self._whole = Tokenizer.from_file(path)
@@ -62,58 +73,77 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, vocab = spec["model"], spec["model"]["vocab"]
-        self._word_end = model["end_of_word_suffix"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self._inner = models.BPE(vocab=vocab, merges=merges)
         self._last = self._whole.model
         self._special = [t["content"] for t in spec["added_tokens"]]
-        self._pairs = inner_pairs(vocab, self._word_end)
+        self._pairs = inner_pairs(vocab, model["end_of_word_suffix"])
         if any(self._pairs[s << 8 | b] or self._pairs[b << 8 | s] for s in _SPACES.encode() for b in range(256)):
             raise ValueError("a token of this vocabulary spans white space; it can't be cut there")
         self._alphabet = dict(enumerate(byte_alphabet()))
-        self._find = regex.compile(PATTERN).findall
-        self._known: dict[str, tuple[bytes, str, str]] = {}
+        size = self._whole.get_vocab_size(with_added_tokens=True)
+        #: The string of each id.
+        self.shown = [self._whole.id_to_token(i) for i in range(size)]
+        self._ids: dict[str, bytes] = {}
+        self._strings: dict[str, tuple[str, str]] = {}
 
     def cuts(self, data: bytes) -> list[int]:
         """Places in ``data`` where a boundary is forced."""
         pairs = self._pairs
         return [i for i in range(1, len(data)) if not pairs[data[i - 1] << 8 | data[i]]]
 
-    def _encode_run(self, run: str) -> list[tuple[int, str]]:
+    def _encode(self, run: str) -> list[int]:
+        """Ids of a run, or of a word that only the library can split (it is led by a space)."""
+        if run[0] == " ":
+            return self._whole.encode(run[1:], add_special_tokens=False).ids
         data = run.encode()
         shown = data.decode("latin-1").translate(self._alphabet)
         out, at = [], 0
         for cut in self.cuts(data):
-            out += [(t.id, t.value) for t in self._inner.tokenize(shown[at:cut])]
+            out += [t.id for t in self._inner.tokenize(shown[at:cut])]
             at = cut
-        return out + [(t.id, t.value) for t in self._last.tokenize(shown[at:])]
-
-    def _encode_word(self, word: str) -> tuple[bytes, str, str]:
-        if _PLAIN.fullmatch(word) and not any(s in word for s in self._special):
-            tokens = [t for run in self._find(word.lower()) for t in self._encode_run(run)]
-            ids, shown = [t[0] for t in tokens], [t[1] for t in tokens]
-        else:
-            found = self._whole.encode(word, add_special_tokens=False)
-            ids, shown = found.ids, found.tokens
-        return array("I", ids).tobytes(), " ".join(map(str, ids)), " ".join(shown)
-
-    def words(self, text: str | None) -> list[tuple[bytes, str, str]]:
-        """For each word of the text: its ids as 32-bit numbers, as decimal text, and its tokens' strings."""
-        known = self._known
+        return out + [t.id for t in self._last.tokenize(shown[at:])]
+
+    def runs(self, text: str | None) -> list[str]:
+        """The runs of a text, in order; words left to the library are led by a space."""
+        if not text:
+            return []
+        if not _ODD.search(text) and not any(s in text for s in self._special):
+            return _RUN.findall(text.lower())
         out = []
-        for word in (text or "").translate(_BREAKS).split(" "):
-            if word:
-                got = known.get(word)
-                if got is None:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    got = known[word] = self._encode_word(word)
-                out.append(got)
+        for word in text.translate(_BREAKS).split(" "):
+            if word and (_ODD.search(word) or any(s in word for s in self._special)):
+                out.append(" " + word)
+            elif word:
+                out += _RUN.findall(word.lower())
         return out
 
+    def ids(self, text: str | None) -> bytes:
+        """Ids of the text as 32-bit numbers in the machine's order."""
+        known, out = self._ids, []
+        for run in self.runs(text):
+            got = known.get(run)
+            if got is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                got = known[run] = array("I", self._encode(run)).tobytes()
+            out.append(got)
+        return b"".join(out)
+
+    def strings(self, text: str | None) -> tuple[str, str]:
+        """Ids of the text in decimal, and their tokens, each joined by one space."""
+        known, out = self._strings, []
+        for run in self.runs(text):
+            got = known.get(run)
+            if got is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                ids = self._encode(run)
+                got = known[run] = (" ".join(map(str, ids)), " ".join([self.shown[i] for i in ids]))
+            if got[0]:
+                out.append(got)
+        return " ".join([x[0] for x in out]), " ".join([x[1] for x in out])
 
-#: Only these are boundaries; other white space stays inside a word for the library.
-_BREAKS = dict.fromkeys(map(ord, _SPACES), " ")
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
