@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from covlattice.llm import bpe, decontaminate, quality, simhash
+from covlattice.llm import bpe, decontaminate, quality, sharding, simhash, urls
 from covlattice.llm.common import table
 
 
@@ -51,6 +51,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f
 """
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document by the law of equal bytes."""
+    return sharding.shard_report(table(spark, sf_dir, "documents"))
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    return urls.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a window of a benchmark item."""
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -104,6 +114,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_sharding": op2_sharding,
+    "op4_urls": op4_urls,
     "op8_decontaminate": op8_decontaminate,
     "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
