@@ -8,12 +8,10 @@ may write a stage's result as Parquet and read it back as the next one's input;
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
 
 from covlattice.llm import bpe, decontaminate, quality, simhash
-from covlattice.llm.common import ensure_checkpoint_dir, table
+from covlattice.llm.common import shared_folder, table
 from covlattice.llm.queries import vocabulary
 
 
@@ -50,8 +48,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; results between them are tables in the checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid4().hex}"
+    folder = shared_folder(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from covlattice.llm import bpe, decontaminate, quality, sharding, simhash, urls
-from covlattice.llm.common import table
+from covlattice.llm import bpe, decontaminate, quality, sharding, simhash, tokencount, tokenfiles, urls
+from covlattice.llm.common import shared_folder, table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +102,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op6_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, from files written and read back."""
+    path = shared_folder(spark, "op6")
+    tokenfiles.write_token_files(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=2)
+    return tokenfiles.token_file_report(tokenfiles.read_token_files(spark, path))
+
+
+def op7_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of the encoding and decoding of every document."""
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
@@ -116,6 +128,8 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_sharding": op2_sharding,
     "op4_urls": op4_urls,
+    "op6_tokenfiles": op6_tokenfiles,
+    "op7_tokencount": op7_tokencount,
     "op8_decontaminate": op8_decontaminate,
     "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
