@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from covlattice.llm import bpe, decontaminate, quality, sharding, simhash, tokencount, tokenfiles, urls
+from covlattice.llm import bpe, decontaminate, quality, sharding, simhash, tokencount, tokenfiles, urls, warc
 from covlattice.llm.common import shared_folder, table
 
 
@@ -102,6 +102,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion record of every page's response."""
+    return warc.derivative_report(table(spark, sf_dir, "pages"))
+
+
 def op6_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, length and checksum of every document's ids, from files written and read back."""
     path = shared_folder(spark, "op6")
@@ -128,6 +133,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_sharding": op2_sharding,
     "op4_urls": op4_urls,
+    "op5_warc": op5_warc,
     "op6_tokenfiles": op6_tokenfiles,
     "op7_tokencount": op7_tokencount,
     "op8_decontaminate": op8_decontaminate,
