@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from covlattice.llm import bpe, decontaminate, quality, sharding, simhash, tokencount, tokenfiles, urls, warc
+from covlattice.llm import bpe, decontaminate, licenses, quality, sharding, simhash, tokencount, tokenfiles, urls, warc
 from covlattice.llm.common import shared_folder, table
 
 
@@ -56,6 +56,44 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document."""
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
+_NOTICES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(licenses.TEMPLATES.items()))
+
+OP3_SQL = rf"""
+WITH t(template, text) AS (VALUES {_NOTICES}),
+tw AS (
+  SELECT template, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS ws FROM t
+), ts AS (
+  SELECT DISTINCT template, array_to_string(ws[i:i + 4], ' ') AS s
+  FROM (SELECT template, ws, unnest(range(1, len(ws) - 3)) AS i FROM tw)
+), tn AS (
+  SELECT template, n, w, greatest(1, w // 4) AS stride FROM (
+    SELECT template, count(*) AS n, CASE count(*) WHEN 1 THEN 1 ELSE (2 ** ceil(log2(count(*) * 4 / 3)))::BIGINT END AS w
+    FROM ts GROUP BY template)
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS ws
+  FROM documents
+), ds AS (
+  SELECT r, i, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)
+), m AS (
+  SELECT r, i - 1 AS p, ts.template, ds.s, n, w, stride FROM ds JOIN ts ON ds.s = ts.s JOIN tn ON ts.template = tn.template
+), win AS (
+  SELECT r, template, n, s, unnest(range(greatest(0, (p - w) // stride + 1) * stride, p + 1, stride)) AS start FROM m
+), ok AS (
+  SELECT DISTINCT r, template FROM (
+    SELECT r, template, start FROM win GROUP BY r, template, start, n HAVING count(DISTINCT s) >= 0.8 * n)
+), l AS (
+  SELECT r, count(*) AS n, string_agg(template, ',' ORDER BY template) AS names FROM ok GROUP BY r
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_licenses, coalesce(names, '') AS licenses FROM d LEFT JOIN l USING (r)
+"""
+
+
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL."""
     return urls.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
@@ -132,6 +170,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_sharding": op2_sharding,
+    "op3_licenses": op3_licenses,
     "op4_urls": op4_urls,
     "op5_warc": op5_warc,
     "op6_tokenfiles": op6_tokenfiles,
@@ -143,5 +182,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_quality": OP1_SQL,
+    "op3_licenses": OP3_SQL,
     "op8_decontaminate": OP8_SQL,
 }
