@@ -289,9 +289,9 @@ def valid_edges(s: SparkSession, d: str) -> DataFrame:
 def dense_edge_labels(s: SparkSession, d: str) -> DataFrame:
     marked = graph.mark_valid(view.edges(s, d), view.nodes(s, d))
     samples = s.range(16).select(F.col("id").alias("sample"), (F.col("id") % 8).alias("graph"), F.when(F.col("id") < 8, 0).alias("default_label"))
-    at = view.edges(s, d).select("graph", "position", "order_key")
-    given = at.where("order_key % 3 = 0").select("graph", "position", F.lit(0).alias("at"), F.lit(1).alias("label")).unionByName(
-        at.where("order_key % 9 = 0").select("graph", "position", F.lit(1).alias("at"), F.lit(0).alias("label"))
+    at = view.edges(s, d).select("graph", "position", "edge_type")
+    given = at.where("edge_type IN (0, 3)").select("graph", "position", F.lit(0).alias("at"), F.lit(1).alias("label")).unionByName(
+        at.where("edge_type = 3").select("graph", "position", F.lit(1).alias("at"), F.lit(0).alias("label"))
     )
     given = given.select(F.col("graph").alias("sample"), "position", "at", "label")
     made = graph.dense_edge_labels(marked, samples, given)

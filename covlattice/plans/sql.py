@@ -248,7 +248,7 @@ ORACLES = {
     "matched_predictions": _BOXES + """ SELECT sample::VARCHAR AS sample_id, module, round(avg(exp(lv)), 6) AS mean_volume FROM vol GROUP BY sample, module""",
     "valid_edges": _EDGES + " SELECT graph, edge_type, count(*) AS n, round(sum(m), 6) AS total FROM valid GROUP BY ALL",
     "dense_edge_labels": _EDGES + """, given AS (
-        SELECT graph, position, max(CASE WHEN order_key % 9 = 0 THEN 0 WHEN order_key % 3 = 0 THEN 1 END) AS label FROM edges GROUP BY ALL),
+        SELECT graph, position, CASE WHEN bool_or(edge_type = 3) THEN 0 WHEN bool_or(edge_type = 0) THEN 1 END AS label FROM edges GROUP BY ALL),
       s AS (SELECT i AS sample, i % 8 AS graph, CASE WHEN i < 8 THEN 0 ELSE -1 END AS d FROM (SELECT unnest(range(16)) AS i)),
       x AS (SELECT sample, s.graph, coalesce(CASE WHEN sample < 8 THEN label END, d)::INT AS label
             FROM s JOIN valid v ON v.graph = s.graph LEFT JOIN given g ON g.graph = v.graph AND g.position = v.position)
