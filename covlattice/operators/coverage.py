@@ -30,8 +30,8 @@ def coverage_items(samples: DataFrame) -> DataFrame:
     bad = F.when(
         F.col("i").isNotNull() & ((F.col("i.id") < 0) | (F.col("i.id") >= F.col("n_elements"))), F.lit("coverage id out of range")
     ).when(F.col("i").isNotNull() & ~label.isin(0, 1), F.lit("coverage label is neither 0 nor 1"))
-    checked = item.withColumn("id", F.when(bad.isNotNull(), F.raise_error(bad).cast("int")).otherwise(F.col("i.id")))
-    return checked.select("module", "sample", "ctype", "n_elements", F.when(label == 1, F.col("id")).alias("element_id"))
+    element = F.when(bad.isNotNull(), F.raise_error(bad).cast("int")).when(label == 1, F.col("i.id"))
+    return item.select("module", "sample", "ctype", "n_elements", element.alias("element_id"))
 
 
 def signatures(coverage: DataFrame, order: list[str] = GEOMETRY_ORDER) -> DataFrame:
