@@ -24,7 +24,9 @@ from collections.abc import Iterable
 from tokenizers import Tokenizer, models
 
 #: Runs that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Runs of up to so many bytes are not cut further: a merge of so few symbols costs less than the search for cuts.
+WHOLE_BYTES = 16
 
 _SPACES = " \t\n\r\x0b\x0c"
 _BREAKS = dict.fromkeys(map(ord, _SPACES), " ")
@@ -96,6 +98,8 @@ class WordEncoder:
         """Ids of a run, or of a word that only the library can split (it is led by a space)."""
         if run[0] == " ":
             return self._whole.encode(run[1:], add_special_tokens=False).ids
+        if len(run) <= WHOLE_BYTES and run.isascii():  # printable ASCII stands for itself
+            return [t.id for t in self._last.tokenize(run)]
         data = run.encode()
         shown = data.decode("latin-1").translate(self._alphabet)
         out, at = [], 0
