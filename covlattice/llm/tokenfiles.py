@@ -35,13 +35,13 @@ from covlattice.llm.sharding import place_among
 
 #: Size of the dictionary, and the documents and bytes of ids that it is trained on at most.
 DICTIONARY_BYTES = 64 * 1024
-SAMPLE_DOCUMENTS, SAMPLE_BYTES = 1_000, 8 << 20
+SAMPLE_DOCUMENTS, SAMPLE_BYTES = 500, 4 << 20
 #: Longer texts are not trained on.
 SAMPLE_CHARS = 1 << 15
 #: Bytes of frames in a segment, about.
 SEGMENT_BYTES = 1 << 20
 #: Rows that a range of ids is meant to hold.
-PART_ROWS = 20_000
+PART_ROWS = 5_000
 LEVEL = 3
 
 
@@ -66,9 +66,9 @@ def _sample(docs: DataFrame, vocabulary: str, end_id: int, width: int) -> list[b
     from covlattice.llm.wordbpe import encoder
 
     short = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
-    few = short.select("text").limit(SAMPLE_DOCUMENTS)
+    few = short.select("text").limit(SAMPLE_DOCUMENTS).collect()
     enc, out, size = encoder(vocabulary), [], 0
-    for row in few.toLocalIterator():
+    for row in few:
         out.append(_serialised(enc, row["text"], end_id, width).tobytes())
         size += len(out[-1])
         if size > SAMPLE_BYTES:
