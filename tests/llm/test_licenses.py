@@ -12,7 +12,8 @@ def words(t):
 
 
 def brute(text):
-    h = [tuple(words(text)[i : i + 5]) for i in range(len(words(text)) - 4)]
+    own = words(text)
+    h = [tuple(own[i : i + 5]) for i in range(len(own) - 4)]
     found = []
     for name, t in licenses.TEMPLATES.items():
         w = words(t)
@@ -44,7 +45,7 @@ def test_report_is_that_of_brute_force(spark, licensed):
 
 
 def test_many_templates_take_the_shuffled_way(spark, licensed, monkeypatch):
-    few = spark.createDataFrame(licensed[:30], SCHEMA)
+    few = spark.createDataFrame([x for x in licensed[:30] if len(x[1] or '') < 2000], SCHEMA)
     want = sorted(map(tuple, licenses.license_report(few).collect()), key=str)
     monkeypatch.setattr(licenses, "FEW", 0)
     assert sorted(map(tuple, licenses.license_report(few).collect()), key=str) == want
