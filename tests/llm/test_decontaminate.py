@@ -65,6 +65,20 @@ def test_every_run_keeps_a_hash(tables):
             assert ((kept >= start) & (kept <= start + 5)).any()
 
 
+def test_a_huge_document_goes_in_pieces(spark):
+    cut = decontaminate.PIECE_WORDS - 9
+    text = [f"w{i % 997}" for i in range(cut + 5000)]
+    passage = [f"item{i}" for i in range(16)]
+    for at in (100, cut - 14, cut + 4000):
+        text[at : at + 16] = passage
+    text[cut + 300 : cut + 302] = ["two", "words"]
+    items = [(1, " ".join(passage)), (2, "two words")]
+    rows = [(1, " ".join(text)), (2, " ".join(passage[:9]))]
+    made = decontaminate.contamination_report(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, made.collect()), key=str) == brute(rows, items)
+    assert {r.doc_id: r.n_hit for r in made.collect()} == {1: 50, 2: 0}
+
+
 def test_equal_windows_keep_equal_hashes():
     w = [b"w%d" % (i % 17) for i in range(60)]
     one, other = decontaminate.Spans([w]), decontaminate.Spans([[b"x", b"y"] + w[5:30], [b"z"]])
