@@ -9,9 +9,9 @@ to it at least, and is retrieved with a probability of 1 - 0.72 ** 32, over
 0.99997 (an exact copy: over 0.9999999).  Retrieved pairs are verified by the
 share of the template's distinct shingles that the window holds.
 
-Where the templates' keys are few (checked), documents without any shingle of a
-template stop at once, and windows without a retrieved key are not exploded;
-with more templates the same joins run without these two filters.
+Where the templates' keys are few (checked), documents and windows without any
+shingle of a template stop at once, and windows without a retrieved key are not
+exploded; with more templates the same joins run without these filters.
 
 Defined results: null texts and texts under five words hold no license; a
 template's own text does; equal rows get equal results, one each; empty tables
@@ -127,26 +127,25 @@ def license_matches(
     keys = [r["k"] for r in known.select(F.explode("keys").alias("k")).distinct().collect()] if few else None
     tried = light.where("size(hashes) > 0")
     filed = known.select("template", "width", "shingles", F.explode("keys").alias("key"))
-    matches = None
-    for kind in kinds:
-        width, stride = kind["width"], kind["stride"]
-        windows = tried.select(
-            "row_",
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(1), F.size("hashes"), F.lit(stride)),
-                    lambda i: F.struct((i - 1).alias("start_word"), F.slice("hashes", i, width).alias("window")),
-                )
-            ).alias("w"),
-        ).select("row_", "w.start_word", "w.window", minima(F.col("w.window")).alias("found"))
-        found = F.col("found") if keys is None else F.filter("found", lambda k: k.isin(keys))
-        looked = windows.select("row_", "start_word", "window", F.explode(found).alias("key"))
-        own = filed.where(F.col("width") == width)
-        met = looked.join(F.broadcast(own) if few else own, "key").select("row_", "start_word", "window", "template", "shingles")
-        share = F.size(F.array_intersect("window", "shingles")) / F.size("shingles")
-        met = met.withColumn("containment", share).where(F.col("containment") >= CONTAINMENT)
-        met = met.select("row_", "template", "start_word", "containment")
-        matches = met if matches is None else matches.unionByName(met)
+    sizes = F.array(*[F.struct(F.lit(k["width"]).alias("width"), F.lit(k["stride"]).alias("stride")) for k in kinds])
+    each = F.flatten(
+        F.transform(
+            sizes,
+            lambda k: F.transform(
+                F.sequence(F.lit(1), F.size("hashes"), k["stride"]),
+                lambda i: F.struct(k["width"].alias("width"), (i - 1).alias("start_word"), F.slice("hashes", i, k["width"]).alias("window")),
+            ),
+        )
+    )
+    windows = tried.select("row_", F.explode(each).alias("w"))
+    if few:  # a window without any shingle of a template holds no share of one
+        windows = windows.where(F.exists("w.window", lambda h: h.isin(wanted)))
+    windows = windows.select("row_", "w.width", "w.start_word", "w.window", minima(F.col("w.window")).alias("found"))
+    found = F.col("found") if keys is None else F.filter("found", lambda k: k.isin(keys))
+    looked = windows.select("row_", "width", "start_word", "window", F.explode(found).alias("key"))
+    met = looked.join(F.broadcast(filed) if few else filed, ["width", "key"])
+    share = F.size(F.array_intersect("window", "shingles")) / F.size("shingles")
+    matches = met.select("row_", "template", "start_word", share.alias("containment")).where(F.col("containment") >= CONTAINMENT)
     best = F.max(F.struct("containment", (-F.col("start_word")).alias("at"))).alias("b")
     matches = matches.groupBy("row_", "template").agg(best)
     return light.select("row_", "doc_id"), matches.select(
