@@ -40,8 +40,8 @@ SAMPLE_DOCUMENTS, SAMPLE_BYTES = 500, 4 << 20
 SAMPLE_CHARS = 1 << 15
 #: Bytes of frames in a segment, about.
 SEGMENT_BYTES = 1 << 20
-#: Rows that a range of ids is meant to hold.
-PART_ROWS = 5_000
+#: Rows that a range of ids is meant to hold, and ranges at most (larger ones from then on: their bounds are in the plan).
+PART_ROWS, PARTS = 5_000, 16_384
 LEVEL = 3
 
 
@@ -144,7 +144,7 @@ def write_token_files(
         ("frames", pa.binary()),
     ])
     rows = docs.select("doc_id").where("doc_id IS NOT NULL")
-    parts = max(1, -(-rows.count() // PART_ROWS))
+    parts = min(PARTS, max(1, -(-rows.count() // PART_ROWS)))
     cuts = [k / parts for k in range(1, parts)]
     bounds = rows.approxQuantile("doc_id", cuts, 0.1 / parts) if cuts else []
     bounds = sorted({int(b) for b in bounds})
