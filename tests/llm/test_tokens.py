@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from covlattice.llm import bpe, tokencount, tokenfiles
+from covlattice.llm import bpe, tokencount, tokenfiles, wordbpe
 from covlattice.llm.wordbpe import WordEncoder
 
 
@@ -35,6 +35,16 @@ def test_encoding_is_the_librarys(own, library):
         assert own.strings(text) == (" ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))
 
 
+def test_forgotten_runs_are_encoded_again(own, vocabulary, monkeypatch):
+    monkeypatch.setattr(wordbpe, "REMEMBERED", 4)
+    small = WordEncoder(vocabulary("word_bpe_49k.json"))
+    for text in ("one two three one four five one six two " * 3, "seven one eight", "one one", ""):
+        assert small.ids(text) == own.ids(text) and small.strings(text) == own.strings(text)
+    made = []
+    memory = wordbpe.Memory(lambda run: made.append(run) or run)
+    assert memory.of(list("aabacada")) == list("aabacada") and made == list("abcd")
+
+
 def test_boundaries_are_forced_and_cut_long_runs(own, library):
     data = ("zqxjkwvq" * 40).encode()
     assert len(own.cuts(data)) > 40
