@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from covlattice.functions import scalar
 from covlattice.functions.text import format_block, shuffle_key, stable_seed
-from covlattice.operators import batching, coverage, geometry, graph, inference, losses, metrics, pairs, splits, stats
+from covlattice.functions.vocab import CELL_TYPES, TARGET_ORDER, agg_group, cell_code, coverage_index, edge_code, node_code
+from covlattice.operators import batching, coverage, encoder, geometry, graph, inference, losses, metrics, pairs, splits, stats
 from covlattice.plans import adapters as view
+from covlattice.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -429,3 +431,168 @@ def stable_seeds(s: SparkSession, d: str) -> DataFrame:
     nation = view.table(s, d, "nation")
     return nation.select("n_nationkey", F.substring(F.sha2(F.concat_ws("|", F.lit("42"), "n_name").cast("binary"), 256), 1, 16).alias("prefix"), shuffle_key(F.lit("42"), F.col("n_name")).alias("shuffle"),
                          F.length(stable_seed(F.lit("42"), F.col("n_name"))).between(1, 20).alias("seeded"))
+
+
+# --- codes, targets, validation ---------------------------------------------------------------
+
+
+@query
+def type_codes(s: SparkSession, d: str) -> DataFrame:
+    """Codes of cell, node and edge types; every name that no vocabulary holds has the default."""
+    part = view.table(s, d, "part")
+    cells = F.array(*[F.lit(c) for c in [*CELL_TYPES, "input", "output", "$other"]])
+    cell = F.get(cells, (F.col("p_partkey") % (len(CELL_TYPES) + 3)).cast("int"))
+    kind = F.get(F.array(*[F.lit(k) for k in ("DATA", "CONTROL", "ENABLE", "other")]), (F.col("p_size") % 4).cast("int"))
+    coded = part.select(cell_code(cell).alias("cell"), node_code(cell).alias("node_type"), edge_code(kind).alias("edge_type"))
+    return coded.withColumn("agg_group", agg_group(F.col("node_type"))).groupBy("cell", "node_type", "agg_group", "edge_type").agg(F.count("*").alias("n"))
+
+
+@query
+def graph_targets(s: SparkSession, d: str) -> DataFrame:
+    """Shares in the order of the targets; types without a value stay null."""
+    part = view.table(s, d, "part")
+    given = F.map_from_entries(F.array(F.struct(F.lit("line"), F.col("p_size").cast("double")), F.struct(F.lit("toggle"), F.col("p_retailprice") / 100)))
+    samples = part.select(F.col("p_partkey").alias("sample"), F.when(F.col("p_partkey") % 5 != 0, given).alias("values"))
+    made = graph.graph_targets(samples, TARGET_ORDER).select("sample", F.posexplode("y").alias("k", "y"))
+    return made.select("sample", F.get(F.array(*[F.lit(c) for c in TARGET_ORDER]), F.col("k")).alias("ctype"), r6("y"))
+
+
+@query
+def covered_items(s: SparkSession, d: str) -> DataFrame:
+    """Nested coverage vectors as checked rows: no label counts as covered, label 0 as uncovered."""
+    li = view.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    label = F.when(F.col("l_returnflag") == "N", 0).when(F.col("l_returnflag") == "A", 1)
+    items = F.collect_list(F.struct((F.col("l_linenumber") - 1).cast("int").alias("id"), label.alias("label")))
+    vector = F.struct(F.lit(7).alias("element_count"), items.alias("items"))
+    samples = li.groupBy(F.lit(0).alias("module"), F.col("l_orderkey").alias("sample")).agg(F.create_map(F.lit("line"), vector).alias("coverage_vectors"))
+    rows = coverage.coverage_items(samples).withColumn("place", coverage_index(F.col("ctype")))
+    return rows.groupBy("sample", "ctype", "place").agg(F.count("element_id").alias("covered"), F.count("*").alias("n_items"))
+
+
+# --- pooled and propagated vectors ------------------------------------------------------------
+
+
+def _tokens(s: SparkSession, d: str) -> DataFrame:
+    return view.table(s, d, "embeddings").select(
+        F.col("label").alias("text_id"), F.col("vec_id").alias("position"), (F.col("vec_id") % 3 != 0).alias("attended"),
+        F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("x"),
+    )
+
+
+@query
+def token_pool(s: SparkSession, d: str) -> DataFrame:
+    """Mean of the attended tokens and the first token, by text and dimension."""
+    t = _tokens(s, d)
+    mean, first = (encoder.token_pool(t, p).select("text_id", F.posexplode("x").alias("dim", p)) for p in ("mean", "cls"))
+    return mean.join(first, ["text_id", "dim"]).select("text_id", "dim", r6("mean"), r6("cls", "first"))
+
+
+@query
+def gcn_propagate(s: SparkSession, d: str) -> DataFrame:
+    """One normalised propagation of (1, node type) over valid edges."""
+    e, n = view.edges(s, d), view.nodes(s, d)
+    x = n.select("graph", "node", F.array(F.lit(1.0), F.col("node_type").cast("double")).alias("x"))
+    made = graph.gcn_propagate(graph.valid_edges(e, n), x)
+    return made.select("graph", "node", r6(F.get("x", F.lit(0)), "x0"), r6(F.get("x", F.lit(1)), "x1"))
+
+
+@query
+def cell_features(s: SparkSession, d: str) -> DataFrame:
+    """Layer-normalised sum of a type's vector and the log width times a weight."""
+    nodes = view.nodes(s, d).select("graph", "node", F.col("node_type").alias("cell"), (F.col("node_type") * 3 + F.col("graph")).alias("width"))
+    cells = s.range(12).select(F.col("id").cast("int").alias("code"), F.array(F.col("id") / 4, F.col("id") % 3 - 1.0, F.lit(0.5)).alias("vector"))
+    made = encoder.node_features(nodes, cells, [0.5, -0.25, 1.0])
+    return made.select("graph", "node", *[r6(F.get("x", F.lit(k)), f"x{k}") for k in range(3)])
+
+
+@query
+def combined_graphs(s: SparkSession, d: str) -> DataFrame:
+    """Mean vectors of two halves of a label's dimensions, added."""
+    v = view.table(s, d, "embeddings").select(F.col("label").alias("graph"), F.col("embedding").cast("array<double>").alias("e"))
+    a, b = (graph.mean_pool(v.select("graph", F.slice("e", at, 4).alias("x"))) for at in (1, 5))
+    return graph.combine_graphs(a, b, "add").select("graph", F.posexplode("x").alias("dim", "v")).select("graph", "dim", r6("v"))
+
+
+@query
+def aggregation_mix(s: SparkSession, d: str) -> DataFrame:
+    """Shares of sum, mean and maximum by aggregation group of the nodes."""
+    nodes = view.nodes(s, d).withColumn("agg_group", agg_group(F.col("node_type")))
+    selector = s.range(10).select(F.col("id").cast("int").alias("code"), F.array(F.col("id") / 10, F.lit(0.5), 1 - F.col("id") / 5).alias("logits"))
+    made = graph.agg_mix(nodes, selector).select("agg_group", *[F.get("mix", F.lit(k)).alias(n) for k, n in enumerate(("sum", "mean", "max"))])
+    return made.groupBy("agg_group").agg(F.count("*").alias("n"), *[r6(F.avg(n), n) for n in ("sum", "mean", "max")])
+
+
+# --- pairs with their ends, rank correlation of boxes, module coverage ------------------------
+
+
+@query
+def pair_records(s: SparkSession, d: str) -> DataFrame:
+    """Chosen pairs with what is covered at both ends."""
+    sigs = _sigs(s, d)
+    covered = sigs.select("module", "sample", F.aggregate("sig", F.lit(0), lambda n, t: n + t["c"]).alias("covered"))
+    a, b = (covered.select("module", F.col("sample").alias(f"sample_{e}"), F.col("covered").alias(f"covered_{e}")) for e in "ab")
+    chosen = pairs.select_pairs(_strata(s, d)).select("module", "sample_a", "sample_b", "stratum")
+    return chosen.join(a, ["module", "sample_a"]).join(b, ["module", "sample_b"]).select("module", "sample_a", "sample_b", "stratum", "covered_a", "covered_b")
+
+
+@query
+def geometry_spearman(s: SparkSession, d: str) -> DataFrame:
+    """Rank correlation of box IoU and Jaccard over all pairs, ties sharing their mean rank."""
+    rows = _box_pairs(s, d).where("iou_mask").select(F.lit("iou").alias("ctype"), F.round("iou", 6).alias("iou"), F.round("jaccard", 6).alias("jaccard"))
+    return metrics.spearman(rows, "iou", "jaccard").withColumn("spearman", r6("spearman"))
+
+
+@query
+def module_coverage(s: SparkSession, d: str) -> DataFrame:
+    """Mean and deviation of the coverage of a module's samples, by type."""
+    found = coverage.densities(_sigs(s, d))
+    return found.groupBy("module", "ctype").agg(F.count("*").alias("n_samples"), r6(F.avg("density"), "mean"), r6(F.stddev_pop("density"), "std"))
+
+
+@query
+def shard_scale(s: SparkSession, d: str) -> DataFrame:
+    """Factors by which the means of unequal shards average to the mean of all rows."""
+    shards = view.table(s, d, "orders").groupBy((F.col("o_custkey") % 7).alias("rank_id")).agg(F.count("*").alias("n"))
+    total = shards.agg(F.sum("n").alias("all_rows"), F.count("*").alias("ranks"))  # one row
+    return shards.join(F.broadcast(total)).select("rank_id", "n", r6(F.try_divide(F.col("ranks") * F.col("n"), F.col("all_rows")), "scale"))
+
+
+# --- histories --------------------------------------------------------------------------------
+
+
+def _history(s: SparkSession, d: str) -> DataFrame:
+    """A metric by epoch: mean order price of a hundred epochs."""
+    epochs = view.table(s, d, "orders").groupBy((F.col("o_orderkey") % 100).cast("int").alias("epoch")).agg(F.round(F.avg("o_totalprice") / 100000, 6).alias("value"))
+    return epochs.select("epoch", F.lit("val_loss").alias("name"), "value")
+
+
+@query
+def best_epochs(s: SparkSession, d: str) -> DataFrame:
+    return sinks.best_checkpoints(_history(s, d), "val_loss", 5).select("epoch", "value")
+
+
+@query
+def early_stop(s: SparkSession, d: str) -> DataFrame:
+    return sinks.early_stop(_history(s, d), "val_loss", 8)
+
+
+@query
+def plateau_rates(s: SparkSession, d: str) -> DataFrame:
+    return sinks.plateau_rates(_history(s, d), "val_loss", patience=3, factor=0.5).withColumn("rate", r6("rate"))
+
+
+@query
+def drop_path_rates(s: SparkSession, d: str) -> DataFrame:
+    layers = s.range(4).select(F.col("id").alias("layer"))
+    return layers.select("layer", r6(scalar.drop_path_rate(F.col("layer"), 0.3, 4), "rate"))
+
+
+@query
+def scalar_maths(s: SparkSession, d: str) -> DataFrame:
+    """Smooth-L1, relative error, sigmoid, softplus, ReLU and width code of account balances."""
+    rows = view.table(s, d, "customer").select("c_custkey", (F.col("c_acctbal") / 1000).alias("x"))
+    x = F.col("x")
+    return rows.select(
+        "c_custkey", r6(scalar.smooth_l1(x), "smooth_l1"), r6(scalar.relative_error(x, x - 1, 0.1), "relative_error"), r6(scalar.sigmoid(x), "sigmoid"),
+        r6(scalar.softplus(x, 2.0), "softplus"), r6(scalar.relu(x), "relu"), r6(scalar.width_code(F.abs(x)), "width_code"),
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from covlattice.functions.vocab import CELL_TYPES, CELLS_BY_NODE_TYPE, NODE_TYPES
+
 _BASE = """
 base AS (
   SELECT c_nationkey AS module, c_custkey AS sample, CAST(substr(p_brand, 7) AS INT) - 1 AS line,
@@ -313,3 +315,62 @@ ORACLES = {
       SELECT conv_id AS file, turn AS position, CASE WHEN role = 'user' THEN line || chr(10) || line ELSE 'nop' END AS block FROM i""",
     "stable_seeds": """SELECT n_nationkey, substr(sha256('42|' || n_name), 1, 16) AS prefix, md5('42|' || n_name) AS shuffle, TRUE AS seeded FROM nation""",
 }
+
+#: Vocabularies as SQL lists; their order is their code.
+_CELLS = "[" + ", ".join(f"'{c}'" for c in CELL_TYPES) + "]"
+_GROUPS = "[" + ", ".join(f"'{k}'" for k, cells in CELLS_BY_NODE_TYPE for _ in cells.split()) + "]"
+_KINDS = "[" + ", ".join(f"'{k}'" for k in NODE_TYPES) + "]"
+_HISTORY = """WITH RECURSIVE h AS (
+  SELECT (o_orderkey % 100)::INT AS epoch, round(avg(o_totalprice) / 100000, 6) AS value FROM orders GROUP BY 1
+), o AS (SELECT *, row_number() OVER (ORDER BY epoch) AS rn FROM h)"""
+
+ORACLES |= {
+    "type_codes": f"""WITH c AS (SELECT ({_CELLS} || ['INPUT', 'OUTPUT', '$other'])[p_partkey % (len({_CELLS}) + 3) + 1] AS cell, p_size FROM part),
+      k AS (SELECT coalesce(list_position({_CELLS}, cell), len({_CELLS}))::INT - 1 AS cell, [0, 3, 6, 0][p_size % 4 + 1] AS edge_type FROM c),
+      t AS (SELECT cell, edge_type, list_position({_KINDS}, ({_GROUPS})[cell + 1])::INT - 1 AS node_type FROM k)
+      SELECT cell, node_type, greatest(0, node_type - 2)::INT AS agg_group, edge_type, count(*) AS n FROM t GROUP BY ALL""",
+    "graph_targets": """SELECT p_partkey AS sample, ctype, CASE WHEN p_partkey % 5 <> 0 THEN CASE ctype WHEN 'line' THEN round(p_size / 100, 6)
+        WHEN 'toggle' THEN round(p_retailprice / 10000, 6) END END AS y
+      FROM part, (SELECT unnest(['branch', 'line', 'fsm', 'toggle', 'condition']) AS ctype)""",
+    "covered_items": """SELECT l_orderkey AS sample, 'line' AS ctype, 1 AS place, count(*) FILTER (l_returnflag <> 'N') AS covered, count(*) AS n_items
+      FROM lineitem GROUP BY 1""",
+    "token_pool": """WITH t AS (SELECT label AS text_id, vec_id, k::INT AS dim, embedding[k + 1]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(8)) AS k))
+      SELECT text_id, dim, round(avg(v) FILTER (vec_id % 3 <> 0), 6) AS mean, round(arg_min(v, vec_id), 6) AS first FROM t GROUP BY ALL""",
+    "gcn_propagate": _EDGES + """, f AS (SELECT graph, src, dst FROM valid UNION ALL SELECT graph, node, node FROM nodes),
+      d AS (SELECT graph, dst AS node, count(*) AS d FROM f GROUP BY ALL)
+      SELECT f.graph, f.dst AS node, round(sum(1 / sqrt(a.d * b.d)), 6) AS x0, round(sum(n.node_type / sqrt(a.d * b.d)), 6) AS x1
+      FROM f JOIN d a ON a.graph = f.graph AND a.node = f.src JOIN d b ON b.graph = f.graph AND b.node = f.dst
+      JOIN nodes n ON n.graph = f.graph AND n.node = f.src GROUP BY f.graph, f.dst""",
+    "cell_features": _EDGES + """, w AS (SELECT graph, node, node_type AS c, log2(node_type * 3 + graph + 1) AS w FROM nodes),
+      x AS (SELECT graph, node, c / 4 + 0.5 * w AS a, c % 3 - 1.0 - 0.25 * w AS b, 0.5 + w AS c FROM w),
+      m AS (SELECT *, (a + b + c) / 3 AS m FROM x), v AS (SELECT *, sqrt(((a - m) ** 2 + (b - m) ** 2 + (c - m) ** 2) / 3 + 1e-5) AS s FROM m)
+      SELECT graph, node, round((a - m) / s, 6) AS x0, round((b - m) / s, 6) AS x1, round((c - m) / s, 6) AS x2 FROM v""",
+    "combined_graphs": """SELECT label AS graph, k::INT AS dim, round(avg(embedding[k + 1]::DOUBLE) + avg(embedding[k + 5]::DOUBLE), 6) AS v
+      FROM embeddings, (SELECT unnest(range(4)) AS k) GROUP BY ALL""",
+    "aggregation_mix": _EDGES + """, g AS (SELECT greatest(0, node_type - 2)::INT AS g, count(*) AS n FROM nodes GROUP BY 1),
+      e AS (SELECT g, n, exp(g / 10) AS a, exp(0.5) AS b, exp(1 - g / 5) AS c FROM g)
+      SELECT g AS agg_group, n, round(a / (a + b + c), 6) AS sum, round(b / (a + b + c), 6) AS mean, round(c / (a + b + c), 6) AS max FROM e""",
+    "pair_records": _STRATA + """, s AS (SELECT module, sample, sum(c)::INT AS covered FROM cnt GROUP BY ALL)
+      SELECT c.module, sample_a, sample_b, stratum, a.covered AS covered_a, b.covered AS covered_b
+      FROM chosen c JOIN s a ON a.sample = sample_a JOIN s b ON b.sample = sample_b""",
+    "geometry_spearman": _HARD + """, v AS (SELECT round(iou, 6) AS p, round(jaccard, 6) AS t FROM g WHERE iou_mask),
+      r AS (SELECT rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2 AS x, rank() OVER (ORDER BY t) + (count(*) OVER (PARTITION BY t) - 1) / 2 AS y FROM v)
+      SELECT 'iou' AS ctype, count(*) AS n, round(corr(x, y), 6) AS spearman FROM r""",
+    "module_coverage": _COV + """ SELECT module, ctype, count(*) AS n_samples, round(avg(c / n), 6) AS mean, round(stddev_pop(c / n), 6) AS std FROM cnt GROUP BY ALL""",
+    "shard_scale": """SELECT o_custkey % 7 AS rank_id, count(*) AS n, round(count(*) OVER () * count(*) / sum(count(*)) OVER (), 6) AS scale FROM orders GROUP BY 1""",
+    "best_epochs": _HISTORY + " SELECT epoch, value FROM h ORDER BY value, epoch LIMIT 5",
+    "early_stop": _HISTORY + """, b AS (SELECT *, coalesce(value < min(value) OVER (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS better FROM o),
+      c AS (SELECT *, rn - max(CASE WHEN better THEN rn END) OVER (ORDER BY rn) AS bad FROM b)
+      SELECT min(epoch) FILTER (bad >= 8) AS stop_epoch FROM c""",
+    "plateau_rates": _HISTORY + """, f AS (
+        SELECT rn, epoch, value AS best, 0 AS bad, 1.0::DOUBLE AS rate FROM o WHERE rn = 1
+        UNION ALL
+        SELECT o.rn, o.epoch, least(best, value), CASE WHEN value < best OR bad = 3 THEN 0 ELSE bad + 1 END,
+               CASE WHEN value >= best AND bad = 3 THEN rate / 2 ELSE rate END
+        FROM f JOIN o ON o.rn = f.rn + 1)
+      SELECT epoch, round(rate, 6) AS rate FROM f""",
+    "drop_path_rates": "SELECT layer, round(0.1 * layer, 6)::DOUBLE AS rate FROM (SELECT unnest(range(4)) AS layer)",
+    "scalar_maths": f"""WITH r AS (SELECT c_custkey, c_acctbal / 1000 AS x FROM customer)
+      SELECT c_custkey, round({_SMOOTH.format('x')}, 6) AS smooth_l1, round(1 / greatest(abs(x - 1), 0.1), 6) AS relative_error, round(1 / (1 + exp(-x)), 6) AS sigmoid,
+             round((greatest(2 * x, 0) + ln(1 + exp(-abs(2 * x)))) / 2, 6) AS softplus, round(greatest(x, 0), 6) AS relu, round(log2(abs(x) + 1), 6) AS width_code FROM r""",
+}

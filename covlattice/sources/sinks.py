@@ -75,3 +75,28 @@ def early_stop(history: DataFrame, monitor: str, patience: int, min_delta: float
         )
 
     return rows.select(F.aggregate("h", start, step, lambda a: a["stop"]).alias("stop_epoch"))
+
+
+def plateau_rates(history: DataFrame, monitor: str, patience: int, factor: float = 0.1, min_delta: float = 0.0) -> DataFrame:
+    """(epoch, rate): share of the base learning rate after each epoch.
+
+    The rate is multiplied by ``factor`` when more than ``patience`` epochs in a
+    row did not improve on the best, and the count starts anew.  A history has
+    a row for each epoch, so the fold is over as many.
+    """
+    rows = history.where(F.col("name") == monitor).agg(F.array_sort(F.collect_list(F.struct("epoch", "value"))).alias("h"))
+    out = F.array().cast("array<struct<epoch: int, rate: double>>")
+    start = F.struct(F.lit(float("inf")).alias("best"), F.lit(0).alias("bad"), F.lit(1.0).alias("rate"), out.alias("out"))
+
+    def step(a, x):
+        better = x["value"] < a["best"] - min_delta
+        bad = F.when(better, 0).otherwise(a["bad"] + 1)
+        cut = bad > patience
+        rate = F.when(cut, a["rate"] * factor).otherwise(a["rate"])
+        row = F.struct(x["epoch"].cast("int").alias("epoch"), rate.alias("rate"))
+        return F.struct(
+            F.when(better, x["value"]).otherwise(a["best"]).alias("best"), F.when(cut, 0).otherwise(bad).alias("bad"),
+            rate.alias("rate"), F.concat(a["out"], F.array(row)).alias("out"),
+        )
+
+    return rows.select(F.inline(F.aggregate("h", start, step, lambda a: a["out"])))

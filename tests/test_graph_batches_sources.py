@@ -171,6 +171,8 @@ def test_cache_and_history(spark, tmp_path):
     rows = spark.read.parquet(history)
     assert [r.epoch for r in sinks.best_checkpoints(rows, "loss", 2).collect()] == [4, 1]
     assert sinks.early_stop(rows, "loss", 2).first().stop_epoch == 3
+    assert [r.rate for r in sinks.plateau_rates(rows, "loss", 1, 0.5).orderBy("epoch").collect()] == [1.0, 1.0, 1.0, 0.5, 0.5]
+    assert sinks.plateau_rates(rows, "none", 1).count() == 0
     sinks.write_with_quarantine(spark.createDataFrame([(1, True), (2, None)], "v int, ok boolean"), "ok", str(tmp_path / "g"), str(tmp_path / "q"))
     assert spark.read.parquet(str(tmp_path / "q")).first().v == 2
 

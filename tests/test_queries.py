@@ -9,7 +9,7 @@ from covlattice.plans.queries import QUERIES
 from covlattice.plans.sql import ORACLES
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["coverage_similarity", "relative_strata", "pair_selection", "grouped_split", "bucket_batches", "regression_metrics", "geometry_metrics", "routed_aggregate", "label_distribution"]
+SOME = ["coverage_similarity", "relative_strata", "pair_selection", "grouped_split", "bucket_batches", "regression_metrics", "geometry_metrics", "routed_aggregate", "label_distribution", "type_codes", "gcn_propagate", "cell_features", "early_stop", "plateau_rates", "scalar_maths"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
 
