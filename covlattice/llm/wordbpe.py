@@ -19,7 +19,7 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 from tokenizers import Tokenizer, models
 
@@ -65,34 +65,6 @@ def inner_pairs(tokens: Iterable[str], word_end: str = "</w>") -> bytearray:
     return flags
 
 
-class Memory:
-    """What ``make`` gives for the runs met of late: two generations of half of ``REMEMBERED`` each.
-
-    A run that is met again moves to the younger generation; when that is full
-    it becomes the older one, and the older one is forgotten.
-    """
-
-    def __init__(self, make: Callable[[str], object]):
-        self._make, self._young, self._old = make, {}, {}
-
-    def of(self, runs: list[str]) -> list:
-        out = list(map(self._young.get, runs))
-        if None in out:
-            out = [self._recall(run) if got is None else got for run, got in zip(runs, out)]
-        return out
-
-    def _recall(self, run: str) -> object:
-        got = self._young.get(run)
-        if got is None:
-            got = self._old.get(run)
-            if got is None:
-                got = self._make(run)
-            if len(self._young) >= REMEMBERED // 2:
-                self._old, self._young = self._young, {}
-            self._young[run] = got
-        return got
-
-
 class WordEncoder:
     """Ids of texts as the tokenizer of the file gives them."""
 
@@ -114,8 +86,8 @@ class WordEncoder:
         size = self._whole.get_vocab_size(with_added_tokens=True)
         #: The string of each id.
         self.shown = [self._whole.id_to_token(i) for i in range(size)]
-        self._ids = Memory(lambda run: array("I", self._encode(run)).tobytes())
-        self._strings = Memory(self._shown)
+        self._ids: dict[str, bytes] = {}
+        self._strings: dict[str, tuple[str, str]] = {}
 
     def cuts(self, data: bytes) -> list[int]:
         """Places in ``data`` where a boundary is forced."""
@@ -152,17 +124,30 @@ class WordEncoder:
 
     def ids(self, text: str | None) -> bytes:
         """Ids of the text as 32-bit numbers in the machine's order."""
-        return b"".join(self._ids.of(self.runs(text)))
+        known, out = self._ids, []
+        for run in self.runs(text):
+            got = known.get(run)
+            if got is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                got = known[run] = array("I", self._encode(run)).tobytes()
+            out.append(got)
+        return b"".join(out)
 
     def strings(self, text: str | None) -> tuple[str, str]:
         """Ids of the text in decimal, and their tokens, each joined by one space."""
-        out = [x for x in self._strings.of(self.runs(text)) if x[0]]
+        known, out = self._strings, []
+        for run in self.runs(text):
+            got = known.get(run)
+            if got is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                ids = self._encode(run)
+                got = known[run] = (" ".join(map(str, ids)), " ".join([self.shown[i] for i in ids]))
+            if got[0]:
+                out.append(got)
         return " ".join([x[0] for x in out]), " ".join([x[1] for x in out])
 
-    def _shown(self, run: str) -> tuple[str, str]:
-        ids = self._encode(run)
-        return " ".join(map(str, ids)), " ".join([self.shown[i] for i in ids])
-
 
 _ENCODERS: dict[str, WordEncoder] = {}
 

@@ -40,9 +40,6 @@ def test_forgotten_runs_are_encoded_again(own, vocabulary, monkeypatch):
     small = WordEncoder(vocabulary("word_bpe_49k.json"))
     for text in ("one two three one four five one six two " * 3, "seven one eight", "one one", ""):
         assert small.ids(text) == own.ids(text) and small.strings(text) == own.strings(text)
-    made = []
-    memory = wordbpe.Memory(lambda run: made.append(run) or run)
-    assert memory.of(list("aabacada")) == list("aabacada") and made == list("abcd")
 
 
 def test_boundaries_are_forced_and_cut_long_runs(own, library):
