@@ -4,6 +4,8 @@ Candidates of an anchor are the next ``pool`` samples of its module on a ring
 in hash order.  In a module of up to ``pool`` + 1 samples these are all others;
 in a larger one each sample is a candidate of ``pool`` anchors, and the rows
 grow with the samples, never with their square.
+
+``all_pairs`` has no pool: it pairs a whole module, in tiles.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from covlattice.functions.text import sha_prefix, shuffle_key
 from covlattice.operators.coverage import pair_geometry, similarity
 
 POOL = 256
+TILE = 256
 QUOTAS = {"low": 2, "mid": 1, "high": 1}
 
 
@@ -49,6 +52,32 @@ def candidate_pairs(samples: DataFrame, seed: str = "0", pool: int = POOL) -> Da
     return reach.join(there, ["module", "place"]).select("module", "anchor", "candidate")
 
 
+def all_pairs(rows: DataFrame, tile: int = TILE) -> DataFrame:
+    """(module, a, b): the rows of every unordered pair of a module's samples, the smaller sample in ``a``.
+
+    Samples fall into blocks of about ``tile`` by hash.  Two blocks, or one with
+    itself, make a tile, and tiles are dealt over the tasks: a module of n
+    samples is sent n / ``tile`` times and its pairs are made by many tasks.
+    """
+    keyed = rows.select("module", F.struct(*rows.columns).alias("r"))
+    counts = keyed.groupBy("module").agg(F.ceil(F.count("*") / tile).alias("blocks"))
+    blocked = keyed.join(counts, "module").withColumn("block", F.pmod(F.xxhash64("r.sample"), F.col("blocks")))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # asked for by number, or few bytes would become few tasks
+    at = ["module", "i", "j"]
+    left = blocked.select("module", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("r").alias("x"))
+    right = blocked.select("module", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("i"), F.col("block").alias("j"), F.col("r").alias("y"))
+    met = left.repartition(parts, *at).join(right.repartition(parts, *at), at).where("i < j OR x.sample < y.sample")
+    less = F.col("x.sample") < F.col("y.sample")
+    return met.select("module", F.when(less, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(less, F.col("y")).otherwise(F.col("x")).alias("b"))
+
+
+def all_geometry(sigs: DataFrame, tile: int = TILE) -> DataFrame:
+    """(module, sample_a, sample_b, geometry, similarity) of every unordered pair of a module."""
+    met = all_pairs(sigs.select("module", "sample", "sig"), tile)
+    made = met.select("module", F.col("a.sample").alias("sample_a"), F.col("b.sample").alias("sample_b"), pair_geometry(F.col("a.sig"), F.col("b.sig")).alias("geometry"))
+    return made.withColumn("similarity", similarity(F.col("geometry")))
+
+
 def with_geometry(pairs: DataFrame, sigs: DataFrame, a: str = "anchor", b: str = "candidate") -> DataFrame:
     """``pairs`` with the ``geometry`` of their signatures and their ``similarity``."""
     left = sigs.select("module", F.col("sample").alias(a), F.col("sig").alias("sig_a"))

@@ -58,9 +58,8 @@ def _directed(s: SparkSession, d: str) -> DataFrame:
 
 
 def _undirected(s: SparkSession, d: str) -> DataFrame:
-    sigs = _sigs(s, d)
-    chosen = pairs.unordered(pairs.candidate_pairs(sigs))
-    return pairs.with_geometry(chosen, sigs, "sample_a", "sample_b")
+    """Every unordered pair of a module; the pool belongs to pair sampling only."""
+    return pairs.all_geometry(_sigs(s, d))
 
 
 @query

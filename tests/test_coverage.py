@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from covlattice.operators import coverage, pairs
+from covlattice.plans import queries
 
 VECTORS = "module string, sample string, coverage_vectors map<string, struct<element_count: int, items: array<struct<id: int, label: int>>>>"
 
@@ -121,3 +122,22 @@ def test_fingerprint_and_weights_do_not_depend_on_order(spark):
     assert pairs.pair_fingerprint(one).first() == pairs.pair_fingerprint(other).first()
     by = {r["sample"]: (r.degree, r.weight) for r in pairs.endpoint_weights(one).collect()}
     assert by["a0"] == (1, 1.5) and by["b0"] == (3, 0.5)
+
+
+def test_all_pairs_of_a_module_beyond_the_pool(spark):
+    rows = spark.range(700).select((F.col("id") % 700 > 599).cast("int").alias("module"), F.col("id").alias("sample"))
+    made = pairs.all_pairs(rows, tile=64).select("module", "a.sample", F.col("b.sample").alias("other"))
+    assert made.count() == made.distinct().count() == 600 * 599 // 2 + 100 * 99 // 2
+    assert made.where("sample >= other OR (sample < 600) <> (other < 600)").count() == 0
+
+
+def test_the_most_similar_pair_is_found_in_a_large_module(spark, monkeypatch):
+    """Two equal sets half a ring apart, which the pool of 256 never compares."""
+    ring = pairs.ring_positions(spark.range(700).select(F.lit("m").alias("module"), F.col("id").alias("sample")), "0").collect()
+    by_place = {r.place: r["sample"] for r in ring}
+    twins = sorted((by_place[0], by_place[350]))
+    rows = [("m", i, "line", 2000, e) for i in range(700) for e in ((0, 1) if i in twins else (2 + i, 800 + i))]
+    table = spark.createDataFrame(rows, "module string, sample long, ctype string, n_elements int, element_id int")
+    monkeypatch.setattr(queries.view, "coverage", lambda s, d: table)
+    best = queries.most_similar(spark, "", top=1).first()
+    assert ([best.sample_a, best.sample_b], best.similarity) == (twins, 1.0)
