@@ -52,6 +52,43 @@ def candidate_pairs(samples: DataFrame, seed: str = "0", pool: int = POOL) -> Da
     return reach.join(there, ["module", "place"]).select("module", "anchor", "candidate")
 
 
+def informative_pairs(sigs: DataFrame, seed: str = "0", pool: int = POOL, run: int = 4096) -> DataFrame:
+    """(module, anchor, candidate): every sample with the next ``pool`` of its module's ring that have another signature.
+
+    Equal signatures are passed over before the pool is counted; a sample has
+    them only where its module has no other.  ``u``, the number of samples of
+    other signatures before a place, is the same for equal samples side by
+    side.  Of the others, number k is at place k plus the equal ones before it;
+    so places are looked up by signature and k, at most ``pool`` of them for
+    each u, and no task numbers a whole module or signature.
+    """
+    kind = F.sha2(F.to_json("sig").cast("binary"), 256)
+    ring = ring_positions(sigs.select("module", "sample", kind.alias("kind")), seed).withColumn("run", F.floor(F.col("place") / run))
+    runs = ring.groupBy("module", "kind", "run").agg(F.count("*").alias("n"))
+    whole = W.partitionBy("module", "kind")
+    before = F.coalesce(F.sum("n").over(whole.orderBy("run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select("module", "kind", "run", before.alias("before"), F.sum("n").over(whole).alias("equals"))
+    rank = F.row_number().over(W.partitionBy("module", "kind", "run").orderBy("place")) - 1
+    ring = ring.withColumn("number", rank).join(runs, ["module", "kind", "run"]).withColumn("others", F.col("members") - F.col("equals"))
+    ring = ring.withColumn("rank", F.col("before") + F.col("number")).withColumn("u", F.col("place") - F.col("rank"))
+    ring = ring.drop("run", "number", "before").persist()  # a row for each sample, read four times
+    # without equal samples, or with equal ones only, the next places are the candidates
+    steps = F.sequence(F.lit(1).cast("long"), F.least(F.lit(pool).cast("long"), F.col("members") - 1))
+    plain = ring.where("members > 1 AND (equals = 1 OR others = 0)").select(
+        "module", F.col("sample").alias("anchor"), F.explode(F.transform(steps, lambda s: (F.col("place") + s) % F.col("members"))).alias("place")
+    )
+    mixed = ring.where("equals > 1 AND others > 0")
+    numbers = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.least(F.lit(pool).cast("long"), F.col("others")) - 1), lambda s: F.col("u") + s)).alias("k")
+    k = (F.col("k") % F.col("others")).alias("k")
+    gaps = mixed.groupBy("module", "kind", "others", "u").agg((F.max("rank") + 1).alias("equal_before"))
+    there = gaps.select("module", "kind", "others", "equal_before", numbers)
+    there = there.select("module", "kind", k, F.when(F.col("k") < F.col("others"), F.col("k") + F.col("equal_before")).otherwise(F.col("k") - F.col("others")).alias("place"))
+    there = there.groupBy("module", "kind", "k").agg(F.max("place").alias("place"))  # that of the last gap before k
+    asked = mixed.select("module", "kind", "others", F.col("sample").alias("anchor"), numbers).select("module", "kind", "anchor", k)
+    reach = plain.unionByName(asked.join(there, ["module", "kind", "k"]).select("module", "anchor", "place"))
+    return reach.join(ring.select("module", "place", F.col("sample").alias("candidate")), ["module", "place"]).select("module", "anchor", "candidate")
+
+
 def all_pairs(rows: DataFrame, tile: int = TILE) -> DataFrame:
     """(module, a, b): the rows of every unordered pair of a module's samples, the smaller sample in ``a``.
 

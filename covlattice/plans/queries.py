@@ -52,11 +52,6 @@ def coverage_global_ids(s: SparkSession, d: str) -> DataFrame:
     return ids.groupBy("module", "sample").agg(F.count("*").alias("n"), F.min("global_id").alias("first"), F.max("global_id").alias("last"), F.sum("global_id").alias("total"))
 
 
-def _directed(s: SparkSession, d: str) -> DataFrame:
-    sigs = _sigs(s, d)
-    return pairs.with_geometry(pairs.candidate_pairs(sigs), sigs)
-
-
 def _undirected(s: SparkSession, d: str) -> DataFrame:
     """Every unordered pair of a module; the pool belongs to pair sampling only."""
     return pairs.all_geometry(_sigs(s, d))
@@ -93,7 +88,8 @@ def candidate_pool(s: SparkSession, d: str) -> DataFrame:
 
 
 def _strata(s: SparkSession, d: str) -> DataFrame:
-    found = pairs.informative(_directed(s, d)).select("module", "anchor", "candidate", "similarity")
+    sigs = _sigs(s, d)
+    found = pairs.with_geometry(pairs.informative_pairs(sigs), sigs).select("module", "anchor", "candidate", "similarity")
     return pairs.relative_strata(found)
 
 

@@ -115,6 +115,24 @@ def test_equal_signatures_are_no_candidates_unless_alone(spark):
     assert pairs.informative(pairs.with_geometry(pairs.candidate_pairs(alone), alone)).count() == 12
 
 
+@pytest.mark.parametrize("pool", [3, 20, 500])
+def test_equal_signatures_are_passed_over_before_the_pool_is_counted(spark, pool):
+    """300 equal sets and 40 others: by definition, and with more equal neighbours than the pool."""
+    kinds = {i: -1 if i < 300 else i // 2 if i < 320 else i for i in range(340)}
+    rows = spark.createDataFrame(list(kinds.items()), "sample long, kind long").withColumn("module", F.lit("m"))
+    sigs = rows.select("module", "sample", F.array(F.struct(F.lit(400).alias("n"), F.array("kind").alias("words"), F.lit(1).alias("c"))).alias("sig"))
+    places = sorted((r.place, r["sample"]) for r in pairs.ring_positions(rows.select("module", "sample"), "0").collect())
+    order = [x for _, x in places]
+    want = set()
+    for at, x in enumerate(order):
+        after = [y for y in order[at + 1 :] + order[:at] if kinds[y] != kinds[x]]
+        want |= {(x, y) for y in after[:pool]}
+    got = [(r.anchor, r.candidate) for r in pairs.informative_pairs(sigs, pool=pool, run=16).collect()]
+    assert len(got) == len(want) and set(got) == want
+    alone = pairs.informative_pairs(sigs.where("sample < 30"), pool=pool)
+    assert alone.count() == 30 * min(pool, 29) and alone.where("anchor = candidate").count() == 0
+
+
 def test_fingerprint_and_weights_do_not_depend_on_order(spark):
     rows = [("m", f"a{i}", f"b{i % 3}", "low") for i in range(9)]
     one = spark.createDataFrame(rows, "module string, sample_a string, sample_b string, stratum string")
