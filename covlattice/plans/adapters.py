@@ -13,6 +13,8 @@ from covlattice.operators.pairs import candidate_pairs
 #: Codes of the small vocabularies of the star schema, in alphabetical order.
 PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 FLAGS = ["A", "N", "R"]
+#: Places of an embedding.
+DIMS = 64
 UNIVERSES = {"line": 25, "condition": 5, "toggle": 6, "fsm": 3, "branch": 50}
 
 

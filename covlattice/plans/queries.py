@@ -339,9 +339,9 @@ def mean_pool(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def cross_pool(s: SparkSession, d: str) -> DataFrame:
-    v = view.table(s, d, "embeddings").select(F.col("label").alias("graph"), F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("x"))
-    latents = s.range(3).select(F.col("id").cast("int").alias("latent"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: ((k + F.col("id")) % 3 - 1).cast("double")).alias("q"))
-    made = graph.cross_pool(v, latents, 8)
+    v = view.table(s, d, "embeddings").select(F.col("label").alias("graph"), F.col("embedding").cast("array<double>").alias("x"))
+    latents = s.range(3).select(F.col("id").cast("int").alias("latent"), F.transform(F.sequence(F.lit(0), F.lit(view.DIMS - 1)), lambda k: ((k + F.col("id")) % 3 - 1).cast("double")).alias("q"))
+    made = graph.cross_pool(v, latents, view.DIMS)
     return made.select("graph", "latent", F.posexplode("x").alias("dim", "v")).select("graph", "latent", "dim", r6("v"))
 
 
@@ -470,7 +470,7 @@ def covered_items(s: SparkSession, d: str) -> DataFrame:
 def _tokens(s: SparkSession, d: str) -> DataFrame:
     return view.table(s, d, "embeddings").select(
         F.col("label").alias("text_id"), F.col("vec_id").alias("position"), (F.col("vec_id") % 3 != 0).alias("attended"),
-        F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("x"),
+        F.col("embedding").cast("array<double>").alias("x"),
     )
 
 
@@ -504,7 +504,8 @@ def cell_features(s: SparkSession, d: str) -> DataFrame:
 def combined_graphs(s: SparkSession, d: str) -> DataFrame:
     """Mean vectors of two halves of a label's dimensions, added."""
     v = view.table(s, d, "embeddings").select(F.col("label").alias("graph"), F.col("embedding").cast("array<double>").alias("e"))
-    a, b = (graph.mean_pool(v.select("graph", F.slice("e", at, 4).alias("x"))) for at in (1, 5))
+    half = view.DIMS // 2
+    a, b = (graph.mean_pool(v.select("graph", F.slice("e", at, half).alias("x"))) for at in (1, half + 1))
     return graph.combine_graphs(a, b, "add").select("graph", F.posexplode("x").alias("dim", "v")).select("graph", "dim", r6("v"))
 
 
