@@ -7,6 +7,8 @@ column; sums of vectors go by place with :func:`vector_sum`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -150,37 +152,51 @@ def attention_softmax(edges: DataFrame, score: str = "score") -> DataFrame:
     return shifted.join(total, ["graph", "dst"]).withColumn("attention", F.col("e") / F.col("total")).drop("top", "e", "total")
 
 
+def _port_scaled(messages: DataFrame, scale: DataFrame | None) -> DataFrame:
+    """``messages`` with ``port_scale``, the factor of their port; 1 without one."""
+    if scale is None:
+        return messages.withColumn("port_scale", F.lit(1.0))
+    factors = scale.select(F.col("code").alias("target_port"), F.col("scale").alias("port_scale"))
+    return messages.join(F.broadcast(factors), "target_port", "left").withColumn("port_scale", F.coalesce("port_scale", F.lit(1.0)))
+
+
 def port_sums(messages: DataFrame, value: str = "m", scale: DataFrame | None = None) -> DataFrame:
     """Sums over port 0 and port 1, and a sum of data and enable messages scaled by their port."""
-    scaled = messages.withColumn("s", F.lit(1.0))
-    if scale is not None:
-        scaled = messages.join(F.broadcast(scale.select(F.col("code").alias("target_port"), F.col("scale").alias("s"))), "target_port", "left")
-    weight = F.coalesce("s", F.lit(1.0))
+    scaled = _port_scaled(messages, scale)
     sum_if = lambda cond, v: F.coalesce(F.sum(F.when(cond, v)), F.lit(0.0))
     return scaled.groupBy("graph", "dst").agg(
         sum_if(F.col("target_port") == 0, F.col(value)).alias("port_a"),
         sum_if(F.col("target_port") == 1, F.col(value)).alias("port_b"),
-        sum_if(F.col("edge_type").isin(_DATA, _ENABLE), F.col(value) * weight).alias("mem"),
+        sum_if(F.col("edge_type").isin(_DATA, _ENABLE), F.col(value) * F.col("port_scale")).alias("mem"),
     )
 
 
-def routed_aggregate(messages: DataFrame, nodes: DataFrame, gates: dict[str, Column] | None = None, value: str = "m") -> DataFrame:
+def routed_aggregate(
+    messages: DataFrame, nodes: DataFrame, gates: dict[str, Column] | None = None, value: str = "m", scale: DataFrame | None = None,
+    pair: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """(graph, node, node_type, out): each node type aggregates its messages in its own way.
 
     Messages have graph, dst, edge_type, target_port, the value and
     ``attention``.  By rising priority: a mix of attention sum, mean and
-    maximum; ports for shift, compare and arithmetic nodes; scaled ports for
-    memory; nested gates reset > enable > data for sequential nodes; and, with
+    maximum; ports for shift, compare and arithmetic nodes; data and enable
+    messages for memory; nested gates reset > enable > data for sequential nodes; and, with
     any control edge, the gated true / false branches plus what bypasses them.
     ``gates`` gives alpha_true, alpha_false, reset, enable (columns over the
     sums) and mix (an array of three); without learned ones they are sigmoids
-    and softmaxes of the sums themselves.
+    and softmaxes of the sums themselves.  ``scale`` (code, scale) multiplies a
+    memory message by its port's factor, 1 without one.  ``pair`` adds a column
+    ``pair`` to rows with node_type, port_a and port_b (0 without messages), say
+    by dense layers over both and the type's vector; without it, shift, compare
+    and arithmetic nodes have port_a - port_b, which is no learned function.
     """
     kinds = {name.lower(): k for k, name in enumerate(EDGE_TYPES)}
     m = F.col(value)
     sum_of = lambda cond: F.coalesce(F.sum(F.when(cond, m)), F.lit(0.0))
-    sums = messages.groupBy("graph", "dst").agg(
+    scaled = _port_scaled(messages, scale)
+    sums = scaled.groupBy("graph", "dst").agg(
         *[sum_of(F.col("edge_type") == k).alias(n) for n, k in kinds.items()],
+        F.coalesce(F.sum(F.when(F.col("edge_type").isin(_DATA, _ENABLE), m * F.col("port_scale"))), F.lit(0.0)).alias("mem"),
         F.bool_or(F.col("edge_type") == _CONTROL).alias("has_control"),
         sum_of(F.col("target_port") == 0).alias("port_a"),
         sum_of(F.col("target_port") == 1).alias("port_b"),
@@ -196,20 +212,22 @@ def routed_aggregate(messages: DataFrame, nodes: DataFrame, gates: dict[str, Col
     c = F.col
     mux = g["alpha_true"] * c("data_true") + g["alpha_false"] * c("data_false") + (c("data") + c("clock") + c("reset") + c("enable"))
     seq = g["reset"] * c("reset") + (1 - g["reset"]) * (g["enable"] * c("data") + (1 - g["enable"]) * c("clock"))
-    mem = c("data") + c("enable")
-    ports = c("port_a") - c("port_b")
+    ports = c("port_a") - c("port_b") if pair is None else c("pair")
     mix = g["mix"]
     default = F.get(mix, F.lit(0)) * c("attention_sum") + F.get(mix, F.lit(1)) * c("all_mean") + F.get(mix, F.lit(2)) * c("all_max")
     kind = lambda *names: c("node_type").isin(*[NODE_TYPES.index(n) for n in names])
     out = (
         F.when(c("has_control"), mux)
         .when(kind("SEQUENTIAL"), seq)
-        .when(kind("MEMORY"), mem)
+        .when(kind("MEMORY"), c("mem"))
         .when(kind("ARITHMETIC", "COMPARE", "SHIFT"), ports)
         .otherwise(default)
     )
     typed = nodes.select("graph", F.col("node").alias("dst"), "node_type")
-    met = typed.join(sums, ["graph", "dst"], "left").withColumn("out", F.coalesce(out, F.lit(0.0)))
+    met = typed.join(sums, ["graph", "dst"], "left")
+    if pair is not None:
+        met = pair(met.withColumns({p: F.coalesce(p, F.lit(0.0)) for p in ("port_a", "port_b")}))
+    met = met.withColumn("out", F.coalesce(out, F.lit(0.0)))
     return met.select("graph", F.col("dst").alias("node"), "node_type", "out")
 
 
