@@ -11,7 +11,9 @@ Records are rows; :func:`write_warc` and :func:`read_warc` turn rows into
 
 Defined results: a null payload is an empty one and gives an empty conversion; a
 null URI is the empty URI; equal responses give equal records, as many as there
-are responses; an empty table gives no records; other columns are not kept.
+are responses; an empty table gives no records; other columns are not kept.  A
+page of any length and content is read in one pass; a tag that is not closed by
+``>`` before the next ``<`` is text.
 """
 
 from __future__ import annotations
@@ -44,38 +46,83 @@ _SCHEMA = pa.schema(
     [(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[k]) for n, k in (f.split() for f in RECORD.split(", "))]
 )
 
-_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title)\b[^>]*>.*?(?:</\1\b[^>]*>|\Z)", re.S | re.I)
-_BREAK = re.compile(
-    r"<(?:/?(?:address|article|aside|blockquote|body|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|"
-    r"section|table|tr|ul)|br)\b[^>]*>",
-    re.I,
+#: Comments, and tags: a tag ends at the next ``>``, and is text if a ``<`` comes before that.
+_MARK = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>|[!?/][^<>]*+>)")
+#: Elements whose content is not text.
+_HIDDEN = frozenset("script style noscript template title".split())
+_CLOSING = {name: re.compile(rf"</{name}(?![^\s/<>])[^<>]*+>", re.I) for name in _HIDDEN}
+#: Tags that end a line of text.
+_BREAKS = frozenset(
+    "address article aside blockquote body br dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p "
+    "pre section table tr ul".split()
 )
-_TAG = re.compile(r"<[!/?a-zA-Z][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: An attribute; every try takes its name, so that a tag is gone through once.
+_ATTRIBUTE = re.compile(r"([^\s=\"'/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"']\S*+)))?")
 
 
-def plain_text(page: str) -> str:
-    """Text of an HTML page: one line for each block, white space collapsed, entities decoded.
+#: Numbers of no character; the library's decoder would raise on very long ones.
+_HUGE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
 
-    Comments, scripts, styles, templates and the title go; an element that is
-    not closed ends with the page.
-    """
-    text = _TAG.sub("", _BREAK.sub("\n", _DROPPED.sub("", page)))
-    lines = (" ".join(line.split()) for line in html.unescape(text).split("\n"))
-    return "\n".join(line for line in lines if line)
+
+def _decoded(text: str) -> str:
+    """``text`` with its entities decoded."""
+    return html.unescape(_HUGE.sub("\ufffd", text))
+
+
+def _line(text: str) -> str:
+    """Decoded text on one line."""
+    return " ".join(_decoded(text).split())
+
+
+def _attribute(tag: str, name: str) -> str | None:
+    """Value of the first attribute of that name."""
+    for found in _ATTRIBUTE.finditer(tag):
+        if found[1].lower() == name and found.lastindex > 1:
+            return found[found.lastindex]
+    return None
 
 
-def page_metadata(page: str) -> str:
-    """Title, language and outgoing links, as warc-fields lines."""
-    fields = []
-    if title := _TITLE.search(page):
-        fields.append(("title", " ".join(html.unescape(title[1]).split())))
-    if lang := _LANG.search(page):
-        fields.append(("language", lang[1]))
-    fields += [("outlink", html.unescape(" ".join("".join(x).split()))) for x in _LINK.findall(page)]
-    return "".join(f"{k}: {v}\r\n" for k, v in fields)
+def read_page(page: str) -> tuple[str, str | None, str | None, list[str]]:
+    """Text, title, language and links of an HTML page, in one pass from its start to its end.
+
+    The text has one line for each block, white space collapsed and entities
+    decoded.  Comments, scripts, styles, templates and the title go; one that is
+    not closed ends with the page.  Links and language are those of tags outside
+    of them.  The time is in proportion to the page, whatever it holds.
+    """
+    pieces, at, title, language, links = [], 0, None, None, []
+    while mark := _MARK.search(page, at):
+        pieces.append(page[at : mark.start()])
+        at = mark.end()
+        if mark[1]:
+            end = page.find("-->", mark.start() + 2)
+            at = len(page) if end < 0 else end + 3
+            continue
+        if not mark[3]:
+            continue
+        name = mark[3].lower()
+        if name in _BREAKS:
+            pieces.append("\n")
+        if mark[2]:
+            continue
+        if name in _HIDDEN:
+            end = _CLOSING[name].search(page, at)
+            if end and title is None and name == "title":
+                title = _line(page[at : end.start()])
+            at = end.end() if end else len(page)
+        elif name == "a" and (link := _attribute(mark[4], "href")) is not None:
+            links.append(_line(link))
+        elif name == "html" and language is None and (lang := _attribute(mark[4], "lang")):
+            language = _line(lang)
+    pieces.append(page[at:])
+    lines = (" ".join(line.split()) for line in _decoded("".join(pieces)).split("\n"))
+    return "\n".join(line for line in lines if line), title, language, links
+
+
+def warc_fields(title: str | None, language: str | None, links: list[str]) -> str:
+    """The metadata as warc-fields lines."""
+    fields = [("title", title), ("language", language), *(("outlink", x) for x in links)]
+    return "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None)
 
 
 def digest(data: bytes) -> str:
@@ -125,9 +172,10 @@ def derive(responses: DataFrame, keep: str | None = None) -> DataFrame:
                 page = payload.decode("utf-8", "replace")
                 source_digest = digest(payload)
                 ids = {k: record_id(f"{source} {k}") for k in ("metadata", "conversion")}
+                text, *found = read_page(page)
                 for kind, mime, block in (
-                    ("metadata", "application/warc-fields", page_metadata(page).encode()),
-                    ("conversion", "text/plain; charset=utf-8", plain_text(page).encode()),
+                    ("metadata", "application/warc-fields", warc_fields(*found).encode()),
+                    ("conversion", "text/plain; charset=utf-8", text.encode()),
                 ):
                     linked = ids["conversion"] if kind == "metadata" else None
                     rows.append(

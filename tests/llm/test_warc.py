@@ -1,9 +1,14 @@
 import hashlib
+import os
+import time
+from html.parser import HTMLParser
 
 import pytest
 
 from covlattice.llm import warc
 
+DATA = "/root/testdata/sf0.001"
+
 PAGES = [
     (1, "http://a.com/", "<html lang='de'><head><title>A &amp; B</title><style>p{}</style></head><body><p>one<b>two</b></p><br>three &lt;x&gt;<a href=\"/l?a=1&amp;b=2\">link</a></body></html>"),
     (2, None, None),
@@ -21,12 +26,91 @@ def pages(spark):
     return spark.createDataFrame(PAGES, "page_id long, url string, html string")
 
 
+def text(page):
+    return warc.read_page(page)[0]
+
+
+def fields(page):
+    return warc.warc_fields(*warc.read_page(page)[1:])
+
+
 def test_plain_text():
-    assert warc.plain_text(PAGES[0][2]) == "onetwo\nthree <x>link"
-    assert warc.plain_text(PAGES[3][2]) == "no tags at all\nbut lines"
-    assert warc.plain_text(PAGES[4][2]) == "kept"
-    assert warc.plain_text(PAGES[5][2]).split("\n")[:2] == ["éé中 x y", "z"]
-    assert warc.page_metadata(PAGES[0][2]) == "title: A & B\r\nlanguage: de\r\noutlink: /l?a=1&b=2\r\n"
+    assert text(PAGES[0][2]) == "onetwo\nthree <x>link"
+    assert text(PAGES[3][2]) == "no tags at all\nbut lines"
+    assert text(PAGES[4][2]) == "kept"
+    assert text(PAGES[5][2]).split("\n")[:2] == ["éé中 x y", "z"]
+    assert fields(PAGES[0][2]) == "title: A & B\r\nlanguage: de\r\noutlink: /l?a=1&b=2\r\n"
+    assert fields("<html lang=en><title>t</title><!-- <a href=x> --><a href='y&#10;z: w'><a name=n href = q/r>") == (
+        "title: t\r\nlanguage: en\r\noutlink: y z: w\r\noutlink: q/r\r\n"
+    )
+    assert fields("<title>never closed <a href=x>") == "" and text("a<title>never closed") == "a"
+    assert text("x &#" + "9" * 9000 + "; y") == "x \ufffd y"
+
+
+@pytest.mark.parametrize(
+    "piece",
+    ["<a ", "<html ", "<a href=", "<a href='", '<a href="x', "<a b=\"'", "<!--", "<!", "</script ", "<script>", "<title>", "</", "<a\n", "&#", "&amp", "<p", "x=", "= "],
+)
+def test_hostile_pages_take_time_in_proportion(piece):
+    """A megabyte of openings that are never closed; once as tags of their own, once inside one tag."""
+    began = time.process_time()
+    warc.read_page(piece * (1_000_000 // len(piece)))
+    warc.read_page("<a " + piece.replace("<", "") * (1_000_000 // len(piece)) + ">")
+    assert time.process_time() - began < 5
+
+
+class Reader(HTMLParser):
+    """Text, title, language and links by the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.pieces, self.title, self.language, self.links, self.hidden = [], None, None, [], []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in warc._BREAKS:
+            self.pieces.append("\n")
+        if tag in ("script", "style", "noscript", "template", "title"):
+            self.hidden.append(tag)
+        got = dict(reversed(attrs))
+        if tag == "a" and got.get("href") is not None and not self.hidden:
+            self.links.append(" ".join(got["href"].split()))
+        if tag == "html" and self.language is None:
+            self.language = got.get("lang")
+
+    def handle_endtag(self, tag):
+        if tag in warc._BREAKS:
+            self.pieces.append("\n")
+        if self.hidden and tag == self.hidden[-1]:
+            self.hidden.pop()
+
+    def handle_data(self, data):
+        if self.hidden[-1:] == ["title"] and self.title is None:
+            self.title = " ".join(data.split())
+        elif not self.hidden:
+            self.pieces.append(data)
+
+    @property
+    def text(self):
+        lines = (" ".join(x.split()) for x in "".join(self.pieces).split("\n"))
+        return "\n".join(x for x in lines if x)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+def test_query_gives_what_the_standard_parser_gives(spark):
+    from covlattice.llm.queries import op5_warc
+
+    pages = {r.page_id: r for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    made = op5_warc(spark, DATA).collect()
+    assert len(made) == 2 * len(pages)
+    for r in made:
+        page = pages[r.page_id]
+        read = Reader(page.html or "")
+        want = read.text if r.record_type == "conversion" else warc.warc_fields(read.title, read.language, read.links)
+        assert r.block == want
+        assert r.target_uri == page.url and r.payload_digest == warc.digest((page.html or "").encode())
+        assert r.block_digest == warc.digest(want.encode()) and r.content_length == len(want.encode())
 
 
 def test_records_are_linked(pages):
