@@ -4,13 +4,16 @@ A byte pair that occurs inside no vocabulary token is never merged across, so a
 text may be cut there: the fragments are encoded on their own and their ids are
 put one after the other.  White space is in no token of such a vocabulary, so
 every text falls into words, words into the runs of the tokenizer's own split
-pattern, and runs into fragments between forced boundaries; the last fragment
-of a run carries the word end.  Runs repeat, so a worker keeps the encodings
-of those it has met, a bounded number of them.
+pattern, and all new runs of a text, of any script, are cut in one pass over
+their bytes.  The last fragment of a run carries the word end.
+
+Runs repeat, so a worker keeps the encodings of those it has met, up to a number
+of bytes; long ones are encoded anew each time.
 
 Words with characters outside the plain Latin blocks (where normalisation or
-letter classes could differ) or with special tokens are given whole to the
-library, which also makes the merges of every fragment.
+letter classes could differ) are normalised and split by the library, words
+with special tokens are given to it whole; it also makes the merges of every
+fragment.
 """
 
 from __future__ import annotations
@@ -18,17 +21,24 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from array import array
-from collections.abc import Iterable
+from collections import ChainMap
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 from tokenizers import Tokenizer, models
 
-#: Runs that a worker remembers.
-REMEMBERED = 200_000
-#: Runs of up to so many bytes are not cut further: a merge of so few symbols costs less than the search for cuts.
-WHOLE_BYTES = 16
+#: Bytes of encodings that a worker remembers, about.
+REMEMBERED_BYTES = 64 << 20
+#: Longer runs (in characters) are not remembered.
+LONGEST = 64
+#: Bytes that an entry takes besides what it says.
+ENTRY_BYTES = 200
+
+#: Characters of a text that are cut into runs at once.
+PIECE_CHARS = 1 << 19
 
 _SPACES = " \t\n\r\x0b\x0c"
+_SPACE = re.compile(f"[{_SPACES}]")
 _BREAKS = dict.fromkeys(map(ord, _SPACES), " ")
 
 
@@ -65,6 +75,25 @@ def inner_pairs(tokens: Iterable[str], word_end: str = "</w>") -> bytearray:
     return flags
 
 
+class Memory:
+    """Encodings by run (``known``); all are forgotten when they take more than ``limit`` bytes."""
+
+    def __init__(self, limit: int):
+        self.known: dict[str, object] = {}
+        self.limit, self.held = limit, 0
+
+    def make_room(self) -> None:
+        if self.held > self.limit:
+            self.known, self.held = {}, 0
+
+    def keep(self, key: str, value: object, size: int) -> bool:
+        if len(key) > LONGEST:
+            return False
+        self.held += ENTRY_BYTES + len(key) + size
+        self.known[key] = value
+        return True
+
+
 class WordEncoder:
     """Ids of texts as the tokenizer of the file gives them."""
 
@@ -79,37 +108,51 @@ class WordEncoder:
         self._inner = models.BPE(vocab=vocab, merges=merges)
         self._last = self._whole.model
         self._special = [t["content"] for t in spec["added_tokens"]]
-        self._pairs = inner_pairs(vocab, model["end_of_word_suffix"])
-        if any(self._pairs[s << 8 | b] or self._pairs[b << 8 | s] for s in _SPACES.encode() for b in range(256)):
+        flags = inner_pairs(vocab, model["end_of_word_suffix"])
+        if any(flags[s << 8 | b] or flags[b << 8 | s] for s in _SPACES.encode() for b in range(256)):
             raise ValueError("a token of this vocabulary spans white space; it can't be cut there")
+        self._pairs = np.frombuffer(bytes(flags), bool)
         self._alphabet = dict(enumerate(byte_alphabet()))
+        self._back = {ord(c): b for b, c in self._alphabet.items()}
         size = self._whole.get_vocab_size(with_added_tokens=True)
         #: The string of each id.
         self.shown = [self._whole.id_to_token(i) for i in range(size)]
-        self._ids: dict[str, bytes] = {}
-        self._strings: dict[str, tuple[str, str]] = {}
+        self._numbers = [f"{i} " for i in range(size)]
+        self._tokens = [f"{t} " for t in self.shown]
+        self._ids, self._strings = Memory(REMEMBERED_BYTES), Memory(REMEMBERED_BYTES)
 
-    def cuts(self, data: bytes) -> list[int]:
+    def cuts(self, data: bytes) -> np.ndarray:
         """Places in ``data`` where a boundary is forced."""
-        pairs = self._pairs
-        return [i for i in range(1, len(data)) if not pairs[data[i - 1] << 8 | data[i]]]
-
-    def _encode(self, run: str) -> list[int]:
-        """Ids of a run, or of a word that only the library can split (it is led by a space)."""
-        if run[0] == " ":
-            return self._whole.encode(run[1:], add_special_tokens=False).ids
-        if len(run) <= WHOLE_BYTES and run.isascii():  # printable ASCII stands for itself
-            return [t.id for t in self._last.tokenize(run)]
-        data = run.encode()
+        codes = np.frombuffer(data, np.uint8).astype(np.uint16)
+        return np.flatnonzero(~self._pairs[codes[:-1] << 8 | codes[1:]]) + 1
+
+    def _encode(self, runs: list[str]) -> list[list[int]]:
+        """Ids of runs of the split pattern; their bytes are cut in one pass."""
+        data = " ".join(runs).encode()
         shown = data.decode("latin-1").translate(self._alphabet)
-        out, at = [], 0
-        for cut in self.cuts(data):
-            out += [t.id for t in self._inner.tokenize(shown[at:cut])]
-            at = cut
-        return out + [t.id for t in self._last.tokenize(shown[at:])]
+        inner, last, space = self._inner.tokenize, self._last.tokenize, self._alphabet[32]
+        out, ids, at = [], [], 0
+        for end in self.cuts(data).tolist():  # a space is cut off on both sides
+            part = shown[at:end]
+            if part == space:
+                out.append(ids)
+                ids = []
+            else:
+                ids += [t.id for t in (last if shown[end] == space else inner)(part)]
+            at = end
+        out.append(ids + [t.id for t in last(shown[at:])])
+        return out
+
+    def _odd(self, word: str) -> list[int]:
+        """Ids of a word with other characters or special tokens."""
+        if any(s in word for s in self._special):
+            return self._whole.encode(word, add_special_tokens=False).ids
+        pieces = self._whole.pre_tokenizer.pre_tokenize_str(self._whole.normalizer.normalize_str(word))
+        runs = [bytes(map(self._back.__getitem__, map(ord, p))).decode() for p, _ in pieces]
+        return [i for ids in self._encode(runs) for i in ids] if runs else []
 
     def runs(self, text: str | None) -> list[str]:
-        """The runs of a text, in order; words left to the library are led by a space."""
+        """The runs of a text, in order; words with other characters or special tokens are led by a space."""
         if not text:
             return []
         if not _ODD.search(text) and not any(s in text for s in self._special):
@@ -122,31 +165,58 @@ class WordEncoder:
                 out += _RUN.findall(word.lower())
         return out
 
+    def _known(self, runs: list[str], memory: Memory, made: Callable[[list[int]], tuple]) -> dict[str, object]:
+        """What ``made`` makes of the ids of the runs (with its size in bytes), for each of them."""
+        memory.make_room()
+        known = memory.known
+        new = list(set(runs).difference(known))
+        if not new:
+            return known
+        plain = [r for r in new if r[0] != " "]
+        encoded = dict(zip(plain, self._encode(plain))) if plain else {}
+        long = {}
+        for run in new:
+            value, size = made(encoded[run] if run in encoded else self._odd(run[1:]))
+            if not memory.keep(run, value, size):
+                long[run] = value
+        return ChainMap(long, known) if long else known
+
     def ids(self, text: str | None) -> bytes:
         """Ids of the text as 32-bit numbers in the machine's order."""
-        known, out = self._ids, []
-        for run in self.runs(text):
-            got = known.get(run)
-            if got is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                got = known[run] = array("I", self._encode(run)).tobytes()
-            out.append(got)
+        out = []
+        for piece in pieces(text or ""):
+            runs = self.runs(piece)
+            out.extend(map(self._known(runs, self._ids, _packed).__getitem__, runs))
         return b"".join(out)
 
     def strings(self, text: str | None) -> tuple[str, str]:
         """Ids of the text in decimal, and their tokens, each joined by one space."""
-        known, out = self._strings, []
-        for run in self.runs(text):
-            got = known.get(run)
-            if got is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = self._encode(run)
-                got = known[run] = (" ".join(map(str, ids)), " ".join([self.shown[i] for i in ids]))
-            if got[0]:
-                out.append(got)
-        return " ".join([x[0] for x in out]), " ".join([x[1] for x in out])
+        both = []
+        for piece in pieces(text or ""):
+            runs = self.runs(piece)
+            both.extend(map(self._known(runs, self._strings, self._spaced).__getitem__, runs))
+        return "".join([x[0] for x in both])[:-1], "".join([x[1] for x in both])[:-1]
+
+    def _spaced(self, ids: list[int]) -> tuple[tuple[str, str], int]:
+        numbers, tokens = "".join([self._numbers[i] for i in ids]), "".join([self._tokens[i] for i in ids])
+        return (numbers, tokens), 100 + len(numbers) + 2 * len(tokens)
+
+
+def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
+    """The text in pieces of about ``size`` characters that end at white space."""
+    at = 0
+    while len(text) - at > size:
+        found = _SPACE.search(text, at + size)
+        if not found:
+            break
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
+
+
+def _packed(ids: list[int]) -> tuple[bytes, int]:
+    data = np.array(ids, np.uint32).tobytes()
+    return data, len(data)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

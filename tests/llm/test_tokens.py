@@ -36,15 +36,45 @@ def test_encoding_is_the_librarys(own, library):
 
 
 def test_forgotten_runs_are_encoded_again(own, vocabulary, monkeypatch):
-    monkeypatch.setattr(wordbpe, "REMEMBERED", 4)
+    monkeypatch.setattr(wordbpe, "REMEMBERED_BYTES", 700)
     small = WordEncoder(vocabulary("word_bpe_49k.json"))
     for text in ("one two three one four five one six two " * 3, "seven one eight", "one one", ""):
         assert small.ids(text) == own.ids(text) and small.strings(text) == own.strings(text)
 
 
+def test_memory_is_bounded_in_bytes(vocabulary, library):
+    """A megabyte without a break, and many different long runs, of several scripts."""
+    own = WordEncoder(vocabulary("word_bpe_49k.json"))
+    r = random.Random(5)
+    han = "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(330_000))
+    for text in (han, "QmFzZTY0" * 125_000, "x" * 1_000_000):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.ids(text), np.uint32).tolist() == ids
+    words = ["".join(r.choices("bcdfghjklmnpqrstvwxz", k=60)) for _ in range(2000)]
+    han_words = [han[k : k + 50] for k in range(0, 300_000, 50)]
+    for k in range(100):
+        own.ids(" ".join(w[k % 60 :] + w[: k % 60] for w in words))
+        own.strings(" ".join(w[k % 50 :] + w[: k % 50] for w in han_words[k * 60 : k * 60 + 60]))
+    for memory in (own._ids, own._strings):
+        held = sum(len(k) + len(v if isinstance(v, bytes) else "".join(v)) for k, v in memory.known.items())
+        assert held <= memory.held <= wordbpe.REMEMBERED_BYTES + (8 << 20)
+        assert all(len(k) <= wordbpe.LONGEST for k in memory.known)
+
+
+def test_texts_in_pieces(own, library, monkeypatch):
+    text = ("One two\nthree, " * 3000) + "y" * 700 + " end"
+    assert "".join(wordbpe.pieces(text, 100)) == text and len(list(wordbpe.pieces(text, 100))) > 300
+    want = library.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(wordbpe.pieces, "__defaults__", (100,))
+    assert np.frombuffer(own.ids(text), np.uint32).tolist() == want
+    assert own.strings(text) == (" ".join(map(str, want)), library.decode(want, skip_special_tokens=False))
+
+
 def test_boundaries_are_forced_and_cut_long_runs(own, library):
     data = ("zqxjkwvq" * 40).encode()
     assert len(own.cuts(data)) > 40
+    han = "中文字典" * 50  # other scripts are cut as well
+    assert len(own.cuts(han.encode())) > 40
     tokens = set(library.get_vocab())
     assert all(chr(data[i - 1]) + chr(data[i]) not in t for i in own.cuts(data) for t in tokens)
 
