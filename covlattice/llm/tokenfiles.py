@@ -9,13 +9,15 @@ document is read by its segment's index and one frame; the dictionary's hash in
 every segment is checked first.
 
 Documents are dealt by ranges of their id, so the files hold them in ascending
-order; a part knows how many tokens came before each of its segments, and the
-totals of the parts (as many as ranges) give the place of each document among
-all ids.
+order; an id that very many documents have is dealt by ranges of their frames'
+checksums as well.  A part knows how many tokens came before each of its
+segments, and the totals of the parts (as many as ranges) give the place of each
+document among all ids.
 
 Defined results: a null text is the empty text and holds the end id alone;
-documents of equal ids stand together, in the order of their ids' bytes; null
-ids come first; an empty table gives a data set without segments; other columns
+documents of equal ids stand together, in the order of the checksums of their
+frames; null ids come first; an id that is no whole number (or a string of one)
+is an error; an empty table gives a data set without segments; other columns
 are not kept.
 """
 
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +34,6 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covlattice.llm.sharding import place_among
-
 #: Size of the dictionary, and the documents and bytes of ids that it is trained on at most.
 DICTIONARY_BYTES = 64 * 1024
 SAMPLE_DOCUMENTS, SAMPLE_BYTES = 500, 4 << 20
@@ -40,7 +41,7 @@ SAMPLE_DOCUMENTS, SAMPLE_BYTES = 500, 4 << 20
 SAMPLE_CHARS = 1 << 15
 #: Bytes of frames in a segment, about.
 SEGMENT_BYTES = 1 << 20
-#: Rows that a range of ids is meant to hold, and ranges at most (larger ones from then on: their bounds are in the plan).
+#: Rows that a range of ids is meant to hold, and ranges of different ids at most (larger ones from then on).
 PART_ROWS, PARTS = 5_000, 16_384
 LEVEL = 3
 
@@ -76,6 +77,26 @@ def _sample(docs: DataFrame, vocabulary: str, end_id: int, width: int) -> list[b
     return out
 
 
+def part_bounds(docs: DataFrame) -> list[tuple[bool, int, int]]:
+    """Where the parts after the first begin, as (id is not null, id, checksum), in order.
+
+    Quantiles of the ids, and for each id of more than ``PART_ROWS`` documents
+    (counted; fewer than there are parts) equal ranges of checksums.
+    """
+    n = docs.count()
+    parts = min(PARTS, max(1, -(-n // PART_ROWS)))
+    if parts == 1:
+        return []
+    found = docs.where("doc_id IS NOT NULL").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts)
+    bounds = {(True, int(b), 0) for b in found}
+    least = max(PART_ROWS, n // PARTS)
+    for row in docs.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > least).collect():
+        known, i, pieces = row["doc_id"] is not None, row["doc_id"] or 0, -(-row["n"] // least)
+        bounds |= {(known, i, (k << 32) // pieces) for k in range(pieces)}
+        bounds |= {(True, i + 1, 0)} if known else set()
+    return sorted(bounds)
+
+
 def write_token_files(
     docs: DataFrame, path: str, vocabulary: str, end_id: int, doc_id: str = "doc_id", text: str = "text"
 ) -> None:
@@ -97,19 +118,22 @@ def write_token_files(
         f"{path}/dictionary"
     )
     shared = spark.sparkContext.broadcast(trained)  # DICTIONARY_BYTES at most
+    bounds = spark.sparkContext.broadcast(part_bounds(docs.select("doc_id")))  # two for each part at most
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         zip_ = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(shared.value), write_content_size=True)
         for batch in batches:
-            counts, frames = [], []
-            for t in batch.column("text"):
+            counts, frames, checks, parts = [], [], [], []
+            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 ids = _serialised(enc, t.as_py(), end_id, width)
                 counts.append(len(ids))
                 frames.append(zip_.compress(ids.tobytes()))
+                checks.append(zlib.crc32(frames[-1]))
+                parts.append(bisect_right(bounds.value, (i is not None, i or 0, checks[-1])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())],
-                names=["doc_id", "n", "frame"],
+                [batch.column("doc_id"), *(pa.array(*x) for x in ((counts, pa.int64()), (frames, pa.binary()), (checks, pa.int64()), (parts, pa.int32())))],
+                names=["doc_id", "n", "frame", "crc", "part"],
             )
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,17 +167,10 @@ def write_token_files(
         ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())),
         ("frames", pa.binary()),
     ])
-    rows = docs.select("doc_id").where("doc_id IS NOT NULL")
-    parts = min(PARTS, max(1, -(-rows.count() // PART_ROWS)))
-    cuts = [k / parts for k in range(1, parts)]
-    bounds = rows.approxQuantile("doc_id", cuts, 0.1 / parts) if cuts else []
-    bounds = sorted({int(b) for b in bounds})
-    framed = docs.mapInArrow(compress, "doc_id long, n long, frame binary").withColumn(
-        "part", F.coalesce(place_among(F.col("doc_id"), bounds), F.lit(0))
-    )
+    framed = docs.mapInArrow(compress, "doc_id long, n long, frame binary, crc long, part int")
     (
-        framed.repartition(parts, "part")
-        .sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "frame")
+        framed.repartitionById(len(bounds.value) + 1, "part")  # each part is a task of its own
+        .sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "crc", "frame")
         .mapInArrow(
             segment,
             "part int, first long, n_ids long, dictionary string, doc_ids array<long>, counts array<long>, "

@@ -119,6 +119,22 @@ def test_token_files(spark, docs, cases, vocabulary, library, tmp_path, monkeypa
     assert sorted(r.doc_id for r in few) == [8, 14]
 
 
+def test_token_files_of_one_hot_id(spark, vocabulary, library, tmp_path, monkeypatch):
+    """An id, and null, that many documents have are dealt to several parts; the places stay gapless."""
+    monkeypatch.setattr(tokenfiles, "PART_ROWS", 10)
+    rows = [(7, f"text {k}") for k in range(60)] + [(None, f"none {k}") for k in range(40)] + [(k, f"own {k}") for k in range(30)]
+    path = str(tmp_path / "h")
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tokenfiles.write_token_files(made, path, vocabulary("word_bpe_49k.json"), end_id=2)
+    parts = spark.read.parquet(f"{path}/segments").selectExpr("part", "explode(doc_ids) AS i").groupBy("part").agg({"i": "count", "*": "count"}).collect()
+    assert max(r["count(1)"] for r in parts) < 40
+    got = sorted(tokenfiles.read_token_files(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((r.doc_id for r in got), key=lambda i: (i is not None, i or 0)) and len(got) == len(rows)
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+    ids = lambda t: np.array(library.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes()
+    assert sorted((str(r.doc_id), bytes(r.ids)) for r in got) == sorted((str(i), ids(t)) for i, t in rows)
+
+
 def test_token_files_of_an_empty_table_and_of_another_dictionary(spark, empty, docs, vocabulary, tmp_path):
     path = str(tmp_path / "e")
     tokenfiles.write_token_files(empty, path, vocabulary("word_bpe_49k.json"), end_id=2)
