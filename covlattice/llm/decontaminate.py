@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covlattice.llm.common import cut_lineage
+from covlattice.llm.common import cut_lineage, small, without_keys
 
 WINDOW = 10
 KGRAM = 5
@@ -332,12 +332,8 @@ def contamination_report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``docs`` that hold no window of an item, with their columns."""
-    content = F.xxhash64(F.col(f"`{text}`"))
-    keyed = docs.select(F.col(f"`{doc_id}`").alias("id_"), content.alias("content_"), F.col(f"`{text}`").alias("text"))
+    key = [F.col(f"`{doc_id}`"), F.xxhash64(F.col(f"`{text}`"))]
+    keyed = docs.select(key[0].alias("id_"), key[1].alias("content_"), F.col(f"`{text}`").alias("text"))
     tried, hits, _ = _matches(keyed, items, ["id_", "content_"], "text")
-    found = tried.join(hits.select("row_"), "row_", "left_semi").select("id_", "content_").distinct()
-    tagged = docs.withColumn("_content_", content).alias("d")
-    on = F.col(f"d.`{doc_id}`").eqNullSafe(F.col("k.id_")) & (F.col("d._content_") == F.col("k.content_"))
-    return tagged.join(found.hint("shuffle_hash").alias("k"), on, "left_anti").select(
-        *[F.col(f"d.`{c}`") for c in docs.columns]
-    )
+    found = tried.join(small(cut_lineage(hits.select("row_"))), "row_", "left_semi").select("id_", "content_").distinct()
+    return without_keys(docs, key, cut_lineage(found))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covlattice.llm.common import cut_lineage
+from covlattice.llm.common import cut_lineage, left_join_skewed, small, with_keys, without_keys
 from covlattice.llm.components import components
 
 RADIUS = 4
@@ -195,47 +195,51 @@ def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE)
     return work.select("sides").mapInArrow(run, "a long, b long")
 
 
+def group_heads(fps: DataFrame, head: Column, radius: int = RADIUS) -> DataFrame:
+    """(fp, n, head): rows of a fingerprint, and the smallest ``head`` of its component.
+
+    Only fingerprints that several rows have, or that have a link, are listed.
+    All joins are of distinct fingerprints.
+    """
+    per = cut_lineage(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min(head).alias("head")))
+    found = cut_lineage(components(fingerprint_links(per.select("fp"), radius)).withColumnRenamed("node", "fp"))
+    linked = cut_lineage(per.join(small(found), "fp"))
+    roots = linked.groupBy("root").agg(F.min("head").alias("first"), F.count("*").alias("n_"))
+    joined = left_join_skewed(linked, cut_lineage(roots), "root", "n_").select("fp", "n", F.col("first").alias("head"))
+    alone = per.where("n > 1").join(small(found.select("fp")), "fp", "left_anti")
+    return cut_lineage(alone.unionByName(joined))
+
+
 def near_duplicates(
-    docs: DataFrame, keys: list[str], text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE
+    docs: DataFrame, keys: list[str], head: Column, text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE
 ) -> DataFrame:
-    """``keys`` of every row, ``fp``, and ``root``: a fingerprint that stands for the row's component."""
+    """``keys`` of every row, ``fp``, and ``head``: the smallest of the row's component; null where the row is alone."""
     fps = cut_lineage(fingerprints(docs, keys, text, shingle))
-    nodes = fps.select("fp").distinct()
-    found = components(fingerprint_links(nodes, radius)).withColumnRenamed("node", "fp")
-    return fps.join(found, "fp", "left").select(*keys, "fp", F.coalesce("root", "fp").alias("root"))
+    return left_join_skewed(fps, group_heads(fps, head, radius), "fp")
 
 
 def near_duplicate_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest id of the component."""
     keyed = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    member = near_duplicates(keyed, ["doc_id"])
-    smallest = cut_lineage(member.groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    return member.join(smallest, "root").select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+    member = near_duplicates(keyed, ["doc_id"], F.col("doc_id"))
+    return member.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), F.coalesce("head", "doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``docs``, one for each component: that of the smallest id (ids before nulls).
 
-    Rows equal in id and text are one document and give one row.
+    Rows equal in id and text are one document and give one row.  Only the ids
+    and content hashes of the rows to drop are joined to the documents.
     """
-    content = F.xxhash64(F.col(f"`{text}`"))
-    keyed = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("text"), content.alias("_content"))
-    member = near_duplicates(keyed, ["_id", "_content"])
-    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_content")).alias("k")
-    chosen = cut_lineage(member.groupBy("root").agg(first).select("k._id", "k._content"))
-    times = member.join(chosen, member["_id"].eqNullSafe(chosen["_id"]) & (member["_content"] == chosen["_content"]), "left_semi")
-    repeated = cut_lineage(times.groupBy("_id", "_content").count().where("count > 1").select("_id", "_content"))
-    plain = [F.col(f"d.`{c}`") for c in docs.columns]
-    tagged = docs.withColumn("_content_", content).alias("d")
-
-    def matching(keys: DataFrame) -> DataFrame:
-        k = keys.hint("shuffle_hash").alias("k")
-        on = F.col(f"d.`{doc_id}`").eqNullSafe(F.col("k._id")) & (F.col("d._content_") == F.col("k._content"))
-        return tagged.join(k, on, "left_semi").select(*plain)
-
+    key = [F.col(f"`{doc_id}`"), F.xxhash64(F.col(f"`{text}`"))]
+    keyed = docs.select(key[0].alias("_id"), F.col(f"`{text}`").alias("text"), key[1].alias("_content"))
+    head = F.struct(F.col("_id").isNull().alias("none"), "_id", "_content")
+    member = near_duplicates(keyed, ["_id", "_content"], head).where("head IS NOT NULL")
+    first = F.col("_id").eqNullSafe(F.col("head._id")) & (F.col("_content") == F.col("head._content"))
+    times = cut_lineage(member.groupBy("_id", "_content").agg(F.bool_and(first).alias("first"), F.count("*").alias("n")))
+    gone = times.where("NOT first OR n > 1").select("_id", "_content")
+    kept = without_keys(docs, key, gone)
+    repeated = times.where("first AND n > 1").select("_id", "_content")
     if repeated.isEmpty():
-        return matching(chosen)
-    once = chosen.join(
-        repeated, chosen["_id"].eqNullSafe(repeated["_id"]) & (chosen["_content"] == repeated["_content"]), "left_anti"
-    )
-    return matching(once).unionByName(matching(repeated).dropDuplicates([doc_id, text]))
+        return kept
+    return kept.unionByName(with_keys(docs, key, repeated).dropDuplicates([doc_id, text]))

@@ -47,7 +47,7 @@ def cases():
 
 
 #: Names that operators use inside, as extra columns of the input.
-EXTRA = ["words", "_words", "key", "fp", "root", "part", "size", "row_", "hits", "n", "kept", "shard", "k", "content_", "_id", "text_", "found", "window"]
+EXTRA = ["words", "_words", "key", "fp", "root", "part", "size", "row_", "hits", "n", "kept", "shard", "k", "content_", "_id", "text_", "found", "window", "_content_", "_content", "head", "crc", "key_", "size_", "part_", "_key0", "shard_", "number", "rule", "url_", "bad"]
 
 
 @pytest.fixture(scope="session")

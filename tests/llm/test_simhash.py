@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from covlattice.llm import components, simhash
+from covlattice.llm import common, components, simhash
 
 from .conftest import SCHEMA, prose
 
@@ -98,6 +98,17 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 30])
+def test_joins_by_shuffle_give_the_same(spark, docs, cases, monkeypatch, hot):
+    """With nothing broadcast but the hot fingerprints, and a fingerprint that a third of all rows have."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_KEYS", hot)
+    rows = cases + [(1000 + k, prose(60, 1)) for k in range(20)] + [(2000 + k, prose(60, 1) + " x" * (k % 3)) for k in range(20)]
+    made = simhash.near_duplicate_report(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    assert sorted(map(tuple, made.collect()), key=str) == brute(rows)
+    test_one_row_of_each_class_stays(spark, docs, cases)
+
+
 def test_one_row_of_each_class_stays(spark, docs, cases):
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
