@@ -1,16 +1,19 @@
 """Sharding by histogram sort (native DataFrame expressions).
 
 Documents get a 63-bit key: text hash, then id hash, then a salt, so that equal
-texts stay together and yet a group of any size can be split.  Splitters are
+texts stand together and yet a group of any size can be split.  Splitters are
 found by counting: one aggregation gives the exact bytes of 4,096 ranges of
 keys; those ranges in which a wanted splitter lies are counted again in 256
-parts each, until every splitter is within the tolerance or its range holds one
-row.  Only these counts come to the driver: a number of rows that depends on
-the shards, never on the input.  Then rows are exchanged once, by splitters.
+parts each, until every splitter is within the tolerance.  The bits of id and
+salt are looked at only within a text hash that has more than ``GROUP_SHARE`` of
+a shard's bytes, so that equal texts share a shard unless they are more than
+that; a splitter goes to the nearer end of a smaller group.  Only these counts
+come to the driver: a number of rows that depends on the shards, never on the
+input.  Then rows are exchanged once, by splitters.
 
-Every shard is cut into ``parts`` ranges by the same splitters, so that the
-slots of a shard are numbered by many tasks: a row's slot is its number in its
-part after the rows of the shard's parts before it.
+The slots of a shard are numbered by many tasks: its rows fall into cells by a
+hash of their key, a cell is numbered on its own, and the counts of the cells
+give where each begins.
 
 Defined results: a null text has no bytes, counts as ``OVERHEAD`` bytes and has
 checksum 0; equal rows are different rows with slots of their own; an empty
@@ -23,18 +26,22 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covlattice.llm.common import cut_lineage
+from covlattice.llm.common import cut_lineage, fresh, small
 
 SHARDS = 40
 #: Bytes that a document takes besides its text.
 OVERHEAD = 16
 #: Share of a shard's bytes by which a splitter may be off.
 TOLERANCE = 0.002
-#: Ranges in which the rows of a shard are numbered.
+#: Equal texts of more than this share of a shard's bytes may be split.
+GROUP_SHARE = 0.1
+#: Rows that a cell is meant to hold at most.
+CELL_ROWS = 2_000_000
+#: Files of a shard that :func:`write_shards` writes.
 PARTS = 8
-#: Rows that one of those ranges is meant to hold at most.
-PART_ROWS = 2_000_000
 _KEY_BITS, _FIRST_BITS, _NEXT_BITS = 63, 12, 8
+#: Bits of id and salt, below those of the text.
+_INNER_BITS = 32
 
 
 def document_size(text: Column) -> Column:
@@ -55,11 +62,12 @@ def _count(keys: DataFrame, width: int) -> list[tuple[int, int, int]]:
     return sorted((r["p"], r["s"], r["n"]) for r in found.collect())
 
 
-def find_splitters(keys: DataFrame, pieces: int, tolerance: float = TOLERANCE, per: int = 1) -> list[int]:
+def find_splitters(keys: DataFrame, pieces: int, tolerance: float = TOLERANCE, group: float = GROUP_SHARE) -> list[int]:
     """Keys that cut ``keys`` (key, size) into ``pieces`` ranges of nearly equal bytes.
 
-    Each is within ``tolerance`` of the bytes of ``per`` pieces, or as near as
-    whole rows allow.  A row belongs after the splitters that are not above its key.
+    Each is within ``tolerance`` of the bytes of a piece, or as near as whole
+    rows allow, and whole groups of up to ``group`` of a piece.  A row belongs
+    after the splitters that are not above its key.
     """
     width = _KEY_BITS - _FIRST_BITS
     counts = _count(keys, width)
@@ -71,17 +79,18 @@ def find_splitters(keys: DataFrame, pieces: int, tolerance: float = TOLERANCE, p
     rows = np.array([c[2] for c in counts], np.int64)
     widths = np.full(len(counts), width)
     wanted = np.array([total * j // pieces for j in range(1, pieces)], np.int64)
-    slack = tolerance * total * per / pieces
+    slack, large = tolerance * total / pieces, group * total / pieces
     while True:
         below = np.r_[0, np.cumsum(size)]
         at = np.clip(np.searchsorted(below, wanted, "right") - 1, 0, len(starts) - 1)
         off = np.minimum(wanted - below[at], below[at + 1] - wanted)
-        open_ = np.unique(at[(off > slack) & (rows[at] > 1) & (widths[at] > 0)])
+        whole = (widths[at] == _INNER_BITS) & (size[at] <= large)
+        open_ = np.unique(at[(off > slack) & (rows[at] > 1) & (widths[at] > 0) & ~whole])
         if not len(open_):
             break
         width = int(widths[open_].max())
         open_ = open_[widths[open_] == width]
-        step = min(_NEXT_BITS, width)
+        step = min(_NEXT_BITS, width - _INNER_BITS if width > _INNER_BITS else width)  # the text's bits first
         within = [int(s) >> width for s in starts[open_]]
         inner = _count(keys.where(F.shiftright("key", width).isin(within)), width - step)
         keep = np.ones(len(starts), bool)
@@ -110,41 +119,37 @@ def place_among(key: Column, splitters: list[int]) -> Column:
     )
 
 
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> tuple[Column, Column]:
+    t, i = F.col(f"`{text}`"), F.col(f"`{doc_id}`")
+    return sort_key(t, i), document_size(t)
+
+
 def assign_shards(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS, parts: int = PARTS
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS, cell_rows: int = CELL_ROWS
 ) -> DataFrame:
     """doc_id, size, text_crc32, key, shard, slot of every document.
 
-    ``shard`` is an int from 0 to ``shards`` - 1; ``slot`` numbers its rows from 0 by key.
+    ``shard`` is an int from 0 to ``shards`` - 1; ``slot`` numbers its rows from 0.
     """
-    t = F.col(f"`{text}`")
+    key, size = _keyed(docs, doc_id, text)
     rows = cut_lineage(
         docs.select(
             F.col(f"`{doc_id}`").alias("doc_id"),
-            document_size(t).alias("size"),
-            F.crc32(F.coalesce(t, F.lit("")).cast("binary")).alias("text_crc32"),
-            sort_key(t, F.col(f"`{doc_id}`")).alias("key"),
+            size.alias("size"),
+            F.crc32(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")).alias("text_crc32"),
+            key.alias("key"),
         )
     )
-    parts = max(parts, -(-rows.count() // (shards * PART_ROWS)))
-    splitters = find_splitters(rows.select("key", "size"), shards * parts, per=parts)
-    placed = rows.withColumn("part", place_among(F.col("key"), splitters))
-    # a row for each part: shards * parts, as the splitters
-    before = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    first, offset = [], 0
-    for part in range(shards * parts):
-        offset = 0 if part % parts == 0 else offset
-        first.append(offset)
-        offset += before.get(part, 0)
-    starts = F.array(*[F.lit(n).cast("long") for n in first])
-    placed = placed.withColumn("number", F.expr("row_number() OVER (PARTITION BY part ORDER BY key, doc_id, text_crc32)"))
-    return placed.select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        "key",
-        F.floor(F.col("part") / parts).cast("int").alias("shard"),
-        (F.get(starts, F.col("part")) + F.col("number") - 1).alias("slot"),
+    cells = max(1, -(-rows.count() // (shards * cell_rows)))
+    splitters = find_splitters(rows.select("key", "size"), shards)
+    placed = rows.withColumn("shard", place_among(F.col("key"), splitters).cast("int"))
+    placed = placed.withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(cells)))
+    counts = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
+    before = F.expr("coalesce(sum(n) OVER (PARTITION BY shard ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
+    first = cut_lineage(counts.select("shard", "cell", before.alias("first")))  # a row for ``cell_rows`` rows or so
+    placed = placed.withColumn("number", F.expr("row_number() OVER (PARTITION BY shard, cell ORDER BY key, doc_id, text_crc32)"))
+    return placed.join(small(first), ["shard", "cell"]).select(
+        "doc_id", "size", "text_crc32", "key", "shard", (F.col("first") + F.col("number") - 1).alias("slot")
     )
 
 
@@ -163,20 +168,25 @@ def shard_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
 
 def write_shards(
     docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS, parts: int = PARTS
-) -> None:
-    """Write the rows of ``docs`` as Parquet under ``path``/shard=N, in key order, ``parts`` files a shard or so.
+) -> str:
+    """Write the rows of ``docs`` as Parquet under ``path``/shard=N, ``parts`` files a shard, each in key order.
 
-    The whole rows are exchanged once, by the parts that the splitters give.
+    Texts are read twice: for their keys, which are written and counted, and
+    for the one exchange of whole rows.  The salt of the second reading may
+    differ from that of the first; it only tells equal rows apart.  Gives the
+    name of the column of the shard, another one than ``shard`` if ``docs`` has that.
     """
-    t, i = F.col(f"`{text}`"), F.col(f"`{doc_id}`")
-    keyed = docs.withColumn("key_", sort_key(t, i)).withColumn("size_", document_size(t))
-    splitters = find_splitters(keyed.select(F.col("key_").alias("key"), F.col("size_").alias("size")), shards * parts, per=parts)
+    key, size = _keyed(docs, doc_id, text)
+    splitters = find_splitters(cut_lineage(docs.select(key.alias("key"), size.alias("size"))), shards)
+    key_, part_ = fresh(docs, "key"), fresh(docs, "part")
+    shard_ = fresh(docs, "shard") if "shard" in {c.lower() for c in docs.columns} else "shard"
+    placed = docs.withColumn(key_, key).withColumn(shard_, place_among(F.col(key_), splitters).cast("int"))
     (
-        keyed.withColumn("part_", place_among(F.col("key_"), splitters))
-        .withColumn("shard", F.floor(F.col("part_") / parts).cast("int"))
-        .repartitionByRange(shards * parts, "part_")
-        .sortWithinPartitions("part_", "key_")
-        .drop("part_", "key_", "size_")
-        .write.partitionBy("shard")
+        placed.withColumn(part_, (F.col(shard_) * parts + F.pmod(F.xxhash64(key_), F.lit(parts))).cast("int"))
+        .repartitionById(shards * parts, part_)
+        .sortWithinPartitions(key_)
+        .drop(key_, part_)
+        .write.partitionBy(shard_)
         .parquet(path)
     )
+    return shard_
