@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from covlattice.llm import quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -47,7 +49,6 @@ def test_filter_keeps_columns_and_the_same_rows(docs, cases):
 
 def test_order_does_not_change_verdicts(spark, docs):
     from covlattice.llm.common import bind
-    from pyspark.sql import functions as F
 
     there = bind(quality.text_and_words(F.col("text")), lambda d: quality.rejected_by(d, quality.LAZY_RULES)).isNull()
     back = bind(quality.text_and_words(F.col("text")), lambda d: quality.rejected_by(d, quality.LAZY_RULES[::-1])).isNull()
@@ -63,3 +64,24 @@ def test_cheap_rejections_come_first():
 def test_empty_table(empty):
     assert quality.quality_report(empty).count() == 0
     assert quality.quality_filter(empty).count() == 0
+
+
+def test_the_order_is_that_of_the_costs(spark, docs):
+    """A rule that does twenty times the work for the same rejections is last, in ten of ten runs."""
+    sample = spark.range(400).select(quality.text_and_words(F.repeat(F.lit("some words of a text "), 30)).alias("doc")).coalesce(1).persist()
+    light = quality.Rule("light", lambda d: F.size(d["words"]) > 0)
+    heavy = quality.Rule("a heavy one", lambda d: F.size(F.filter(d["words"], lambda w: F.length(F.regexp_replace(w, "[aeiou]", "")) > 0)) > 0)
+    never = quality.Rule("a never", lambda d: F.size(d["words"]) < 0)
+    for _ in range(10):
+        ordered = quality.order_rules([heavy, never, light], quality.measure(sample, "doc", [heavy, never, light]))
+        assert [r.name for r in ordered] == ["light", "a heavy one", "a never"]
+    sample.unpersist()
+
+
+def test_the_sample_is_of_the_whole_table(spark, monkeypatch):
+    """Rows of every part of the table are measured, also where one id is very frequent."""
+    seen = {}
+    monkeypatch.setattr(quality, "measure", lambda sample, doc, rules: seen.setdefault("rows", [r[0] for r in sample.select("doc.text").collect()]) and [quality.RuleStats(r.name, 1.0, 0.5) for r in rules])
+    rows = spark.range(10_000).select(F.when(F.col("id") < 3000, 5).otherwise(F.col("id")).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    assert len(quality.plan_cascade(rows, quality.LAZY_RULES)) == len(quality.LAZY_RULES)
+    assert 300 <= len(seen["rows"]) <= 400 and max(map(int, seen["rows"])) > 9000
