@@ -9,9 +9,14 @@ to it at least, and is retrieved with a probability of 1 - 0.72 ** 32, over
 0.99997 (an exact copy: over 0.9999999).  Retrieved pairs are verified by the
 share of the template's distinct shingles that the window holds.
 
-Where the templates' keys are few (checked), documents and windows without any
-shingle of a template stop at once, and windows without a retrieved key are not
-exploded; with more templates the same joins run without these filters.
+Documents are cut into segments of ``SEGMENT`` window starts, so that no row
+grows with a text.  The minima of a window are those of its four quarters, which
+its neighbours share.  Band keys pass a bit filter of the templates' keys, sized
+by their count up to ``FILTER_BITS``, before they are exploded as (segment,
+window, key) and joined to the templates; the shingles of a window are fetched
+only for pairs that met.  Documents without any shingle of a template, by
+another such filter, are not cut into windows.  More templates let more through
+the filters; results do not change.
 
 Defined results: null texts and texts under five words hold no license; a
 template's own text does; equal rows get equal results, one each; empty tables
@@ -21,16 +26,22 @@ looked at.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covlattice.llm.common import bind, cut_lineage
+from covlattice.llm.common import bind, cut_lineage, small
 
 SHINGLE = 5
 BANDS = 32
 CONTAINMENT = 0.8
-#: Keys or shingles of templates that are matched inside a row and sent to every task.
-FEW = 20_000
+#: Window starts in a segment of a document; a power of two.
+SEGMENT = 2048
+#: Shingles of templates that are sent to every task at most (8 MB).
+BROADCAST_SHINGLES = 1_000_000
+#: Bits for a key of the templates, and bits of a filter at most (2 MB).
+KEY_BITS, FILTER_BITS = 64, 1 << 24
 
 #: Notices of public licenses, in their published wording.
 TEMPLATES = {
@@ -43,10 +54,20 @@ TEMPLATES = {
         "either express or implied. See the License for the specific language governing permissions and limitations under "
         "the License."
     ),
+    "agpl-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
+        "any later version."
+    ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
         "following conditions are met"
     ),
+    "bsd-disclaimer": (
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+        "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+        "DISCLAIMED."
+    ),
     "cc-by-4.0": "Licensed under CC BY 4.0.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
@@ -56,12 +77,38 @@ TEMPLATES = {
         "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
         "later version."
     ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "lgpl-notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) "
+        "any later version."
+    ),
     "mit": "Released under the MIT License.",
+    "mit-disclaimer": (
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+    ),
     "mit-permission": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
         "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
     ),
+    "mpl-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+        "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means."
+    ),
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+        "liable for any damages arising from the use of this software."
+    ),
 }
 
 
@@ -83,11 +130,50 @@ def shingles(text: Column) -> Column:
 
 
 def minima(hashes: Column) -> Column:
-    """The smallest hash under each of ``BANDS`` orders, as keys of the band."""
+    """The smallest hash under each of ``BANDS`` orders."""
     orders = F.array(*[F.xxhash64(F.lit(j)) for j in range(BANDS)])
-    return F.transform(
-        orders, lambda c, j: F.xxhash64(j, F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(c))))
-    )
+    return F.transform(orders, lambda c: F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(c))))
+
+
+def band_keys(smallest: Column) -> Column:
+    """Keys of the bands of these minima."""
+    return F.transform(smallest, lambda m, j: F.xxhash64(j, m))
+
+
+def window_minima(segment: Column, width: int, stride: int, step: int) -> Column:
+    """Array of struct<at, smallest> of the windows that start in the first ``step`` hashes of a segment."""
+    last = F.floor((F.size(segment) - 1) / stride).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: minima(F.slice(segment, b * stride + 1, stride)))
+
+    def window(all_: Column, b: Column) -> Column:
+        part = [F.get(all_, b)] + [F.coalesce(F.get(all_, b + k), F.get(all_, b)) for k in range(1, width // stride)]
+        while len(part) > 1:
+            part = [F.zip_with(x, y, lambda p, q: F.least(p, q)) for x, y in zip(part[::2], part[1::2])]
+        return F.struct((b * stride).alias("at"), part[0].alias("smallest"))
+
+    starts = F.sequence(F.lit(0), F.least(last, F.lit(step // stride - 1)))
+    return bind(blocks, lambda all_: F.transform(starts, lambda b: window(all_, b)))
+
+
+def bit_filter(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A test that every ``key`` passes and few other hashes do; as many bits as the keys need, ``FILTER_BITS`` at most."""
+    bits = 64
+    while bits < min(FILTER_BITS, KEY_BITS * keys.count()):
+        bits *= 2
+    place = F.shiftrightunsigned(F.col(key), 20).bitwiseAND(F.lit(bits - 1))
+    word = F.shiftrightunsigned(place, 6).cast("int").alias("word")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bit")
+    words = [0] * (bits // 64)
+    for row in keys.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # bits / 64 rows at most
+        words[row["word"]] = row["bits"]
+    table = F.split(F.lit(",".join(map(str, words))), ",").cast("array<long>")  # a constant of the plan
+
+    def passes(h: Column) -> Column:
+        at = F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(bits - 1))
+        found = F.get(table, F.shiftrightunsigned(at, 6).cast("int"))
+        return F.call_function("shiftrightunsigned", found, at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return passes
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
@@ -100,7 +186,7 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     return cut_lineage(
         made.select(
             "template", "shingles", "width", F.greatest(F.lit(1), F.floor(F.col("width") / 4).cast("int")).alias("stride"),
-            minima(F.col("shingles")).alias("keys"),
+            band_keys(minima(F.col("shingles"))).alias("keys"),
         )
     )
 
@@ -114,40 +200,37 @@ def license_matches(
     kinds = known.groupBy("width", "stride").agg(F.min(F.size("shingles")).alias("least")).collect()  # a row for each power of two
     if any(k["least"] == 0 for k in kinds):
         raise ValueError(f"a template has fewer than {SHINGLE} words")
-    pieces = known.select(F.explode("shingles").alias("h"), "template").select("h").distinct()
-    few = pieces.count() <= FEW and known.count() * BANDS <= FEW
-    hashes = shingles(F.col("text_"))
-    if few:
-        wanted = [r["h"] for r in pieces.collect()]
-        hashes = bind(hashes, lambda hs: F.when(F.exists(hs, lambda h: h.isin(wanted)), hs))
+    of_template = bit_filter(known.select(F.explode("shingles").alias("h")), "h")
+    hashes = bind(shingles(F.col("text_")), lambda hs: F.when(F.exists(hs, of_template), hs))
     light = cut_lineage(
         docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text_"))
         .select("doc_id", F.monotonically_increasing_id().alias("row_"), hashes.alias("hashes"))
     )
-    keys = [r["k"] for r in known.select(F.explode("keys").alias("k")).distinct().collect()] if few else None
-    tried = light.where("size(hashes) > 0")
-    filed = known.select("template", "width", "shingles", F.explode("keys").alias("key"))
-    sizes = F.array(*[F.struct(F.lit(k["width"]).alias("width"), F.lit(k["stride"]).alias("stride")) for k in kinds])
-    each = F.flatten(
-        F.transform(
-            sizes,
-            lambda k: F.transform(
-                F.sequence(F.lit(1), F.size("hashes"), k["stride"]),
-                lambda i: F.struct(k["width"].alias("width"), (i - 1).alias("start_word"), F.slice("hashes", i, k["width"]).alias("window")),
-            ),
-        )
-    )
-    windows = tried.select("row_", F.explode(each).alias("w"))
-    if few:  # a window without any shingle of a template holds no share of one
-        windows = windows.where(F.exists("w.window", lambda h: h.isin(wanted)))
-    windows = windows.select("row_", "w.width", "w.start_word", "w.window", minima(F.col("w.window")).alias("found"))
-    found = F.col("found") if keys is None else F.filter("found", lambda k: k.isin(keys))
-    looked = windows.select("row_", "width", "start_word", "window", F.explode(found).alias("key"))
-    met = looked.join(F.broadcast(filed) if few else filed, ["width", "key"])
+    step = max([SEGMENT, *(k["stride"] for k in kinds)])
+    reach = step + max((k["width"] for k in kinds), default=0)
+    first = F.sequence(F.lit(0), F.size("hashes") - 1, F.lit(step))
+    cut = F.transform(first, lambda i: F.struct(i.alias("first"), F.slice("hashes", i + 1, reach).alias("hashes")))
+    segments = light.where("size(hashes) > 0").select("row_", F.explode(cut).alias("s")).select("row_", "s.first", "s.hashes")
+    filed = cut_lineage(known.select("template", "width", F.explode("keys").alias("key")))
+    of_key = bit_filter(filed, "key")
+
+    def keyed(width: int) -> Callable[[Column], Column]:
+        entry = lambda w: lambda k: F.struct(F.lit(width).alias("width"), w["at"].alias("at"), k.alias("key"))
+        return lambda w: F.transform(F.filter(band_keys(w["smallest"]), of_key), entry(w))
+
+    none = F.array().cast("array<struct<width: int, at: int, key: bigint>>")
+    each = [F.flatten(F.transform(window_minima(F.col("hashes"), k["width"], k["stride"], step), keyed(k["width"]))) for k in kinds]
+    looked = segments.select("row_", "first", F.explode(F.concat(none, *each)).alias("w")).select("row_", "first", "w.*")
+    met = looked.join(small(filed), ["width", "key"]).select("row_", "first", "at", "width", "template").distinct()
+    tried = segments.join(small(cut_lineage(met)), ["row_", "first"])
+    tried = tried.select("row_", "template", (F.col("first") + F.col("at")).alias("start_word"), F.slice("hashes", F.col("at") + 1, F.col("width")).alias("window"))
+    pieces = known.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    wanted = known.select("template", "shingles")
+    tried = tried.join(F.broadcast(wanted) if pieces <= BROADCAST_SHINGLES else wanted, "template")
     share = F.size(F.array_intersect("window", "shingles")) / F.size("shingles")
-    matches = met.select("row_", "template", "start_word", share.alias("containment")).where(F.col("containment") >= CONTAINMENT)
+    matches = tried.select("row_", "template", "start_word", share.alias("containment"))
     best = F.max(F.struct("containment", (-F.col("start_word")).alias("at"))).alias("b")
-    matches = matches.groupBy("row_", "template").agg(best)
+    matches = matches.where(F.col("containment") >= CONTAINMENT).groupBy("row_", "template").agg(best)
     return light.select("row_", "doc_id"), matches.select(
         "row_", "template", (-F.col("b.at")).alias("start_word"), F.col("b.containment").alias("containment")
     )
