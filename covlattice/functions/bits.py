@@ -23,7 +23,3 @@ def intersection_size(a: Column, b: Column) -> Column:
     both = F.zip_with(a, b, lambda x, y: F.bit_count(F.coalesce(x, F.lit(0)).bitwiseAND(F.coalesce(y, F.lit(0)))))
     return F.aggregate(both, _zero(), lambda n, c: n + c.cast("int"))
 
-
-def union_size(a: Column, b: Column) -> Column:
-    either = F.zip_with(a, b, lambda x, y: F.bit_count(F.coalesce(x, F.lit(0)).bitwiseOR(F.coalesce(y, F.lit(0)))))
-    return F.aggregate(either, _zero(), lambda n, c: n + c.cast("int"))

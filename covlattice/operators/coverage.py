@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covlattice.functions.bits import bit, cardinality, intersection_size, union_size
+from covlattice.functions.bits import bit, cardinality, intersection_size
 from covlattice.functions.vocab import GEOMETRY_ORDER
 
+#: Words of all types up to which two sets are compared as plain columns; larger ones are compared as arrays.
+PLAIN_WORDS = 64
 EMPTY = "struct<n: int, words: array<bigint>, c: int>"
 
 
@@ -97,25 +99,65 @@ def densities(sigs: DataFrame, order: list[str] = GEOMETRY_ORDER) -> DataFrame:
     )
 
 
-def pair_geometry(a: Column, b: Column) -> Column:
-    """Array of struct<density_a, density_b, size_mask, jaccard, iou_mask> by type; unequal universes are an error."""
+def _geometry(n_a: Column, n_b: Column, c_a: Column, c_b: Column, inter: Column) -> Column:
+    n = F.when(n_a == n_b, n_a).otherwise(F.raise_error(F.lit("universes of a pair differ")).cast("int"))
+    either = c_a + c_b - inter
+    return F.struct(
+        density(n, c_a).alias("density_a"),
+        density(n, c_b).alias("density_b"),
+        (n > 0).alias("size_mask"),
+        F.coalesce(F.try_divide(inter, either), F.lit(0.0)).alias("jaccard"),
+        (either > 0).alias("iou_mask"),
+    )
 
-    def one(x: Column, y: Column) -> Column:
-        n = F.when(x["n"] == y["n"], x["n"]).otherwise(F.raise_error(F.lit("universes of a pair differ")).cast("int"))
-        either = union_size(x["words"], y["words"])
-        return F.struct(
-            density(n, x["c"]).alias("density_a"),
-            density(n, y["c"]).alias("density_b"),
-            (n > 0).alias("size_mask"),
-            F.coalesce(F.try_divide(intersection_size(x["words"], y["words"]), either), F.lit(0.0)).alias("jaccard"),
-            (either > 0).alias("iou_mask"),
-        )
 
-    return F.zip_with(a, b, one)
+def pair_geometry(a: Column, b: Column) -> Column:
+    """Array of struct<density_a, density_b, size_mask, jaccard, iou_mask> by type; unequal universes are an error."""
+    return F.zip_with(a, b, lambda x, y: _geometry(x["n"], y["n"], x["c"], y["c"], intersection_size(x["words"], y["words"])))
 
 
 def similarity(geometry: Column) -> Column:
     """Mean Jaccard over the types with a non-empty union; 0 if there is none."""
     used = F.filter(geometry, lambda g: g["iou_mask"])
-    total = F.aggregate(used, F.lit(0.0), lambda s, g: s + g["jaccard"])
-    return F.coalesce(F.try_divide(total, F.size(used)), F.lit(0.0))
+    total = F.aggregate(used, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda s, g: F.struct((s["s"] + g["jaccard"]).alias("s"), (s["n"] + 1).alias("n")))
+    return F.coalesce(F.element_at(F.transform(F.array(total), lambda t: F.try_divide(t["s"], t["n"])), 1), F.lit(0.0))
+
+
+def plain_words(sigs: DataFrame, types: int = len(GEOMETRY_ORDER)) -> list[int] | None:
+    """Words that the set of each type needs at most; None if all types together need more than ``PLAIN_WORDS``.
+
+    ``sigs`` is looked at once, so it should be a written table.
+    """
+    row = sigs.agg(*[F.max(F.size(F.get("sig", F.lit(t))["words"])).alias(f"w{t}") for t in range(types)]).first()
+    words = [n or 0 for n in row]
+    return words if sum(words) <= PLAIN_WORDS else None
+
+
+def plain_signature(words: list[int]) -> Column:
+    """A signature as a struct of numbers: universe, covered elements and words of each type, for compiled comparisons."""
+    fields = []
+    for t, size in enumerate(words):
+        s = F.get("sig", F.lit(t))
+        fields += [s["n"].alias(f"n{t}"), s["c"].alias(f"c{t}")]
+        fields += [F.coalesce(F.get(s["words"], F.lit(k)), F.lit(0)).cast("long").alias(f"w{t}_{k}") for k in range(size)]
+    return F.struct(*fields)
+
+
+def plain_geometry(a: Column, b: Column, words: list[int]) -> list[Column]:
+    """:func:`pair_geometry` of two plain signatures, a struct for each type."""
+    out = []
+    for t, size in enumerate(words):
+        inter = F.lit(0)
+        for k in range(size):
+            inter = inter + F.bit_count(a[f"w{t}_{k}"].bitwiseAND(b[f"w{t}_{k}"])).cast("int")
+        out.append(_geometry(a[f"n{t}"], b[f"n{t}"], a[f"c{t}"], b[f"c{t}"], inter))
+    return out
+
+
+def plain_similarity(geometry: list[Column]) -> Column:
+    """:func:`similarity` of the structs of :func:`plain_geometry`."""
+    total, used = F.lit(0.0), F.lit(0)
+    for g in geometry:
+        total = total + F.when(g["iou_mask"], g["jaccard"]).otherwise(0.0)
+        used = used + g["iou_mask"].cast("int")
+    return F.coalesce(F.try_divide(total, used), F.lit(0.0))

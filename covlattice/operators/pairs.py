@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from covlattice.functions.text import sha_prefix, shuffle_key
-from covlattice.operators.coverage import pair_geometry, similarity
+from covlattice.operators.coverage import pair_geometry, plain_geometry, plain_similarity, plain_signature, plain_words, similarity
 
 POOL = 256
 TILE = 256
@@ -108,20 +108,42 @@ def all_pairs(rows: DataFrame, tile: int = TILE) -> DataFrame:
     return met.select("module", F.when(less, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(less, F.col("y")).otherwise(F.col("x")).alias("b"))
 
 
+def _compared(met: DataFrame, a: str, b: str, words: list[int] | None, same: bool = False) -> DataFrame:
+    """``met`` with geometry and similarity of the signatures in the columns a and b, in place of them."""
+    x, y = F.col(a), F.col(b)
+    if words is None:
+        made = met.withColumn("geometry", pair_geometry(x, y))
+        alike = similarity(F.col("geometry"))
+    else:
+        each = plain_geometry(x, y, words)
+        made = met.withColumn("geometry", F.array(*each))
+        alike = plain_similarity(each)
+    if same:
+        made = made.withColumn("same", x == y)
+    return made.withColumn("similarity", alike).drop(a, b)
+
+
 def all_geometry(sigs: DataFrame, tile: int = TILE) -> DataFrame:
-    """(module, sample_a, sample_b, geometry, similarity) of every unordered pair of a module."""
-    met = all_pairs(sigs.select("module", "sample", "sig"), tile)
-    made = met.select("module", F.col("a.sample").alias("sample_a"), F.col("b.sample").alias("sample_b"), pair_geometry(F.col("a.sig"), F.col("b.sig")).alias("geometry"))
-    return made.withColumn("similarity", similarity(F.col("geometry")))
+    """(module, sample_a, sample_b, geometry, similarity) of every unordered pair of a module; ``sigs`` is read twice."""
+    words = plain_words(sigs)
+    sig = F.col("sig") if words is None else plain_signature(words)
+    met = all_pairs(sigs.select("module", "sample", sig.alias("sig")), tile)
+    met = met.select("module", F.col("a.sample").alias("sample_a"), F.col("b.sample").alias("sample_b"), F.col("a.sig").alias("x"), F.col("b.sig").alias("y"))
+    return _compared(met, "x", "y", words)
 
 
 def with_geometry(pairs: DataFrame, sigs: DataFrame, a: str = "anchor", b: str = "candidate") -> DataFrame:
-    """``pairs`` with the ``geometry`` of their signatures and their ``similarity``."""
-    left = sigs.select("module", F.col("sample").alias(a), F.col("sig").alias("sig_a"))
-    right = sigs.select("module", F.col("sample").alias(b), F.col("sig").alias("sig_b"))
-    both = pairs.join(left, ["module", a]).join(right, ["module", b])
-    both = both.withColumn("geometry", pair_geometry(F.col("sig_a"), F.col("sig_b"))).withColumn("same", F.col("sig_a") == F.col("sig_b"))
-    return both.drop("sig_a", "sig_b").withColumn("similarity", similarity(F.col("geometry")))
+    """``pairs`` with the ``geometry`` of their signatures, their ``similarity``, and if they are the ``same``.
+
+    The end ``a`` is joined last, so that what follows by (module, a) needs no
+    other exchange.
+    """
+    words = plain_words(sigs)
+    sig = F.col("sig") if words is None else plain_signature(words)
+    right = sigs.select("module", F.col("sample").alias(b), sig.alias("sig_b"))
+    left = sigs.select("module", F.col("sample").alias(a), sig.alias("sig_a"))
+    both = pairs.join(right, ["module", b]).join(left, ["module", a])
+    return _compared(both, "sig_a", "sig_b", words, same=True)
 
 
 def unordered(pairs: DataFrame, a: str = "anchor", b: str = "candidate") -> DataFrame:

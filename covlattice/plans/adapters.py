@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covlattice.operators.pairs import candidate_pairs
-
 #: Codes of the small vocabularies of the star schema, in alphabetical order.
 PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 FLAGS = ["A", "N", "R"]
@@ -108,12 +106,6 @@ def box_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def vector_pairs(spark: SparkSession, sf_dir: str, pool: int = 8) -> DataFrame:
-    """(module, sample_a, sample_b): vectors of a label with the next eight of its ring."""
-    v = table(spark, sf_dir, "embeddings").select(F.col("label").alias("module"), F.col("vec_id").alias("sample"))
-    return candidate_pairs(v, "0", pool).select("module", F.col("anchor").alias("sample_a"), F.col("candidate").alias("sample_b"))
-
-
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, position, role, text): turns of conversations as blocks."""
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file"), F.col("turn").alias("position"), "role", "text")

@@ -12,6 +12,7 @@ from covlattice.functions.text import format_block, shuffle_key, stable_seed
 from covlattice.functions.vocab import CELL_TYPES, TARGET_ORDER, agg_group, cell_code, coverage_index, edge_code, node_code
 from covlattice.operators import batching, coverage, encoder, geometry, graph, inference, losses, metrics, pairs, splits, stats
 from covlattice.plans import adapters as view
+from covlattice.session import cut_lineage
 from covlattice.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,9 +30,14 @@ def r6(c: str | Column, name: str | None = None) -> Column:
 
 
 def _sigs(s: SparkSession, d: str) -> DataFrame:
+    """Signatures of all samples; the queries that read them more than once write them first (:func:`_sig_table`)."""
     return coverage.signatures(view.coverage(s, d))
 
 
+def _sig_table(s: SparkSession, d: str) -> DataFrame:
+    return cut_lineage(_sigs(s, d))
+
+
 # --- coverage sets ----------------------------------------------------------------------------
 
 
@@ -54,7 +60,7 @@ def coverage_global_ids(s: SparkSession, d: str) -> DataFrame:
 
 def _undirected(s: SparkSession, d: str) -> DataFrame:
     """Every unordered pair of a module; the pool belongs to pair sampling only."""
-    return pairs.all_geometry(_sigs(s, d))
+    return pairs.all_geometry(_sig_table(s, d))
 
 
 @query
@@ -88,7 +94,7 @@ def candidate_pool(s: SparkSession, d: str) -> DataFrame:
 
 
 def _strata(s: SparkSession, d: str) -> DataFrame:
-    sigs = _sigs(s, d)
+    sigs = _sig_table(s, d)
     found = pairs.with_geometry(pairs.informative_pairs(sigs), sigs).select("module", "anchor", "candidate", "similarity")
     return pairs.relative_strata(found)
 
@@ -115,8 +121,8 @@ def endpoint_weights(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def pair_diagnostics(s: SparkSession, d: str) -> DataFrame:
-    strata = _strata(s, d)
-    made = pairs.pair_diagnostics(strata, pairs.select_pairs(strata))
+    strata = cut_lineage(_strata(s, d))
+    made = pairs.pair_diagnostics(strata, cut_lineage(pairs.select_pairs(strata)))
     return made.withColumn("pool_mean", r6("pool_mean")).withColumn("degree_mean", r6("degree_mean"))
 
 
@@ -193,9 +199,12 @@ def _boxes(s: SparkSession, d: str) -> DataFrame:
 
 
 def _box_pairs(s: SparkSession, d: str, temperature: float | None = None) -> DataFrame:
-    boxes = _boxes(s, d)
-    a, b = (boxes.select(*[F.col(c).alias(f"{c}_{e}" if c in ("sample", "lo", "hi", "truth") else c) for c in boxes.columns]) for e in "ab")
-    met = view.vector_pairs(s, d).join(a, ["module", "sample_a"]).join(b, ["module", "sample_b", "ctype"])
+    """Every unordered pair of the vectors of a label, by type."""
+    one = F.struct("ctype", "lo", "hi", "truth")
+    rows = _boxes(s, d).groupBy("module", "sample").agg(F.array_sort(F.collect_list(one)).alias("boxes"))
+    met = pairs.all_pairs(rows).select("module", F.col("a.sample").alias("sample_a"), F.col("b.sample").alias("sample_b"), F.explode(F.arrays_zip(F.col("a.boxes").alias("x"), F.col("b.boxes").alias("y"))).alias("t"))
+    ends = [F.col(f"t.{v}.{c}").alias(f"{c}_{e}") for v, e in (("x", "a"), ("y", "b")) for c in ("lo", "hi", "truth")]
+    met = met.select("module", "sample_a", "sample_b", F.col("t.x.ctype").alias("ctype"), *ends)
     g = geometry.box_geometry(F.col("lo_a"), F.col("hi_a"), F.col("lo_b"), F.col("hi_b"), temperature)
     return met.withColumn("g", g).select(
         "module", "sample_a", "sample_b", "ctype", "lo_a", "hi_a", "lo_b", "hi_b", F.col("truth_a").alias("density_a"), F.col("truth_b").alias("density_b"), "g.*",
@@ -241,7 +250,9 @@ def iou_calibration(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def iou_rank_loss(s: SparkSession, d: str) -> DataFrame:
-    rows = _box_pairs(s, d).select(F.concat_ws("|", "module", F.col("sample_a").cast("string")).alias("batch"), F.col("sample_b").alias("item"), "ctype", "iou", F.round("jaccard", 6).alias("jaccard"), "iou_mask")
+    """A batch: the pairs of a vector with sixteen neighbours in the order of their ids."""
+    run = F.floor(F.col("sample_b") / 16).cast("string")
+    rows = _box_pairs(s, d).select(F.concat_ws("|", "module", F.col("sample_a").cast("string"), run).alias("batch"), F.col("sample_b").alias("item"), "ctype", "iou", F.round("jaccard", 6).alias("jaccard"), "iou_mask")
     return losses.iou_rank_loss(rows).withColumn("loss", r6("loss"))
 
 

@@ -28,8 +28,29 @@ ring AS (
   WHERE (b.place - a.place + a.members) % a.members BETWEEN 1 AND least({pool}, a.members - 1)
 )"""
 
+#: All unordered pairs of a module.
+_ALL = """
+und AS (
+  SELECT a.module, a.sample AS sample_a, b.sample AS sample_b
+  FROM (SELECT DISTINCT module, sample FROM cov) a JOIN (SELECT DISTINCT module, sample FROM cov) b ON a.module = b.module AND a.sample < b.sample
+)"""
+
+#: Candidates of other signatures, if the module has any: the first 256 of the ring.
+_INFORMATIVE = """
+sig AS (SELECT module, sample, string_agg(k || ':' || e, ',' ORDER BY k, e) AS sig FROM cov GROUP BY ALL),
+ring AS (
+  SELECT module, sample, sig, row_number() OVER (PARTITION BY module ORDER BY md5('0|' || module || '|' || sample), sample) - 1 AS place,
+         count(*) OVER (PARTITION BY module) AS members
+  FROM sig
+), met_ AS (
+  SELECT a.module, a.sample AS anchor, b.sample AS candidate, (b.place - a.place + a.members) % a.members AS step, a.sig = b.sig AS same,
+         bool_or(a.sig <> b.sig) OVER (PARTITION BY a.module, a.sample) AS others
+  FROM ring a JOIN ring b ON a.module = b.module AND a.sample <> b.sample
+), dir AS (
+  SELECT module, anchor, candidate FROM met_ WHERE NOT same OR NOT others QUALIFY row_number() OVER (PARTITION BY module, anchor ORDER BY step) <= 256
+), und AS (SELECT DISTINCT module, least(anchor, candidate) AS sample_a, greatest(anchor, candidate) AS sample_b FROM dir)"""
+
 _JACCARD = """
-und AS (SELECT DISTINCT module, least(anchor, candidate) AS sample_a, greatest(anchor, candidate) AS sample_b FROM dir),
 met AS (
   SELECT sample_a, sample_b, x.ctype, count(*) AS i FROM und JOIN cov x ON x.sample = sample_a
   JOIN cov y ON y.sample = sample_b AND y.ctype = x.ctype AND y.e = x.e GROUP BY ALL
@@ -39,22 +60,23 @@ met AS (
   FROM und JOIN cnt a ON a.sample = und.sample_a JOIN cnt b ON b.sample = und.sample_b AND b.ctype = a.ctype
   JOIN types t ON t.ctype = a.ctype
   LEFT JOIN met ON met.sample_a = und.sample_a AND met.sample_b = und.sample_b AND met.ctype = a.ctype
-), sim AS (
-  SELECT module, sample_a, sample_b, avg(jaccard) AS similarity, bool_and(ca = inter AND cb = inter) AS same FROM jac GROUP BY ALL
-)"""
+), sim AS (SELECT module, sample_a, sample_b, avg(jaccard) AS similarity FROM jac GROUP BY ALL)"""
 
 _COV = "WITH " + _BASE
-_PAIRS = _COV + "," + _RING.format(source="cov", pool=256) + "," + _JACCARD
+_PAIRS = _COV + "," + _ALL + "," + _JACCARD
 _STRATA = (
-    _PAIRS
+    _COV
+    + ","
+    + _INFORMATIVE
+    + ","
+    + _JACCARD
     + """, both_ AS (
-  SELECT module, anchor, candidate, similarity, same, bool_or(NOT same) OVER (PARTITION BY module, anchor) AS others
-  FROM dir JOIN sim USING (module) WHERE sample_a = least(anchor, candidate) AND sample_b = greatest(anchor, candidate)
+  SELECT module, anchor, candidate, similarity FROM dir JOIN sim USING (module) WHERE sample_a = least(anchor, candidate) AND sample_b = greatest(anchor, candidate)
 ), ranked AS (
   SELECT module, anchor, candidate, similarity,
          row_number() OVER (PARTITION BY module, anchor ORDER BY round(similarity, 9), md5('0|' || anchor || '|' || candidate)) AS rank,
          count(*) OVER (PARTITION BY module, anchor) AS pool_size
-  FROM both_ WHERE NOT same OR NOT others
+  FROM both_
 ), strata AS (
   SELECT *, CASE WHEN rank <= greatest(1, ceil(pool_size / 4)) THEN 'low'
                  WHEN rank > greatest(greatest(1, ceil(pool_size / 4)), floor(pool_size * 3 / 4)) THEN 'high' ELSE 'mid' END AS stratum
@@ -121,12 +143,11 @@ vol AS (SELECT module, sample, ctype, any_value(truth) AS truth, sum(ln(greatest
 
 
 def _box_pairs(width: str, log_if: str) -> str:
-    ring = _RING.format(source="(SELECT label AS module, vec_id AS sample FROM embeddings)", pool=8)
     return (
         _BOXES
-        + ","
-        + ring
-        + f""", axis AS (
+        + f""", dir AS (
+  SELECT a.label AS module, a.vec_id AS anchor, b.vec_id AS candidate FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
+), axis AS (
   SELECT d.module, anchor AS sample_a, candidate AS sample_b, a.ctype, least(a.hi, b.hi) - greatest(a.lo, b.lo) AS delta,
          least(a.hi - a.lo, b.hi - b.lo) AS room, (a.lo < 0.01)::INT + (b.lo < 0.01)::INT AS low, (a.hi > 0.99)::INT + (b.hi > 0.99)::INT AS high
   FROM dir d JOIN boxes a ON a.sample = anchor JOIN boxes b ON b.sample = candidate AND b.ctype = a.ctype AND b.dim = a.dim
@@ -238,9 +259,9 @@ ORACLES = {
       SELECT round(avg(m), 6) AS loss, count(*) AS n_types FROM (
         SELECT ctype, sum({_SMOOTH.format('(lv - ln(greatest(1e-15, least(1.0, t))))')} * w) / count(*) AS m FROM e WHERE size_mask GROUP BY ctype)""",
     "iou_calibration": _HARD + f" SELECT round(loss, 6) AS loss, n_types FROM {_CALIBRATION}",
-    "iou_rank_loss": _HARD + """, q AS (SELECT module, sample_a, sample_b, ctype, iou, round(jaccard, 6) AS jaccard FROM g WHERE iou_mask),
+    "iou_rank_loss": _HARD + """, q AS (SELECT module, sample_a, sample_b, sample_b // 16 AS run, ctype, iou, round(jaccard, 6) AS jaccard FROM g WHERE iou_mask),
       p AS (SELECT a.ctype, greatest(0.05 - sign(a.jaccard - b.jaccard) * (a.iou - b.iou), 0) AS x FROM q a JOIN q b
-            ON a.module = b.module AND a.sample_a = b.sample_a AND a.ctype = b.ctype AND a.sample_b < b.sample_b
+            ON a.module = b.module AND a.sample_a = b.sample_a AND a.run = b.run AND a.ctype = b.ctype AND a.sample_b < b.sample_b
             WHERE abs(a.jaccard - b.jaccard) > 0 AND abs(a.jaccard - b.jaccard) >= 0.1)
       SELECT round(avg(m), 6) AS loss, sum(n)::BIGINT AS n_pairs, count(*) AS n_types FROM (SELECT ctype, avg(x) AS m, count(*) AS n FROM p GROUP BY ctype)""",
     "joint_loss": _HARD + ", " + _PRED.removeprefix("WITH ") + f""" SELECT epoch, round(sup.loss + 0.5 * cal.loss + 0.25 * least(1.0, epoch / 4), 6) AS loss
@@ -283,9 +304,9 @@ ORACLES = {
       FROM f JOIN d a ON a.graph = f.graph AND a.node = f.src JOIN d b ON b.graph = f.graph AND b.node = f.dst GROUP BY f.graph, f.dst""",
     "mean_pool": """WITH x AS (SELECT label AS graph, unnest(range(len(embedding)))::INT AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings)
       SELECT graph, dim, round(avg(v), 6) AS v FROM x GROUP BY ALL""",
-    "cross_pool": """WITH x AS (SELECT label AS graph, vec_id, k AS dim, embedding[k + 1]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(8)) AS k)),
-      q AS (SELECT l AS latent, k AS dim, (k + l) % 3 - 1 AS q FROM (SELECT unnest(range(3)) AS l), (SELECT unnest(range(8)) AS k)),
-      s AS (SELECT graph, vec_id, latent, sum(v * q) / sqrt(8) AS s FROM x JOIN q USING (dim) GROUP BY ALL),
+    "cross_pool": """WITH x AS (SELECT label AS graph, vec_id, k AS dim, embedding[k + 1]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(64)) AS k)),
+      q AS (SELECT l AS latent, k AS dim, (k + l) % 3 - 1 AS q FROM (SELECT unnest(range(3)) AS l), (SELECT unnest(range(64)) AS k)),
+      s AS (SELECT graph, vec_id, latent, sum(v * q) / sqrt(64) AS s FROM x JOIN q USING (dim) GROUP BY ALL),
       a AS (SELECT graph, vec_id, latent, exp(s - max(s) OVER (PARTITION BY graph, latent)) AS e FROM s),
       w AS (SELECT graph, vec_id, latent, e / sum(e) OVER (PARTITION BY graph, latent) AS w FROM a)
       SELECT graph, latent::INT AS latent, dim::INT AS dim, round(sum(w * v), 6) AS v FROM w JOIN x USING (graph, vec_id) GROUP BY ALL""",
@@ -334,7 +355,7 @@ ORACLES |= {
       FROM part, (SELECT unnest(['branch', 'line', 'fsm', 'toggle', 'condition']) AS ctype)""",
     "covered_items": """SELECT l_orderkey AS sample, 'line' AS ctype, 1 AS place, count(*) FILTER (l_returnflag <> 'N') AS covered, count(*) AS n_items
       FROM lineitem GROUP BY 1""",
-    "token_pool": """WITH t AS (SELECT label AS text_id, vec_id, k::INT AS dim, embedding[k + 1]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(8)) AS k))
+    "token_pool": """WITH t AS (SELECT label AS text_id, vec_id, k::INT AS dim, embedding[k + 1]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(64)) AS k))
       SELECT text_id, dim, round(avg(v) FILTER (vec_id % 3 <> 0), 6) AS mean, round(arg_min(v, vec_id), 6) AS first FROM t GROUP BY ALL""",
     "gcn_propagate": _EDGES + """, f AS (SELECT graph, src, dst FROM valid UNION ALL SELECT graph, node, node FROM nodes),
       d AS (SELECT graph, dst AS node, count(*) AS d FROM f GROUP BY ALL)
@@ -345,8 +366,8 @@ ORACLES |= {
       x AS (SELECT graph, node, c / 4 + 0.5 * w AS a, c % 3 - 1.0 - 0.25 * w AS b, 0.5 + w AS c FROM w),
       m AS (SELECT *, (a + b + c) / 3 AS m FROM x), v AS (SELECT *, sqrt(((a - m) ** 2 + (b - m) ** 2 + (c - m) ** 2) / 3 + 1e-5) AS s FROM m)
       SELECT graph, node, round((a - m) / s, 6) AS x0, round((b - m) / s, 6) AS x1, round((c - m) / s, 6) AS x2 FROM v""",
-    "combined_graphs": """SELECT label AS graph, k::INT AS dim, round(avg(embedding[k + 1]::DOUBLE) + avg(embedding[k + 5]::DOUBLE), 6) AS v
-      FROM embeddings, (SELECT unnest(range(4)) AS k) GROUP BY ALL""",
+    "combined_graphs": """SELECT label AS graph, k::INT AS dim, round(avg(embedding[k + 1]::DOUBLE) + avg(embedding[k + 33]::DOUBLE), 6) AS v
+      FROM embeddings, (SELECT unnest(range(32)) AS k) GROUP BY ALL""",
     "aggregation_mix": _EDGES + """, g AS (SELECT greatest(0, node_type - 2)::INT AS g, count(*) AS n FROM nodes GROUP BY 1),
       e AS (SELECT g, n, exp(g / 10) AS a, exp(0.5) AS b, exp(1 - g / 5) AS c FROM g)
       SELECT g AS agg_group, n, round(a / (a + b + c), 6) AS sum, round(b / (a + b + c), 6) AS mean, round(c / (a + b + c), 6) AS max FROM e""",

@@ -1,8 +1,10 @@
-"""Spark session for local use and tests."""
+"""Spark session for local use and tests, and tables written to the shared checkpoint folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, partitions: int = 8, **conf: str) -> SparkSession:
@@ -14,3 +16,23 @@ def local_session(cores: int = 8, partitions: int = 8, **conf: str) -> SparkSess
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the folder that ``spark.checkpoint.dir`` names.
+
+    Only a session in one process (``local``) may do without: a machine's own
+    folder goes with its executor, so elsewhere a missing setting is an error.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="covlattice-checkpoint-"))
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from the files."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
