@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from covlattice.session import cut_lineage, ensure_checkpoint_dir
+
+__all__ = ["cut_lineage"]
+
 #: White space of the word rule shared by the text operators.
 SPACES = r"[\x20\x09-\x0D]+"
 #: Rows of numbers that are sent to every task at most.
@@ -21,26 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that ``spark.checkpoint.dir`` names.
-
-    Only a session in one process (``local``) may do without: a machine's own
-    folder goes with its executor, so elsewhere a missing setting is an error.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="covlattice-checkpoint-"))
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the files."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shared_folder(spark: SparkSession, stem: str) -> str:
     """A path of its own in the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
