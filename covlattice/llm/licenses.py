@@ -10,13 +10,12 @@ to it at least, and is retrieved with a probability of 1 - 0.72 ** 32, over
 share of the template's distinct shingles that the window holds.
 
 Documents are cut into segments of ``SEGMENT`` window starts, so that no row
-grows with a text.  The minima of a window are those of its four quarters, which
-its neighbours share.  Band keys pass a bit filter of the templates' keys, sized
-by their count up to ``FILTER_BITS``, before they are exploded as (segment,
-window, key) and joined to the templates; the shingles of a window are fetched
-only for pairs that met.  Documents without any shingle of a template, by
-another such filter, are not cut into windows.  More templates let more through
-the filters; results do not change.
+grows with a text.  Only windows around a shingle of some template, which a bit
+filter finds, are looked at; the others hold no share of any.  Band keys pass
+another bit filter, of the templates' keys, before they are exploded as
+(segment, window, key) and joined to the templates; the shingles of a window are
+fetched only for pairs that met.  The filters are sized by what they hold, up to
+``FILTER_BITS``.  More templates let more through them; results do not change.
 
 Defined results: null texts and texts under five words hold no license; a
 template's own text does; equal rows get equal results, one each; empty tables
@@ -40,8 +39,8 @@ CONTAINMENT = 0.8
 SEGMENT = 2048
 #: Shingles of templates that are sent to every task at most (8 MB).
 BROADCAST_SHINGLES = 1_000_000
-#: Bits for a key of the templates, and bits of a filter at most (2 MB).
-KEY_BITS, FILTER_BITS = 64, 1 << 24
+#: Bits for a key of the templates, so that few other hashes of a long text pass, and bits of a filter at most (2 MB).
+KEY_BITS, FILTER_BITS = 1 << 16, 1 << 24
 
 #: Notices of public licenses, in their published wording.
 TEMPLATES = {
@@ -140,19 +139,14 @@ def band_keys(smallest: Column) -> Column:
     return F.transform(smallest, lambda m, j: F.xxhash64(j, m))
 
 
-def window_minima(segment: Column, width: int, stride: int, step: int) -> Column:
-    """Array of struct<at, smallest> of the windows that start in the first ``step`` hashes of a segment."""
-    last = F.floor((F.size(segment) - 1) / stride).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: minima(F.slice(segment, b * stride + 1, stride)))
+def windows_around(hits: Column, width: int, stride: int, step: int) -> Column:
+    """Starts below ``step`` of the windows (every ``stride``) that hold one of the places ``hits``."""
 
-    def window(all_: Column, b: Column) -> Column:
-        part = [F.get(all_, b)] + [F.coalesce(F.get(all_, b + k), F.get(all_, b)) for k in range(1, width // stride)]
-        while len(part) > 1:
-            part = [F.zip_with(x, y, lambda p, q: F.least(p, q)) for x, y in zip(part[::2], part[1::2])]
-        return F.struct((b * stride).alias("at"), part[0].alias("smallest"))
+    def around(p: Column) -> Column:
+        first = F.greatest(F.lit(0), F.floor((p - width) / stride).cast("int") + 1)
+        return F.transform(F.sequence(first, F.floor(p / stride).cast("int")), lambda k: k * stride)
 
-    starts = F.sequence(F.lit(0), F.least(last, F.lit(step // stride - 1)))
-    return bind(blocks, lambda all_: F.transform(starts, lambda b: window(all_, b)))
+    return F.filter(F.array_distinct(F.flatten(F.transform(hits, around))), lambda at: at < step)
 
 
 def bit_filter(keys: DataFrame, key: str) -> Callable[[Column], Column]:
@@ -214,12 +208,16 @@ def license_matches(
     filed = cut_lineage(known.select("template", "width", F.explode("keys").alias("key")))
     of_key = bit_filter(filed, "key")
 
-    def keyed(width: int) -> Callable[[Column], Column]:
-        entry = lambda w: lambda k: F.struct(F.lit(width).alias("width"), w["at"].alias("at"), k.alias("key"))
-        return lambda w: F.transform(F.filter(band_keys(w["smallest"]), of_key), entry(w))
+    places = F.filter(F.sequence(F.lit(0), F.size("hashes") - 1), lambda i: of_template(F.get("hashes", i)))
+    segments = segments.withColumn("hits", places).where("size(hits) > 0")
+
+    def keyed(width: int, stride: int) -> Column:
+        entry = lambda at: lambda k: F.struct(F.lit(width).alias("width"), at.alias("at"), k.alias("key"))
+        keys = lambda at: F.filter(band_keys(minima(F.slice("hashes", at + 1, width))), of_key)
+        return F.flatten(F.transform(windows_around(F.col("hits"), width, stride, step), lambda at: F.transform(keys(at), entry(at))))
 
     none = F.array().cast("array<struct<width: int, at: int, key: bigint>>")
-    each = [F.flatten(F.transform(window_minima(F.col("hashes"), k["width"], k["stride"], step), keyed(k["width"]))) for k in kinds]
+    each = [keyed(k["width"], k["stride"]) for k in kinds]
     looked = segments.select("row_", "first", F.explode(F.concat(none, *each)).alias("w")).select("row_", "first", "w.*")
     met = looked.join(small(filed), ["width", "key"]).select("row_", "first", "at", "width", "template").distinct()
     tried = segments.join(small(cut_lineage(met)), ["row_", "first"])
