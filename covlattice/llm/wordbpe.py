@@ -22,7 +22,8 @@ import json
 import re
 import unicodedata
 from collections import ChainMap
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from itertools import accumulate, chain
 
 import numpy as np
 from tokenizers import Tokenizer, models
@@ -86,12 +87,10 @@ class Memory:
         if self.held > self.limit:
             self.known, self.held = {}, 0
 
-    def keep(self, key: str, value: object, size: int) -> bool:
-        if len(key) > LONGEST:
-            return False
-        self.held += ENTRY_BYTES + len(key) + size
-        self.known[key] = value
-        return True
+    def keep(self, runs: list[str], values: list, size: int) -> None:
+        """Remember the values, of ``size`` bytes in all, of so many runs."""
+        self.held += ENTRY_BYTES * len(runs) + sum(map(len, runs)) + size
+        self.known.update(zip(runs, values))
 
 
 class WordEncoder:
@@ -165,21 +164,26 @@ class WordEncoder:
                 out += _RUN.findall(word.lower())
         return out
 
-    def _known(self, runs: list[str], memory: Memory, made: Callable[[list[int]], tuple]) -> dict[str, object]:
-        """What ``made`` makes of the ids of the runs (with its size in bytes), for each of them."""
+    def _known(self, runs: list[str], memory: Memory, made: Callable[[list[list[int]]], tuple]) -> Mapping[str, object]:
+        """What ``made`` makes of the ids of the runs, for each of them; it gives the size of all in bytes as well."""
         memory.make_room()
         known = memory.known
         new = list(set(runs).difference(known))
         if not new:
             return known
-        plain = [r for r in new if r[0] != " "]
-        encoded = dict(zip(plain, self._encode(plain))) if plain else {}
+        plain = [r for r in new if r[0] != " " and len(r) <= LONGEST]
+        if plain:
+            memory.keep(plain, *made(self._encode(plain)))
+        if len(plain) == len(new):
+            return known
         long = {}
-        for run in new:
-            value, size = made(encoded[run] if run in encoded else self._odd(run[1:]))
-            if not memory.keep(run, value, size):
-                long[run] = value
-        return ChainMap(long, known) if long else known
+        for run in set(new).difference(plain):
+            values, size = made([self._odd(run[1:])] if run[0] == " " else self._encode([run]))
+            if len(run) <= LONGEST:
+                memory.keep([run], values, size)
+            else:
+                long[run] = values[0]
+        return ChainMap(long, known)
 
     def ids(self, text: str | None) -> bytes:
         """Ids of the text as 32-bit numbers in the machine's order."""
@@ -197,9 +201,16 @@ class WordEncoder:
             both.extend(map(self._known(runs, self._strings, self._spaced).__getitem__, runs))
         return "".join([x[0] for x in both])[:-1], "".join([x[1] for x in both])[:-1]
 
-    def _spaced(self, ids: list[int]) -> tuple[tuple[str, str], int]:
-        numbers, tokens = "".join([self._numbers[i] for i in ids]), "".join([self._tokens[i] for i in ids])
-        return (numbers, tokens), 100 + len(numbers) + 2 * len(tokens)
+    def _spaced(self, ids: list[list[int]]) -> tuple[list[tuple[str, str]], int]:
+        numbers, tokens = self._numbers.__getitem__, self._tokens.__getitem__
+        values = [("".join(map(numbers, x)), "".join(map(tokens, x))) for x in ids]
+        return values, 100 * len(values) + sum([len(x) + 2 * len(y) for x, y in values])
+
+
+def _packed(ids: list[list[int]]) -> tuple[list[bytes], int]:
+    data = np.array(list(chain.from_iterable(ids)), np.uint32).tobytes()
+    ends = list(accumulate([4 * len(x) for x in ids], initial=0))
+    return [data[a:b] for a, b in zip(ends, ends[1:])], len(data)
 
 
 def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
@@ -214,11 +225,6 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
-def _packed(ids: list[int]) -> tuple[bytes, int]:
-    data = np.array(ids, np.uint32).tobytes()
-    return data, len(data)
-
-
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
