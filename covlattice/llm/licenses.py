@@ -39,8 +39,8 @@ CONTAINMENT = 0.8
 SEGMENT = 2048
 #: Shingles of templates that are sent to every task at most (8 MB).
 BROADCAST_SHINGLES = 1_000_000
-#: Bits for a key of the templates, so that few other hashes of a long text pass, and bits of a filter at most (2 MB).
-KEY_BITS, FILTER_BITS = 1 << 16, 1 << 24
+#: Bits for a key of the templates, so that few other hashes of a long text pass, and bits of a filter at most (half a megabyte).
+KEY_BITS, FILTER_BITS = 1 << 14, 1 << 22
 
 #: Notices of public licenses, in their published wording.
 TEMPLATES = {
