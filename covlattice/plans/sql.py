@@ -334,7 +334,8 @@ ORACLES = {
     "format_blocks": """WITH w AS (SELECT conv_id, turn, role, string_split(text, ' ') AS ws FROM conversations),
       i AS (SELECT conv_id, turn, role, CASE WHEN len(ws) > 3 THEN ws[1] || ' ' || ws[2] || ', ' || ws[3] ELSE ws[1] END AS line FROM w)
       SELECT conv_id AS file, turn AS position, CASE WHEN role = 'user' THEN line || chr(10) || line ELSE 'nop' END AS block FROM i""",
-    "stable_seeds": """SELECT n_nationkey, substr(sha256('42|' || n_name), 1, 16) AS prefix, md5('42|' || n_name) AS shuffle, TRUE AS seeded FROM nation""",
+    "stable_seeds": """SELECT n_nationkey, substr(sha256('42|' || n_name), 1, 16) AS prefix, md5('42|' || n_name) AS shuffle,
+      CAST('0x' || substr(sha256('42' || chr(0) || n_name), 1, 16) AS UBIGINT)::VARCHAR AS seed FROM nation""",
 }
 
 #: Vocabularies as SQL lists; their order is their code.
