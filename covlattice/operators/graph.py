@@ -85,17 +85,20 @@ def long_labels(samples: DataFrame) -> DataFrame:
     )
 
 
-def dense_edge_labels(edges: DataFrame, samples: DataFrame, given: DataFrame, default: int = -1) -> DataFrame:
+def dense_edge_labels(edges: DataFrame, samples: DataFrame, given: DataFrame, default: int = -1, salts: int = 64) -> DataFrame:
     """(sample, graph, position, label) of valid edges.
 
     ``samples`` has sample, graph, default_label; ``given`` (sample, position,
     at, label): of several labels of an edge the last counts; positions without
-    an edge count for nothing; a null default is ``default``.
+    an edge count for nothing; a null default is ``default``.  Few graphs hold
+    very many edges, so the edges of a graph are dealt to ``salts`` tasks by
+    position, and its samples are repeated for each.
     """
-    each = samples.select("sample", "graph", F.coalesce("default_label", F.lit(default)).alias("d"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt_")
+    each = samples.select("sample", "graph", F.coalesce("default_label", F.lit(default)).alias("d"), every)
     last = given.groupBy("sample", "position").agg(F.max_by("label", "at").alias("given"))
-    kept = edges.where("valid").select("graph", "position")
-    met = each.join(kept, "graph").join(last, ["sample", "position"], "left")
+    kept = edges.where("valid").select("graph", "position", F.pmod(F.hash("position"), F.lit(salts)).alias("salt_"))
+    met = each.join(kept, ["graph", "salt_"]).join(last, ["sample", "position"], "left")
     return met.select("sample", "graph", "position", F.coalesce("given", "d").alias("label"))
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from covlattice.operators.order import lower_medians, value_counts
+
 EPS = 1e-8
 
 
@@ -45,13 +46,13 @@ def regression_metrics(rows: DataFrame, by: str = "ctype") -> DataFrame:
         F.avg(size).alias("mae"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
         (100 * F.avg(2 * size / (F.abs("pred") + F.abs("target") + EPS))).alias("smape"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY abs(pred - target))").alias("median_ae"),
         F.coalesce(100 * F.avg(F.when(big, size / F.abs("target"))), F.lit(0.0)).alias("mape"),
         F.when(tot > EPS, 1 - _div(res, tot)).when(res <= EPS, 1.0).otherwise(0.0).alias("r2"),
         F.when(F.count("*") < 2, 0.0).otherwise(F.sum(F.col("pc") * F.col("tc")) / (F.sqrt(F.sum(F.col("pc") * F.col("pc")) * tot) + EPS)).alias("pearson_r"),
     )
+    medians = lower_medians(valid.select(by, size.alias("size_")), "size_", "median_ae", [by])
     names = ["mse", "mae", "rmse", "smape", "median_ae", "mape", "r2", "pearson_r"]
-    return out.select(by, "n", *[F.when(~F.col("spoilt"), F.col(c)).alias(c) for c in names])
+    return out.join(medians, by, "left").select(by, "n", *[F.when(~F.col("spoilt"), F.col(c)).alias(c) for c in names])
 
 
 def average_ranks(rows: DataFrame, value: str, out: str, by: str | None = None) -> DataFrame:
@@ -60,9 +61,7 @@ def average_ranks(rows: DataFrame, value: str, out: str, by: str | None = None)
     Ranks come from the counts of the distinct values, not from a sort of the rows.
     """
     keys = [by] if by else []
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("n_"))
-    order = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    ranks = counts.select(*keys, value, (F.coalesce(F.sum("n_").over(order), F.lit(0)) + (F.col("n_") + 1) / 2.0).alias(out))
+    ranks = value_counts(rows, value, keys).select(*keys, value, (F.col("before_") + (F.col("n_") + 1) / 2.0).alias(out))
     return rows.join(ranks, [*keys, value])
 
 

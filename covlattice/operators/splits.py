@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from covlattice.functions.text import shuffle_key
+from covlattice.operators.order import running_total
 
 
 def stimulus_groups(samples: DataFrame) -> DataFrame:
@@ -32,14 +32,8 @@ def grouped_split(samples: DataFrame, val_fraction: float = 0.1, seed: int = 42)
     last = groups.select("test_id", "h", F.explode("modules.module").alias("module")).groupBy("module").agg(F.max(F.struct("h", "test_id")).alias("k"))
     reserved = last.select(F.col("k.test_id").alias("test_id")).distinct().withColumn("reserved", F.lit(True))
     free = groups.join(reserved, "test_id", "left").select("test_id", "n", "h", F.coalesce("reserved", F.lit(False)).alias("reserved"))
-    # prefix sums of the free stimuli in hash order, by 256 runs of the hash
-    run = F.substring("h", 1, 2)
-    open_ = F.when(F.col("reserved"), 0).otherwise(F.col("n"))
-    runs = free.groupBy(run.alias("run")).agg(F.sum(open_).alias("n"))
-    first = runs.select("run", F.coalesce(F.sum("n").over(W.orderBy("run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inner = F.coalesce(F.sum(open_).over(W.partitionBy("run").orderBy("h", "test_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = free.withColumn("run", run).withColumn("inner", inner).join(F.broadcast(first), "run")  # 256 rows
-    return placed.select("test_id", (~F.col("reserved") & (F.col("base") + F.col("inner") < target)).alias("is_val"))
+    placed = running_total(free.withColumn("open_", F.when(F.col("reserved"), 0).otherwise(F.col("n"))), ["h", "test_id"], "open_", "before")
+    return placed.select("test_id", (~F.col("reserved") & (F.col("before") < target)).alias("is_val"))
 
 
 def split_diagnostics(samples: DataFrame, split: DataFrame) -> DataFrame:

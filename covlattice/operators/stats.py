@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from covlattice.operators.order import lower_medians
+
 
 def module_profile(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph, n_nodes, n_edges, density, avg_degree): density is E / (V (V - 1)), degree 2 E / V."""
@@ -39,10 +41,10 @@ def crosstab(rows: DataFrame, row: str, column: str, values: list) -> DataFrame:
 
 def size_summary(sizes: DataFrame, column: str) -> DataFrame:
     """One row: n, min, max, mean, lower median, population standard deviation."""
-    return sizes.agg(
-        F.count(column).alias("n"), F.min(column).alias("min"), F.max(column).alias("max"), F.avg(column).alias("mean"),
-        F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {column})").alias("median"), F.stddev_pop(column).alias("std"),
-    )
+    sums = sizes.agg(
+        F.count(column).alias("n"), F.min(column).alias("min"), F.max(column).alias("max"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std")
+    )
+    return sums.join(F.broadcast(lower_medians(sizes, column, "median"))).select("n", "min", "max", "mean", "median", "std")  # one row each
 
 
 def top_types(rows: DataFrame, by: str, column: str, top: int = 4) -> DataFrame:

@@ -219,7 +219,7 @@ ORACLES = {
     "bucket_batches": """WITH RECURSIVE sizes AS (
         SELECT o_custkey AS sample, count(*) AS size, md5(o_custkey::VARCHAR) AS h FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
       dealt AS (SELECT sample, size, h, (size >= 16)::INT + (size >= 32)::INT + (size >= 64)::INT AS bucket,
-                       (CAST('0x' || substr(h, 1, 4) AS UBIGINT) % 16)::INT AS run FROM sizes),
+                       (CAST('0x' || substr(h, 1, 7) AS UBIGINT) % greatest(1, (SELECT ceil(count(*) / 100)::BIGINT FROM sizes)))::INT AS run FROM sizes),
       ordered AS (SELECT *, row_number() OVER (PARTITION BY bucket, run ORDER BY h, sample) AS rn FROM dealt),
       f AS (
         SELECT bucket, run, rn, sample, size, 0 AS batch, size AS filled FROM ordered WHERE rn = 1

@@ -98,7 +98,15 @@ def read_graphs(spark: SparkSession, paths: list[str], schema: str) -> tuple[Dat
     A file that is not JSON as it stands is tried again with its control
     characters replaced by spaces and unescaped ones allowed.
     """
-    files = spark.read.format("binaryFile").load(paths).select(_plain(F.col("path")).alias("path"), F.decode("content", "UTF-8").alias("raw"))
+    return _parsed(_texts(spark, paths), schema)
+
+
+def _texts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    files = spark.read.format("binaryFile").load(paths)
+    return files.select(_plain(F.col("path")).alias("path"), F.decode("content", "UTF-8").alias("raw"))
+
+
+def _parsed(files: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
     strict = F.from_json("raw", schema, {"mode": "PERMISSIVE"})
     lenient = F.from_json(without_controls(F.col("raw")), schema, {"mode": "PERMISSIVE", "allowUnquotedControlChars": "true"})
     parsed = files.withColumn("g", F.when(_usable(strict), strict).otherwise(lenient))
@@ -110,9 +118,19 @@ def _usable(g: Column) -> Column:
     return g.isNotNull() & g["nodes"].isNotNull() & g["edges"].isNotNull()
 
 
-def distinct_paths(samples: DataFrame, column: str) -> list[str]:
-    """Paths of shared graph files: as many as files, not as samples."""
-    return [r[0] for r in samples.where(F.col(column).isNotNull()).select(column).distinct().collect()]
+def read_sample_graphs(samples: DataFrame, column: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Graphs that ``samples`` name in a path column, each once; results as of :func:`read_graphs`.
+
+    Only the folders come to the driver, as many as datasets have; which of
+    their files are read is a semi join with the paths.  A dataset keeps other
+    files elsewhere or loses the time to read them, not the result.
+    """
+    paths = samples.where(F.col(column).isNotNull()).select(_plain(F.col(column)).alias("path")).distinct()
+    folders = [r[0] for r in paths.select(F.regexp_replace("path", r"/[^/]*$", "")).distinct().collect()]
+    if not folders:
+        empty = samples.sparkSession.createDataFrame([], "path string, raw string")
+        return _parsed(empty, schema)
+    return _parsed(_texts(samples.sparkSession, folders).join(paths, "path", "left_semi"), schema)
 
 
 def join_graphs(samples: DataFrame, rtl: DataFrame, asm: DataFrame | None = None) -> DataFrame:

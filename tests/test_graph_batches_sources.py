@@ -1,11 +1,12 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from covlattice.functions import vocab
 from covlattice.functions.text import stable_seed
-from covlattice.operators import batching, graph, splits, stats
+from covlattice.operators import batching, graph, order, splits, stats
 from covlattice.plans import config
 from covlattice.sources import datasets, schemas, sinks
 from covlattice.streaming import ingest
@@ -111,10 +112,35 @@ def test_message_passing(spark):
     assert graph.combine_graphs(graph.mean_pool(x), graph.mean_pool(x), "add").first().x == pytest.approx([2.0, 2.0])
 
 
+def test_graphs_that_samples_name(spark, dataset):
+    samples = datasets.read_samples(spark, str(dataset))
+    good, bad = datasets.read_sample_graphs(samples, "rtl_path", schemas.RTL_GRAPH)
+    assert [r.path for r in good.collect()] == [f"{dataset}/rtl.json"] and bad.count() == 0
+    assert datasets.read_sample_graphs(samples, "asm_path", schemas.ASM_GRAPH)[0].count() == 1
+    none, _ = datasets.read_sample_graphs(samples.where("false"), "rtl_path", schemas.RTL_GRAPH)
+    assert none.count() == 0 and none.columns == good.columns
+
+
 def test_bucket_packing(spark):
-    rows = spark.createDataFrame([([(0, 0, 9), (1, 1, 9), (2, 2, 3)],), ([(0, 0, 3), (1, 1, 3), (2, 2, 20), (3, 3, 1)],)], "r array<struct<h: int, key: bigint, size: bigint>>")
-    got = [[x.batch for x in r.p] for r in rows.select(batching.pack(F.col("r"), 10).alias("p")).collect()]
-    assert got == [[0, 1, 2], [0, 0, 1, 2]]
+    assert batching.packed(np.array([9, 9, 3]), 10).tolist() == [0, 1, 2]
+    assert batching.packed(np.array([3, 3, 20, 1]), 10).tolist() == [0, 0, 1, 2]
+    assert batching.packed(np.array([], dtype=int), 10).tolist() == []
+    rows = spark.range(100).select(F.col("id").alias("sample"), (F.col("id") % 7).alias("size"))
+    made = batching.bucket_batches(rows, budget=10, edges=(4,), rows_per_run=30)
+    assert made.select("run").distinct().count() == 4 and made.count() == 100
+    full = made.groupBy("bucket", "run", "batch").agg(F.sum("size").alias("s")).agg(F.max("s")).first()[0]
+    assert full <= 10
+    assert batching.bucket_batches(rows.where("false")).count() == 0
+
+
+def test_orders_over_whole_tables(spark):
+    rows = spark.range(500).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 5 < 3, 0.0).otherwise(F.col("id") / 7).alias("v"), F.col("id"))
+    at = {r.id: r.position for r in order.positions(rows, ["v", "id"]).collect()}
+    assert [k for k, _ in sorted(at.items(), key=lambda x: x[1])] == [r.id for r in rows.orderBy("v", "id").collect()] and max(at.values()) == 499
+    got = {r.g: r.m for r in order.lower_medians(rows, "v", "m", ["g"]).collect()}
+    assert got == {r.g: r.m for r in rows.groupBy("g").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY v)").alias("m")).collect()}
+    assert order.lower_medians(rows.where("false"), "v", "m").first().m is None
+    assert order.positions(rows.where("false"), ["v"]).count() == 0
 
 
 def test_padded_and_evaluation_shards(spark):
