@@ -61,7 +61,8 @@ def read_samples(spark: SparkSession, directory: str) -> DataFrame:
         raise DatasetError(f"{directory}: the manifest counts {manifest['total']} samples, there are {facts['n']}")
 
     def inside(p: Column) -> Column:
-        return F.when(p.startswith("/"), p).otherwise(F.concat(F.lit(f"{directory}/"), p))
+        absolute = p.startswith("/") | p.rlike("^[A-Za-z][A-Za-z0-9+.-]*:/")
+        return F.when(absolute, p).otherwise(F.concat(F.lit(f"{directory}/"), p))
 
     return rows.select(
         F.lit(directory).alias("dataset_dir"),
@@ -135,7 +136,12 @@ def read_sample_graphs(samples: DataFrame, column: str, schema: str) -> tuple[Da
 
 def join_graphs(samples: DataFrame, rtl: DataFrame, asm: DataFrame | None = None) -> DataFrame:
     """Samples with the key of their RTL graph and, where there is one, of their ASM graph."""
-    keyed = samples.join(rtl.select(F.col("path").alias("rtl_path"), F.col("graph").alias("rtl_key")), "rtl_path")
+    keyed = _by_path(samples, "rtl_path", rtl, "rtl_key", "inner")
     if asm is None:
         return keyed.withColumn("asm_key", F.lit(None).cast("string"))
-    return keyed.join(asm.select(F.col("path").alias("asm_path"), F.col("graph").alias("asm_key")), "asm_path", "left")
+    return _by_path(keyed, "asm_path", asm, "asm_key", "left")
+
+
+def _by_path(samples: DataFrame, column: str, graphs: DataFrame, key: str, how: str) -> DataFrame:
+    files = graphs.select(F.col("path").alias("path_"), F.col("graph").alias(key))
+    return samples.join(files, _plain(F.col(column)) == F.col("path_"), how).drop("path_")

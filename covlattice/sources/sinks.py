@@ -51,6 +51,12 @@ def append_metrics(metrics: DataFrame, path: str, epoch: int, step: int) -> None
     ).parquet(path)
 
 
+def latest_metrics(history: DataFrame) -> DataFrame:
+    """The history with one row for each epoch, stage and name: the one of the latest step, then the largest value."""
+    last = F.max(F.struct("step", "value")).alias("m")
+    return history.groupBy("epoch", "stage", "name").agg(last).select("epoch", "m.step", "stage", "name", "m.value")
+
+
 def best_checkpoints(history: DataFrame, monitor: str, top: int, largest: bool = False) -> DataFrame:
     """The ``top`` epochs by a monitored metric; ties go to the earlier epoch."""
     value = F.col("value").desc() if largest else F.col("value").asc()

@@ -5,11 +5,13 @@ import os
 import pytest
 
 import __spark_entry__
-from covlattice.plans.queries import QUERIES
-from covlattice.plans.sql import ORACLES
+from covlattice.plans import source_queries, source_sql
+from covlattice.plans.queries import QUERIES as CORE
+from covlattice.plans.sql import ORACLES as CORE_SQL
 
+QUERIES, ORACLES = CORE | source_queries.QUERIES, CORE_SQL | source_sql.ORACLES
 DATA = "/root/testdata/sf0.001"
-SOME = ["coverage_similarity", "relative_strata", "pair_selection", "grouped_split", "bucket_batches", "regression_metrics", "geometry_metrics", "routed_aggregate", "label_distribution", "type_codes", "gcn_propagate", "cell_features", "early_stop", "plateau_rates", "scalar_maths"]
+SOME = ["coverage_similarity", "relative_strata", "pair_selection", "grouped_split", "bucket_batches", "regression_metrics", "geometry_metrics", "routed_aggregate", "label_distribution", "type_codes", "gcn_propagate", "cell_features", "early_stop", "plateau_rates", "scalar_maths", *source_queries.QUERIES]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
 
