@@ -84,6 +84,15 @@ def iou_rank_loss(rows: DataFrame, config: RankConfig = RankConfig(), batch: str
     return typed.agg(F.coalesce(F.avg("m"), F.lit(0.0)).alias("loss"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"), F.count("*").alias("n_types"))
 
 
+def combined_geometry_loss(volume: DataFrame, iou: DataFrame, rank: DataFrame, weights: tuple[float, float, float]) -> DataFrame:
+    """One row of the three parts as their functions give them: loss, each part, its types, and the ordered pairs."""
+    v = volume.select(F.col("loss").alias("volume"), F.col("n_types").alias("volume_types"))
+    c = iou.select(F.col("loss").alias("iou"), F.col("n_types").alias("iou_types"))
+    r = rank.select(F.col("loss").alias("rank"), F.col("n_types").alias("rank_types"), "n_pairs")
+    met = v.join(F.broadcast(c)).join(F.broadcast(r))  # one row each
+    return met.withColumn("loss", weights[0] * F.col("volume") + weights[1] * F.col("iou") + weights[2] * F.col("rank"))
+
+
 def pair_graph_loss(a: Column, b: Column) -> Column:
     """Both ends of a pair are reduced on their own, then averaged."""
     return (a + b) / 2

@@ -235,15 +235,29 @@ def pair_fingerprint(pairs: DataFrame) -> DataFrame:
     return groups.agg(F.sum("n").alias("n_pairs"), sha_prefix(listed, 16).alias("fingerprint"))
 
 
-def pair_diagnostics(strata: DataFrame, chosen: DataFrame, quotas: dict[str, int] | None = None) -> DataFrame:
-    """One row: pools, degrees, similarity, and pairs asked for and found in each stratum."""
+def equal_candidates(sigs: DataFrame) -> DataFrame:
+    """One row (equal_candidates): ordered pairs of a module's samples that have the same signature."""
+    kind = F.sha2(F.to_json("sig").cast("binary"), 256)
+    n = sigs.groupBy("module", kind.alias("kind")).agg(F.count("*").alias("n"))
+    return n.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1)), F.lit(0)).alias("equal_candidates"))
+
+
+def pair_diagnostics(strata: DataFrame, chosen: DataFrame, sigs: DataFrame, quotas: dict[str, int] | None = None) -> DataFrame:
+    """One row: pools, degrees, similarity, the set's fingerprint, and by stratum the pairs asked for, at hand and found.
+
+    ``requested_x`` is the quota of every anchor, ``available_x`` what its
+    stratum can give of it.  ``conflicts`` are pairs that both ends have within
+    their quota; ``degree_zero`` anchors are in no pair; ``equal_candidates``
+    were passed over for their signature.
+    """
     quotas = QUOTAS if quotas is None else quotas
     pools = strata.groupBy("module", "anchor").agg(
         F.count("*").alias("pool"), *[F.count_if(F.col("stratum") == s).alias(s) for s in quotas]
     )
-    asked = [F.sum(F.least(F.col(s), F.lit(q))).alias(f"requested_{s}") for s, q in quotas.items()]
+    asked = [(F.count("*") * q).alias(f"requested_{s}") for s, q in quotas.items()]
+    there = [F.sum(F.least(F.col(s), F.lit(q))).alias(f"available_{s}") for s, q in quotas.items()]
     a = pools.agg(
-        F.count("*").alias("n_anchors"), F.min("pool").alias("pool_min"), F.avg("pool").alias("pool_mean"), F.max("pool").alias("pool_max"), *asked
+        F.count("*").alias("n_anchors"), F.min("pool").alias("pool_min"), F.avg("pool").alias("pool_mean"), F.max("pool").alias("pool_max"), *asked, *there
     )
     b = degrees(chosen).agg(
         F.count("*").alias("n_endpoints"), F.min("degree").alias("degree_min"), F.avg("degree").alias("degree_mean"), F.max("degree").alias("degree_max")
@@ -255,4 +269,13 @@ def pair_diagnostics(strata: DataFrame, chosen: DataFrame, quotas: dict[str, int
         F.round(F.max("similarity"), 6).alias("similarity_max"),
         *[F.count_if(F.col("stratum") == s).alias(f"fulfilled_{s}") for s in quotas],
     )
-    return a.join(F.broadcast(b)).join(F.broadcast(c))  # one row each
+    met = unordered(quota_candidates(strata, quotas)).agg(F.count("*").alias("met_"))
+    asked_for = quota_candidates(strata, quotas).agg(F.count("*").alias("proposed_"))
+    made = a
+    for one in (b, c, met, asked_for, equal_candidates(sigs), pair_fingerprint(chosen).select("fingerprint")):  # one row each
+        made = made.join(F.broadcast(one))
+    return (
+        made.withColumn("conflicts", F.col("proposed_") - F.col("met_"))
+        .withColumn("degree_zero", F.col("n_anchors") - F.col("n_endpoints"))
+        .drop("proposed_", "met_")
+    )

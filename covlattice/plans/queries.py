@@ -93,8 +93,8 @@ def candidate_pool(s: SparkSession, d: str) -> DataFrame:
     return pairs.candidate_pairs(_sigs(s, d))
 
 
-def _strata(s: SparkSession, d: str) -> DataFrame:
-    sigs = _sig_table(s, d)
+def _strata(s: SparkSession, d: str, sigs: DataFrame | None = None) -> DataFrame:
+    sigs = _sig_table(s, d) if sigs is None else sigs
     found = pairs.with_geometry(pairs.informative_pairs(sigs), sigs).select("module", "anchor", "candidate", "similarity")
     return pairs.relative_strata(found)
 
@@ -121,8 +121,9 @@ def endpoint_weights(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def pair_diagnostics(s: SparkSession, d: str) -> DataFrame:
-    strata = cut_lineage(_strata(s, d))
-    made = pairs.pair_diagnostics(strata, cut_lineage(pairs.select_pairs(strata)))
+    sigs = _sig_table(s, d)
+    strata = cut_lineage(_strata(s, d, sigs))
+    made = pairs.pair_diagnostics(strata, cut_lineage(pairs.select_pairs(strata)), sigs)
     return made.withColumn("pool_mean", r6("pool_mean")).withColumn("degree_mean", r6("degree_mean"))
 
 
@@ -256,6 +257,13 @@ def iou_rank_loss(s: SparkSession, d: str) -> DataFrame:
     return losses.iou_rank_loss(rows).withColumn("loss", r6("loss"))
 
 
+@query
+def combined_geometry_loss(s: SparkSession, d: str) -> DataFrame:
+    """Volume, calibration and order of the boxes in one row, with their weighted sum."""
+    made = losses.combined_geometry_loss(volume_loss(s, d), iou_calibration(s, d), iou_rank_loss(s, d), (0.25, 0.5, 0.125))
+    return made.withColumn("loss", r6("loss"))
+
+
 @query
 def joint_loss(s: SparkSession, d: str) -> DataFrame:
     sup = losses.weighted_graph_loss(view.predictions(s, d)).select(F.col("loss").alias("sup"))

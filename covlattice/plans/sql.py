@@ -203,8 +203,12 @@ ORACLES = {
       SELECT module, anchor, count(*) AS pool, least(2, count(*) FILTER (stratum = 'low')) AS low, least(1, count(*) FILTER (stratum = 'mid')) AS mid,
              least(1, count(*) FILTER (stratum = 'high')) AS high FROM strata GROUP BY ALL)
       SELECT a.*, b.*, c.* FROM
-      (SELECT count(*) AS n_anchors, min(pool) AS pool_min, round(avg(pool), 6) AS pool_mean, max(pool) AS pool_max, sum(low)::BIGINT AS requested_low,
-              sum(mid)::BIGINT AS requested_mid, sum(high)::BIGINT AS requested_high FROM pools) a,
+      (SELECT count(*) AS n_anchors, min(pool) AS pool_min, round(avg(pool), 6) AS pool_mean, max(pool) AS pool_max, 2 * count(*) AS requested_low,
+              count(*) AS requested_mid, count(*) AS requested_high, sum(low)::BIGINT AS available_low, sum(mid)::BIGINT AS available_mid,
+              sum(high)::BIGINT AS available_high, count(*) - (SELECT count(*) FROM deg) AS degree_zero,
+              (SELECT count(*) - count(DISTINCT (module, least(anchor, candidate), greatest(anchor, candidate))) FROM placed WHERE place <= quota) AS conflicts,
+              (SELECT coalesce(sum(n * (n - 1)), 0)::BIGINT FROM (SELECT count(*) AS n FROM ring GROUP BY module, sig)) AS equal_candidates,
+              (SELECT fingerprint FROM (__PRINT__)) AS fingerprint FROM pools) a,
       (SELECT count(*) AS n_endpoints, min(degree) AS degree_min, round(avg(degree), 6) AS degree_mean, max(degree) AS degree_max FROM deg) b,
       (SELECT count(*) AS n_pairs, round(min(similarity), 6) AS similarity_min, round(avg(similarity), 6) AS similarity_mean,
               round(max(similarity), 6) AS similarity_max, count(*) FILTER (stratum = 'low') AS fulfilled_low,
@@ -346,6 +350,12 @@ _HISTORY = """WITH RECURSIVE h AS (
   SELECT (o_orderkey % 100)::INT AS epoch, round(avg(o_totalprice) / 100000, 6) AS value FROM orders GROUP BY 1
 ), o AS (SELECT *, row_number() OVER (ORDER BY epoch) AS rn FROM h)"""
 
+#: The diagnostics hold the fingerprint that has a query of its own.
+ORACLES["pair_diagnostics"] = ORACLES["pair_diagnostics"].replace("__PRINT__", ORACLES["pair_fingerprint"])
+ORACLES["combined_geometry_loss"] = f"""SELECT v.loss AS volume, v.n_types AS volume_types, c.loss AS iou, c.n_types AS iou_types, r.loss AS rank,
+  r.n_types AS rank_types, r.n_pairs, round(0.25 * v.loss + 0.5 * c.loss + 0.125 * r.loss, 6) AS loss
+  FROM ({ORACLES["volume_loss"]}) v, ({ORACLES["iou_calibration"]}) c, ({ORACLES["iou_rank_loss"]}) r"""
+
 ORACLES |= {
     "type_codes": f"""WITH c AS (SELECT ({_CELLS} || ['INPUT', 'OUTPUT', '$other'])[p_partkey % (len({_CELLS}) + 3) + 1] AS cell, p_size FROM part),
       k AS (SELECT coalesce(list_position({_CELLS}, cell), len({_CELLS}))::INT - 1 AS cell, [0, 3, 6, 0][p_size % 4 + 1] AS edge_type FROM c),
