@@ -183,7 +183,7 @@ WITH c AS (
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         length(coalesce(text, '')) + length(regexp_replace(coalesce(text, ''), '[^\]', '', 'g'))
+         length(coalesce(text, '')) + length(regexp_replace(coalesce(text, ''), '[^' || chr(92) || chr(92) || ']', '', 'g'))
          + len(regexp_extract_all(coalesce(text, ''), '\[/?INST\]|</s>|<\|endoftext\|>')) AS chars,
          length(coalesce(role, '')) AS role_chars
   FROM c
