@@ -6,9 +6,10 @@ DuckDB SQL of those that SQL can express.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from covlattice.llm import bpe, chat, decontaminate, interactions, licenses, quality, sharding, simhash, tokencount, tokenfiles, urls, warc
+from covlattice.llm import bpe, chat, decontaminate, interactions, licenses, negatives, quality, sharding, simhash, tokencount, tokenfiles, urls, warc
 from covlattice.llm.common import shared_folder, table
 
 
@@ -241,6 +242,44 @@ FROM t GROUP BY conv_id
 """
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, components as whole 256ths, a seventh of the labels moved on."""
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        # a component that is no finite number stays as it is
+        F.transform("embedding", lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), x.cast("double")).otherwise(_whole(x))).alias("vector"),
+    )
+    return negatives.mine_hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+def _whole(x: Column) -> Column:
+    """floor(256 x) as a double; from 2^52 on every double is whole."""
+    y = 256 * x.cast("double")
+    return F.when(F.abs(y) < float(1 << 52), F.floor(y).cast("double")).otherwise(y)
+
+
+OP13_SQL = r"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, e.vec_id AS other_id, a.label = e.label AS same, list_dot_product(a.v, e.v)::BIGINT AS score
+  FROM e a, e WHERE a.vec_id % 50 = 0 AND a.vec_id <> e.vec_id
+), p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INT AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 100 * score BETWEEN 50 * positive_score AND 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_sharding": op2_sharding,
@@ -254,6 +293,7 @@ QUERIES = {
     "op10_simhash": op10_simhash,
     "op11_interactions": op11_interactions,
     "op12_chat": op12_chat,
+    "op13_negatives": op13_negatives,
 }
 
 ORACLES = {
@@ -262,4 +302,5 @@ ORACLES = {
     "op8_decontaminate": OP8_SQL,
     "op11_interactions": OP11_SQL,
     "op12_chat": OP12_SQL,
+    "op13_negatives": OP13_SQL,
 }
