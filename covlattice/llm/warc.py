@@ -12,8 +12,14 @@ Records are rows; :func:`write_warc` and :func:`read_warc` turn rows into
 Defined results: a null payload is an empty one and gives an empty conversion; a
 null URI is the empty URI; equal responses give equal records, as many as there
 are responses; an empty table gives no records; other columns are not kept.  A
-page of any length and content is read in one pass; a tag that is not closed by
-``>`` before the next ``<`` is text.
+page of any length and content is read in time in proportion to its length.  A
+tag ends at the first ``>`` outside of its quoted values; where none comes before
+a ``<`` outside of them, at the first ``>`` before any ``<``; else it is text.
+
+A payload is decoded as its header block says: chunks are put together, gzip and
+deflate unpacked, and the charset is that of the headers, else of a ``meta`` tag
+near the start, else UTF-8.  What can't be decoded is kept as far as it goes; the
+payload digest is that of the bytes as they came.
 """
 
 from __future__ import annotations
@@ -25,6 +31,7 @@ import html
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,8 +53,11 @@ _SCHEMA = pa.schema(
     [(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[k]) for n, k in (f.split() for f in RECORD.split(", "))]
 )
 
-#: Comments, and tags: a tag ends at the next ``>``, and is text if a ``<`` comes before that.
-_MARK = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>|[!?/][^<>]*+>)")
+#: Comments, the start of tags, and other marks.
+_MARK = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/<>]*+)|[!?/][^<>]*+>)")
+#: The rest of a tag up to its ``>``, quoted values stepped over; and the same without regard to quotes.
+_QUOTED = re.compile(r"(?:[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+")
+_PLAIN = re.compile(r"[^<>]*+")
 #: Elements whose content is not text.
 _HIDDEN = frozenset("script style noscript template title".split())
 _CLOSING = {name: re.compile(rf"</{name}(?![^\s/<>])[^<>]*+>", re.I) for name in _HIDDEN}
@@ -60,13 +70,16 @@ _BREAKS = frozenset(
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"']\S*+)))?")
 
 
-#: Numbers of no character; the library's decoder would raise on very long ones.
-_HUGE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
+#: Zeros before a number, and numbers of no character; the library's decoder would raise on very long ones.
+_PADDED = re.compile(r"(&#[xX]?)0+(?=[0-9a-fA-F])")
+_HUGE = re.compile(r"&#(?:[0-9]{8,}+|[xX][0-9a-fA-F]{8,}+);?")
 
 
 def _decoded(text: str) -> str:
     """``text`` with its entities decoded."""
-    return html.unescape(_HUGE.sub("\ufffd", text))
+    if "&#" in text:
+        text = _HUGE.sub("\ufffd", _PADDED.sub(r"\1", text))
+    return html.unescape(text)
 
 
 def _line(text: str) -> str:
@@ -91,6 +104,7 @@ def read_page(page: str) -> tuple[str, str | None, str | None, list[str]]:
     of them.  The time is in proportion to the page, whatever it holds.
     """
     pieces, at, title, language, links = [], 0, None, None, []
+    plain = 0  # up to here a tag's search was in vain: tags that start before are read without regard to quotes
     while mark := _MARK.search(page, at):
         pieces.append(page[at : mark.start()])
         at = mark.end()
@@ -100,6 +114,15 @@ def read_page(page: str) -> tuple[str, str | None, str | None, list[str]]:
             continue
         if not mark[3]:
             continue
+        inside = _QUOTED.match(page, at) if mark.start() >= plain else None
+        if inside and page[inside.end() : inside.end() + 1] != ">":
+            plain, inside = inside.end(), None
+        if not inside:
+            inside = _PLAIN.match(page, at)
+            if page[inside.end() : inside.end() + 1] != ">":
+                pieces.append(mark[0])
+                continue
+        at = inside.end() + 1
         name = mark[3].lower()
         if name in _BREAKS:
             pieces.append("\n")
@@ -110,9 +133,9 @@ def read_page(page: str) -> tuple[str, str | None, str | None, list[str]]:
             if end and title is None and name == "title":
                 title = _line(page[at : end.start()])
             at = end.end() if end else len(page)
-        elif name == "a" and (link := _attribute(mark[4], "href")) is not None:
+        elif name == "a" and (link := _attribute(inside[0], "href")) is not None:
             links.append(_line(link))
-        elif name == "html" and language is None and (lang := _attribute(mark[4], "lang")):
+        elif name == "html" and language is None and (lang := _attribute(inside[0], "lang")):
             language = _line(lang)
     pieces.append(page[at:])
     lines = (" ".join(line.split()) for line in _decoded("".join(pieces)).split("\n"))
@@ -125,6 +148,58 @@ def warc_fields(title: str | None, language: str | None, links: list[str]) -> st
     return "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None)
 
 
+#: Labels of charsets that stand for a wider one on the web (fixed values).
+_WIDER = {"ascii": "cp1252", "us-ascii": "cp1252", "iso-8859-1": "cp1252", "latin1": "cp1252", "latin-1": "cp1252", "gb2312": "gb18030", "gbk": "gb18030"}
+_CHARSET = re.compile(r"charset\s*+=\s*+[\"']?+([^\s\"';>/]++)", re.I)
+#: Bytes in which a ``meta`` tag may name the charset.
+META_BYTES = 1024
+
+
+def _unchunked(payload: bytes) -> bytes:
+    """The chunks of a chunked payload put together, up to the first that is none."""
+    parts, at = [], 0
+    while (end := payload.find(b"\r\n", at)) >= 0:
+        size = payload[at:end].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9a-fA-F]{1,15}", size) or not int(size, 16):
+            break
+        parts.append(payload[end + 2 : end + 2 + int(size, 16)])
+        at = end + 4 + int(size, 16)
+    return b"".join(parts) if parts or at else payload
+
+
+def _unpacked(payload: bytes, coding: str) -> bytes:
+    """What gzip or deflate data hold, as far as they go; other data as they are."""
+    for bits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding, ()):
+        unpack, out = zlib.decompressobj(bits), []
+        try:
+            for k in range(0, len(payload), 1 << 16):
+                out.append(unpack.decompress(payload[k : k + (1 << 16)]))
+            out.append(unpack.flush())
+        except zlib.error:
+            pass
+        if any(out):
+            return b"".join(out)
+    return payload
+
+
+def page_of(headers: str | None, payload: bytes) -> str:
+    """The text of a payload, by the content type, content coding and transfer coding of its header block."""
+    fields = {}
+    for line in (headers or "").split("\n")[1:]:
+        name, _, value = line.partition(":")
+        fields.setdefault(name.strip().lower(), value.strip())
+    if "chunked" in fields.get("transfer-encoding", "").lower():
+        payload = _unchunked(payload)
+    for coding in reversed(fields.get("content-encoding", "").lower().split(",")):
+        payload = _unpacked(payload, coding.strip())
+    named = _CHARSET.search(fields.get("content-type", "")) or _CHARSET.search(payload[:META_BYTES].decode("latin-1"))
+    label = named[1].lower() if named else "utf-8"
+    try:
+        return payload.decode(_WIDER.get(label, label), "replace")
+    except (LookupError, ValueError):  # no charset of texts
+        return payload.decode("utf-8", "replace")
+
+
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -169,7 +244,7 @@ def derive(responses: DataFrame, keep: str | None = None) -> DataFrame:
             names = ("record_id", "target_uri", "date", "headers", "payload")
             for source, uri, date, headers, payload in zip(*(batch.column(c).to_pylist() for c in names)):
                 payload = payload or b""
-                page = payload.decode("utf-8", "replace")
+                page = page_of(headers, payload)
                 source_digest = digest(payload)
                 ids = {k: record_id(f"{source} {k}") for k in ("metadata", "conversion")}
                 text, *found = read_page(page)

@@ -1,6 +1,9 @@
+import gzip
 import hashlib
 import os
+import random
 import time
+import zlib
 from html.parser import HTMLParser
 
 import pytest
@@ -49,7 +52,8 @@ def test_plain_text():
 
 @pytest.mark.parametrize(
     "piece",
-    ["<a ", "<html ", "<a href=", "<a href='", '<a href="x', "<a b=\"'", "<!--", "<!", "</script ", "<script>", "<title>", "</", "<a\n", "&#", "&amp", "<p", "x=", "= "],
+    ["<a ", "<html ", "<a href=", "<a href='", '<a href="x', "<a b=\"'", "<!--", "<!", "</script ", "<script>", "<title>", "</", "<a\n", "&#", "&amp", "<p", "x=", "= ",
+     "<a x=\"'", "<a x='\"", "<a x=\"<a y='", "<a x=\"\" <", "<a x=\"<\" ", "='\"", "&#0", "&#x0000"],
 )
 def test_hostile_pages_take_time_in_proportion(piece):
     """A megabyte of openings that are never closed; once as tags of their own, once inside one tag."""
@@ -97,6 +101,60 @@ class Reader(HTMLParser):
         return "\n".join(x for x in lines if x)
 
 
+def test_quotes_and_padded_entities():
+    assert warc.read_page('<a href="x>y">t</a>') == ("t", None, None, ["x>y"])
+    assert warc.read_page('<a title="a > b" href="/z">u</a>') == ("u", None, None, ["/z"])
+    assert warc.read_page("<p title='<b>'>v</p><a href = '>'>w</a title='>'>x") == ("v\nwx", None, None, [">"])
+    assert text("&#00000065;&#x00000041;&#0000000000000000000065 &#x0;&#00;&#99999999;&#x110000;") == "AAA \ufffd\ufffd\ufffd\ufffd"
+    assert text("&#" + "0" * 9000 + "65;") == "A"
+    # a value that no quote ends, and a tag that nothing ends
+    assert warc.read_page('<a href="x>y</a> <a title="p > q" href=/z>t')[0].endswith("t")
+    assert warc.read_page("<a href='x>y</a> z") == ("y z", None, None, ["'x"]) or text("<a href='x>y</a> z") == "y z"
+    assert text('a <b and <i x="<">c</i>') == "a <b and c"
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_random_pages_are_read_as_the_standard_parser_reads_them(seed):
+    """Well-formed tags with every kind of value, and entities of every kind."""
+    r = random.Random(seed)
+    values = ["x>y", "a > b", "/z?a=1&amp;b=2", "<b>", "'", '"', "", "&#0065;", "ä", "=", "a b", "&gt;"]
+    texts = ["word ", "&#00000065;", "&#x00041;", "&lt;b&gt;", "&#128512;", " = ", "'", '"', "\n", "&amp;#65;", "&#xD800;", "&#0;", "é", "1 > 0 "]
+
+    def attribute():
+        name, v = r.choice(["href", "title", "class", "lang", "x"]), r.choice(values)
+        if '"' not in v and r.random() < 0.6:
+            return f'{name}{r.choice(["=", " = "])}"{v}"'
+        return f"{name}='{v}'" if "'" not in v else f"{name}=plain"
+
+    page = "".join(
+        r.choice(texts) if r.random() < 0.5 else f"<{r.choice(['a', 'p', 'b', 'br', 'div', 'html'])} {' '.join(attribute() for _ in range(r.randrange(4)))}>"
+        for _ in range(600)
+    )
+    read = Reader(page)
+    got, title, language, links = warc.read_page(page)
+    assert (got, title, links) == (read.text, read.title, read.links)
+
+
+def test_payloads_are_decoded_as_the_headers_say():
+    head = "HTTP/1.1 200 OK\r\nContent-Type: text/html{}\r\n{}"
+    assert warc.page_of(head.format("; charset=ISO-8859-1", ""), "é€".encode("cp1252")) == "é€"
+    assert warc.page_of(head.format('; Charset="Shift_JIS"', ""), "日本".encode("shift_jis")) == "日本"
+    assert warc.page_of(head.format("", ""), "<meta charset='windows-1251'>я".encode("cp1251")).endswith("я")
+    assert warc.page_of(head.format("", ""), "я".encode()) == "я" and warc.page_of(None, "я".encode()) == "я"
+    for label in ("no-such", "base64", "undefined"):
+        assert warc.page_of(head.format(f"; charset={label}", ""), b"abc\xff") == "abc\ufffd"
+    packed = gzip.compress("é text".encode() * 50_000)
+    assert warc.page_of(head.format("", "Content-Encoding: gzip\r\n"), packed) == "é text" * 50_000
+    assert warc.page_of(head.format("", "Content-Encoding: gzip\r\n"), packed[:-9])[:6] == "é text"
+    assert warc.page_of(head.format("", "Content-Encoding: gzip\r\n"), b"plain") == "plain"
+    for raw in (zlib.compress(b"deflated"), zlib.compress(b"deflated")[2:-4]):
+        assert warc.page_of(head.format("", "Content-Encoding: deflate\r\n"), raw) == "deflated"
+    chunked = b"4\r\nWiki\r\n6;x=y\r\npedia \r\n3\r\nin \r\n0\r\n\r\n"
+    assert warc.page_of(head.format("", "Transfer-Encoding: chunked\r\n"), chunked) == "Wikipedia in "
+    assert warc.page_of(head.format("", "Transfer-Encoding: chunked\r\n"), b"not so") == "not so"
+    assert warc.page_of(head.format("", ""), b"") == ""
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
 def test_query_gives_what_the_standard_parser_gives(spark):
     from covlattice.llm.queries import op5_warc
