@@ -13,11 +13,12 @@ exactly, so nothing is lost; the sample decides the speed only.
 
 Scale: rows of a leaf are kept as blocks of ``BLOCK_ROWS`` in the order of their
 distance to its split point, written once, so a leaf with a third of all rows
-is many blocks in many tasks; a block keeps ranges of its own.  Anchors go to
-the leaves they can't drop in packs, and a task streams the packs past a few
-blocks.  Three passes: positives above a bound from the anchor's own block,
-negatives of the anchor's own leaf to narrow the windows, then all of them.
-The tree (at most ``SAMPLE`` points) and its ranges are all that is broadcast.
+is many blocks in many tasks; a block keeps ranges of its own.  Two passes, for
+positives and for negatives: each first raises the lower ends of an anchor's
+windows to what its best matches in the sample score, since no worse row can be
+among the first; then the anchor goes, in a pack, to the leaves it can't drop,
+and a task streams the packs past a few blocks.  The sample, the tree (split
+points of the sample) and its ranges are all that is broadcast.
 
 Defined results: rows with a null id, label or vector, or with a null or
 non-finite component, take no part; shorter vectors end in zeros; rows with
@@ -198,9 +199,7 @@ def best(
         least = np.partition(shown, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
         allowed = allowed & (scores >= least[:, None])
     row, column = np.nonzero(allowed)
-    order = np.lexsort((uids[column], ids[column], -scores[row, column].astype(float), row))
-    if len(order) and np.abs(scores[row, column]).max() >= 2**53:  # beyond what doubles tell apart
-        order = np.array(sorted(range(len(row)), key=lambda x: (row[x], -int(scores[row[x], column[x]]), ids[column[x]], uids[column[x]])))
+    order = np.lexsort((uids[column], ids[column], ~scores[row, column], row))  # ~score: downwards, without an overflow
     row, column = row[order], column[order]
     rank = np.arange(len(row)) - np.searchsorted(row, row)
     return row[rank < k], column[rank < k]
@@ -225,7 +224,7 @@ def _longs(raw: bytes) -> np.ndarray:
 
 _BLOCK = (
     "leaf int, block long, n int, uids binary, ids binary, labels binary, kind int, vectors binary, norm_low double, norm_high double, "
-    "near array<double>, far array<double>, anchors binary, bounds binary"
+    "near array<double>, far array<double>, anchors binary"
 )
 _SENT = "leaf int, slot int, side int, uids binary, ids binary, labels binary, kind int, vectors binary, lows binary, highs binary"
 
@@ -249,28 +248,26 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 class Index(NamedTuple):
-    """Written blocks of all rows, the ranges of the tree (broadcast), slots by leaf, and the vectors' length."""
+    """Written blocks of all rows; broadcast: the tree's ranges, and labels and vectors of the sample; slots by leaf; the vectors' length."""
 
     blocks: DataFrame
     ranges: object
+    sample: object
     slots: dict[int, int]
     dim: int
 
 
-def build_index(rows: DataFrame, n_bounds: int, sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS, ways: int = WAYS, block_rows: int = BLOCK_ROWS) -> Index | None:
-    """The index of ``rows`` (vec_id long, label long, vector array<double>, is_anchor boolean), None if there are none.
-
-    A block also holds its anchors' bounds: what at least the ``n_bounds``-th
-    best other row of the same label scores.
-    """
+def build_index(rows: DataFrame, sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS, ways: int = WAYS, block_rows: int = BLOCK_ROWS) -> Index | None:
+    """The index of ``rows`` (vec_id long, label long, vector array<double>, is_anchor boolean), None if there are none."""
     spark = rows.sparkSession
     n, dim = rows.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     if not n:
         return None
     share = int((1 << 30) * min(1.0, sample / n))
-    drawn = rows.where(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(1 << 30)) <= share).select("vector").limit(2 * sample)
-    held = [r.vector for r in drawn.toLocalIterator()]
-    fitted = np.array([[*v, *[0.0] * (dim - len(v))] for v in held]).reshape(len(held), dim)
+    drawn = rows.where(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(1 << 30)) <= share).select("label", "vector").limit(2 * sample)
+    held = list(drawn.toLocalIterator())
+    fitted = np.array([[*r.vector, *[0.0] * (dim - len(r.vector))] for r in held]).reshape(len(held), dim)
+    labels = np.array([r.label for r in held], np.int64)
     tree = Tree(fitted, max(8, leaf_rows * len(held) / n), ways)
     sent = spark.sparkContext.broadcast(tree)
 
@@ -287,17 +284,9 @@ def build_index(rows: DataFrame, n_bounds: int, sample: int = SAMPLE, leaf_rows:
             uids = number * 4096 + np.arange(len(ids))
             norms = (m * m).sum(1)
             far = distances(m, p) if len(p := tree.points(leaf)) else np.zeros((len(m), 0))
-            who, bounds = np.flatnonzero(anchors), np.full(int(anchors.sum()), LOWEST)
-            if len(who):
-                scores = dot(m[who], m)
-                same = (labels[who][:, None] == labels) & (uids[who][:, None] != uids)
-                row, column = best(scores, same, ids, uids, n_bounds)
-                last = np.flatnonzero(np.diff(np.r_[row, -1]) != 0)
-                full = last[np.bincount(row, minlength=len(who))[row[last]] == n_bounds]
-                bounds[row[full]] = scores[row[full], column[full]]
             kind, raw = _pack(m)
             row = (leaf, number, len(ids), uids.tobytes(), ids.tobytes(), labels.tobytes(), kind, raw, norms.min(), norms.max(),
-                   far.min(0).tolist(), far.max(0).tolist(), who.astype(np.int64).tobytes(), bounds.tobytes())
+                   far.min(0).tolist(), far.max(0).tolist(), np.flatnonzero(anchors).astype(np.int64).tobytes())
             return _batch([row], _BLOCK)
 
         for batch in batches:
@@ -331,11 +320,11 @@ def build_index(rows: DataFrame, n_bounds: int, sample: int = SAMPLE, leaf_rows:
         far.setdefault(r.leaf, []).append(r.far)
     leaves = {leaf: (low, high, np.array(near.get(leaf, [])), np.array(far.get(leaf, []))) for leaf, _, low, high in sizes}
     slots = {leaf: -(-n // SLOT_BLOCKS) for leaf, n, _, _ in sizes}
-    return Index(blocks, spark.sparkContext.broadcast(Ranges(tree, leaves)), slots, dim)
+    return Index(blocks, spark.sparkContext.broadcast(Ranges(tree, leaves)), spark.sparkContext.broadcast((labels, fitted)), slots, dim)
 
 
 def index_anchors(index: Index) -> DataFrame:
-    """uid, anchor_id, label, leaf, vector (packed, with its kind), bound of every anchor."""
+    """uid, anchor_id, label, vector (packed, with its kind) of every anchor."""
     dim = index.dim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,49 +332,60 @@ def index_anchors(index: Index) -> DataFrame:
             rows = []
             for b in batch.to_pylist():
                 vectors = _unpack(b["kind"], b["vectors"], dim)
-                for k, bound in zip(_longs(b["anchors"]), _longs(b["bounds"])):
-                    rows.append((_longs(b["uids"])[k], _longs(b["ids"])[k], _longs(b["labels"])[k], b["leaf"], *_pack(vectors[k : k + 1]), bound))
+                for k in _longs(b["anchors"]):
+                    rows.append((_longs(b["uids"])[k], _longs(b["ids"])[k], _longs(b["labels"])[k], *_pack(vectors[k : k + 1])))
             if rows:
                 yield _batch(rows, ddl)
 
-    ddl = "uid long, anchor_id long, label long, leaf int, kind int, vector binary, bound long"
+    ddl = "uid long, anchor_id long, label long, kind int, vector binary"
     held = index.blocks.where(F.length("anchors") > 0)
-    return held.select("leaf", "uids", "ids", "labels", "kind", "vectors", "anchors", "bounds").mapInArrow(run, ddl)
+    return held.select("uids", "ids", "labels", "kind", "vectors", "anchors").mapInArrow(run, ddl)
 
 
-def window_search(index: Index, asked: DataFrame, k: int, same: bool, home: bool = False) -> DataFrame:
+def raised(lows: np.ndarray, highs: np.ndarray, a: np.ndarray, label: np.ndarray, sample: tuple[np.ndarray, np.ndarray], k: int, same: bool) -> np.ndarray:
+    """``lows`` raised, per anchor and window, to the score that k rows of the sample reach in the window.
+
+    Of the same label one more row has to reach it, as the anchor may be one of the sample.
+    """
+    labels, m = sample
+    k += same
+    if len(m) < k:
+        return lows
+    scores, out = dot(a, m), lows.copy()
+    fits = (label[:, None] == labels) == same
+    for w in range(lows.shape[1]):
+        inside = fits & (scores >= lows[:, w, None]) & (scores <= highs[:, w, None])
+        reached = np.partition(np.where(inside, scores, LOWEST), len(m) - k, axis=1)[:, len(m) - k]
+        out[:, w] = np.maximum(out[:, w], reached)
+    return out
+
+
+def window_search(index: Index, asked: DataFrame, k: int, same: bool) -> DataFrame:
     """uid, window, found_uid, found_id, score: the first k rows of every window of every anchor.
 
-    ``asked``: uid, label, leaf, kind, vector, lows, highs (arrays of longs, one
-    for each window; a window with a low above its high is empty).  Rows of the
-    same label are looked at, or those of others; with ``home`` only those in
-    one slot of the anchor's own leaf.
+    ``asked``: uid, label, kind, vector, lows, highs (arrays of longs, one for
+    each window; a window with a low above its high is empty).  Rows of the same
+    label are looked at, or those of others.
     """
-    ranges, slots, dim = index.ranges, index.slots, index.dim
+    ranges, sample, slots, dim = index.ranges, index.sample, index.slots, index.dim
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uids, labels, leaves = (batch.column(c).to_numpy().astype(np.int64) for c in ("uid", "label", "leaf"))
-            order = np.argsort(leaves, kind="stable")
+            uids, labels = (batch.column(c).to_numpy() for c in ("uid", "label"))
             m = np.concatenate([_unpack(kind, raw, dim) for kind, raw in zip(batch.column("kind").to_pylist(), batch.column("vector").to_pylist())])
             lows, highs = batch.column("lows").to_pylist(), batch.column("highs").to_pylist()
             width = max(map(len, lows))
             low, high = np.full((len(lows), width), 1), np.zeros((len(lows), width), np.int64)  # empty windows
             for r, (a, b) in enumerate(zip(lows, highs)):
                 low[r, : len(a)], high[r, : len(b)] = a, b
-            for at in range(0, len(order), PACK):
-                own = order[at : at + PACK]
-                if home:
-                    met = [(int(x), np.flatnonzero(leaves[own] == x)) for x in np.unique(leaves[own])]
-                else:
-                    met = ranges.value.survivors(m[own], low[own], high[own])
-                for leaf, left in met:
-                    n, who = slots.get(leaf, 0), own[left]
-                    for slot in range(n):
-                        w = who[uids[who] // 4096 % n == slot] if home else who
-                        if len(w):
-                            kind, raw = _pack(m[w])
-                            yield _batch([(leaf, slot, 1, uids[w].tobytes(), b"", labels[w].tobytes(), kind, raw, low[w].tobytes(), high[w].tobytes())], _SENT)
+            for at in range(0, len(uids), PACK):
+                own = slice(at, at + PACK)
+                u, c, v, h = uids[own], labels[own], m[own], high[own]
+                x = raised(low[own], h, v, c, sample.value, k, same)
+                for leaf, w in ranges.value.survivors(v, x, h):
+                    if n := slots.get(leaf, 0) if len(w) else 0:
+                        row = (u[w].tobytes(), b"", c[w].tobytes(), *_pack(v[w]), x[w].tobytes(), h[w].tobytes())
+                        yield _batch([(leaf, slot, 1, *row) for slot in range(n)], _SENT)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -409,12 +409,12 @@ def window_search(index: Index, asked: DataFrame, k: int, same: bool, home: bool
                     continue
                 own, label, a = _longs(uids), _longs(labels), _unpack(kind, vectors, dim)
                 low, high = _longs(lows).reshape(len(own), -1), _longs(highs).reshape(len(own), -1)
-                for block in blocks:
-                    found = _search_block(block, own, label, a, low, high, k, same, ranges.value.tree.points(leaf))
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["uid", "window", "found_uid", "found_id", "score"])
+                points = ranges.value.tree.points(leaf)
+                found = [x for block in blocks if (x := _search_block(block, own, label, a, low, high, k, same, points))]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in _first(found, k)], names=["uid", "window", "found_uid", "found_id", "score"])
 
-    asked = asked.select("uid", "label", "leaf", "kind", "vector", "lows", "highs")
+    asked = asked.select("uid", "label", "kind", "vector", "lows", "highs")
     rows = index.blocks.select("leaf", "block", "uids", "ids", "labels", "kind", "vectors").mapInArrow(deal, _SENT)
     both = rows.unionByName(asked.mapInArrow(send, _SENT)).repartition("leaf", "slot").sortWithinPartitions("leaf", "slot", "side")
     found = both.mapInArrow(search, "uid long, window int, found_uid long, found_id long, score long")
@@ -422,6 +422,18 @@ def window_search(index: Index, asked: DataFrame, k: int, same: bool, home: bool
     return found.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k)
 
 
+def _first(found: list[list[np.ndarray]], k: int) -> list[np.ndarray]:
+    """Of the columns of several blocks, the first k rows of each anchor and window."""
+    if len(found) == 1:
+        return found[0]
+    uid, window, other, ids, score = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((other, ids, ~score, window, uid))  # ~score: downwards, without an overflow
+    new = np.r_[True, (np.diff(uid[order]) != 0) | (np.diff(window[order]) != 0)]
+    start = np.flatnonzero(new)
+    order = order[np.arange(len(order)) - start[np.cumsum(new) - 1] < k]
+    return [x[order] for x in (uid, window, other, ids, score)]
+
+
 def _span(m: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     norms = (m * m).sum(1)
     far = distances(m, points) if len(points) else np.zeros((len(m), 0))
@@ -469,21 +481,17 @@ def mine_hard_negatives(
         F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{label}`").cast("long").alias("label"),
         v.cast("array<double>").alias("vector"), F.coalesce(anchors, F.lit(False)).alias("is_anchor"),
     )
-    index = build_index(rows, n_positives, **fit)
+    index = build_index(rows, **fit)
     if index is None:
         return table.sparkSession.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
     asked = index_anchors(index)
-    near = asked.withColumns({"lows": F.array("bound"), "highs": F.array(F.lit(HIGHEST))})
+    near = asked.withColumns({"lows": F.array(F.lit(LOWEST)), "highs": F.array(F.lit(HIGHEST))})
     positives = cut_lineage(
         window_search(index, near, n_positives, same=True).select("uid", (F.col("place") - 1).alias("window"), F.col("found_id").alias("positive_id"), F.col("score").alias("positive_score"))
     )
-    windows = asked.drop("bound").join(_windows(positives, low, high), "uid")
-    close = window_search(index, windows, n_negatives, same=False, home=True).where(F.col("place") == n_negatives)
-    bounds = close.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("window", "score"))).alias("met"))
-    raised = F.transform("lows", lambda x, w: F.greatest(x, F.coalesce(F.try_element_at("met", w), F.lit(LOWEST))))
-    narrowed = cut_lineage(windows.join(bounds, "uid", "left").withColumn("lows", F.when(F.col("met").isNull(), F.col("lows")).otherwise(raised)))
-    found = window_search(index, narrowed, n_negatives, same=False)
-    return found.join(positives, ["uid", "window"]).join(narrowed.select("uid", "anchor_id"), "uid").select(
+    windows = asked.join(_windows(positives, low, high), "uid")
+    found = window_search(index, windows, n_negatives, same=False)
+    return found.join(positives, ["uid", "window"]).join(asked.select("uid", "anchor_id"), "uid").select(
         "anchor_id", "positive_id", F.col("place").alias("rank"), F.col("found_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")
     )
 

@@ -60,7 +60,7 @@ def test_scores_beyond_doubles_are_exact(spark):
 def test_every_row_is_a_leafs_and_dropped_leaves_hold_no_match(spark):
     rows = clustered(600, 4, 5, spread=6)
     table = spark.createDataFrame(rows, SCHEMA).withColumn("is_anchor", F.col("vec_id") % 20 == 0)
-    index = negatives.build_index(table, 5, leaf_rows=16, ways=5, block_rows=16)
+    index = negatives.build_index(table, leaf_rows=16, ways=5, block_rows=16)
     blocks = index.blocks.collect()
     ids = sorted(np.concatenate([negatives._longs(b.ids) for b in blocks]).tolist())
     assert ids == list(range(600)) and len({b.leaf for b in blocks}) > 10 and max(b.n for b in blocks) <= 16
