@@ -1,11 +1,16 @@
 """Quality rules as a short-circuit cascade (native DataFrame expressions).
 
 Each rule is a boolean column that is true for a document to reject.  On a
-bounded sample, taken by hash from the whole table, the cascade measures how
-long a rule takes and how many rows it rejects, and puts the rules in the order
-of rejections per cost; one ``CASE`` then tries them in that order, so a
-document stops at the first rule that rejects it.  The order never changes the
-verdict, only the work.
+bounded sample the cascade measures how long a rule takes, with the counts that
+it needs, and how many rows it rejects, and puts the rules in the order of
+rejections per cost; one ``CASE`` then tries them in that order, so a document
+stops at the first rule that rejects it.  The order never changes the verdict,
+only the work.
+
+The sample is read from a few files, drawn by the hash of their names, and in
+them rows are drawn by hash, so a plan costs no scan of the table.  One job then
+tries all rules on it: every row is tried several times by every rule, between
+two looks at the executor's clock, and its least time counts.
 
 Defined results: a null text has no words and counts as the empty text; an
 empty table gives no rows; equal rows get equal verdicts; columns beyond the
@@ -15,25 +20,28 @@ the same name.
 
 from __future__ import annotations
 
-import time
+import hashlib
 from collections.abc import Callable
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covlattice.llm.common import SPACES, bind, fresh
+from covlattice.llm.common import SPACES, bind
 
 #: Words in a window of the repetition count; a power of two.
 WINDOW = 8
-#: Rows whose cost and selectivity are measured; they decide the order alone.
+#: Rows whose cost and selectivity are measured, about; they decide the order alone.
 SAMPLE_ROWS = 400
+#: Files that they are drawn from at most.
+SAMPLE_FILES = 16
 #: Longer texts are left out of that sample, so that it stays small.
 SAMPLE_CHARS = 50_000
-#: A rule is timed so often, after a first run that compiles it, and the least time counts.
-TIMES = 3
-#: A rule that is faster than this (seconds) is timed on so many copies of the sample.
-SHORTEST, COPIES = 0.2, 20
+#: A row is tried so often by a rule, and the least time counts.
+TIMES = 5
+#: Rejections per second within this factor of the best of a group count as equal.
+EQUAL = 1.1
 
 
 class Rule(NamedTuple):
@@ -194,59 +202,61 @@ def counted(text: Column) -> Column:
 
 def measure(sample: DataFrame, doc: str, rules: list[Rule]) -> list[RuleStats]:
     """Seconds for the rows of the sample, and rejected share, of each rule; it reads the column ``doc``."""
-    rows = sample.count()
-    copied = {n: sample.withColumn(fresh(sample, "copy"), F.explode(F.sequence(F.lit(1), F.lit(n)))) for n in (1, COPIES)}
-
-    def timed(rejects: Column, copies: int) -> tuple[float, int]:
-        counted = copied[copies].agg(F.count_if(F.coalesce(rejects, F.lit(False))))
-        found, took = counted.first()[0], []
-        for _ in range(TIMES):
-            began = time.perf_counter()
-            counted.first()
-            took.append(time.perf_counter() - began)
-        return min(took), found // copies
-
-    idle = {n: timed(F.col(doc).isNull(), n)[0] for n in copied}
-    stats = []
-    for rule in rules:
-        seconds, rejected = timed(rule.rejects(F.col(doc)), 1)
-        cost = seconds - idle[1]
-        if seconds < SHORTEST:
-            cost = (timed(rule.rejects(F.col(doc)), COPIES)[0] - idle[COPIES]) / COPIES
-        stats.append(RuleStats(rule.name, max(cost, 1e-6), rejected / rows if rows else 0.0))
-    return stats
+    clock = F.expr("bigint(java_method('java.lang.System', 'nanoTime'))")
+    n, verdict = len(rules), F.lit(None).cast("boolean")
+    for k in reversed(range(n)):
+        verdict = F.when(F.col("rule") == k, F.coalesce(rules[k].rejects(F.col("doc")), F.lit(False))).otherwise(verdict)
+    tries = sample.select(F.col(doc).alias("doc"), F.monotonically_increasing_id().alias("row")).withColumn(
+        "rule", F.explode(F.array([F.lit(k) for k in range(n)] * TIMES))
+    )
+    timed = tries.select("row", "rule", F.struct(clock.alias("began"), verdict.alias("rejected"), clock.alias("ended")).alias("t"))
+    best = timed.groupBy("row", "rule").agg(F.min(F.col("t.ended") - F.col("t.began")).alias("ns"), F.max("t.rejected").alias("rejected"))
+    found = best.groupBy("rule").agg(F.sum("ns").alias("ns"), F.avg(F.col("rejected").cast("int")).alias("share"))
+    by = {r["rule"]: r for r in found.collect()}
+    return [RuleStats(rule.name, max(by[k]["ns"], 1) / 1e9, by[k]["share"]) if k in by else RuleStats(rule.name, 1.0, 0.0) for k, rule in enumerate(rules)]
 
 
 def order_rules(rules: list[Rule], stats: list[RuleStats]) -> list[Rule]:
-    """Most rejections per second first; names break ties."""
+    """Most rejections per second first; those within ``EQUAL`` of the first of a group stand by name."""
     by = {s.name: s for s in stats}
-    return sorted(rules, key=lambda r: (-by[r.name].rejected / by[r.name].seconds, r.name))
+    gain = {r.name: by[r.name].rejected / by[r.name].seconds for r in rules}
+    groups: list[list[Rule]] = []
+    for rule in sorted(rules, key=lambda r: (-gain[r.name], r.name)):
+        if groups and gain[groups[-1][0].name] <= EQUAL * gain[rule.name]:
+            groups[-1].append(rule)
+        else:
+            groups.append([rule])
+    return [r for g in groups for r in sorted(g, key=lambda r: r.name)]
 
 
-def plan_cascade(
-    docs: DataFrame,
-    rules: list[Rule],
-    prepare: Callable[[Column], Column] = text_and_words,
-    text: str = "text",
-    sample_rows: int = SAMPLE_ROWS,
-) -> list[Rule]:
-    """The rules in the order of their rejections per cost.
+def sample_texts(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> list[str | None]:
+    """At most ``rows`` texts of up to ``SAMPLE_CHARS`` characters, drawn by hash from ``SAMPLE_FILES`` files at most.
 
-    The sample is the ``sample_rows`` rows of the smallest hashes of their other
-    columns (of the text where it stands alone), but for those whose text is
-    longer than ``SAMPLE_CHARS``.
+    A table that is not read straight from files is drawn from as a whole.
     """
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text] or [F.col(f"`{text}`")]
-    hashed = docs.select(F.xxhash64(*others).alias("h"), F.col(f"`{text}`").alias("text"))
-    least = hashed.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
-    if least is None:
-        return rules
-    short = hashed.where((F.col("h") <= least) & (F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)).select("text")
-    few = short.limit(sample_rows).collect()
+    files = docs.inputFiles()
+    part = docs
+    if len(files) > SAMPLE_FILES:
+        drawn = sorted(files, key=lambda f: hashlib.sha256(f.encode()).digest())[:SAMPLE_FILES]
+        try:
+            part = docs.where(F.col("_metadata.file_path").isin([f.replace("file:///", "file:/", 1) for f in drawn] + drawn))
+        except AnalysisException:  # columns of its own only
+            part = docs
+    whole = [F.col(f"`{c}`") for c in docs.columns]
+    share = int((1 << 30) * min(1.0, 0.9 * rows / max(1, part.count())))  # seldom more than rows
+    short = F.coalesce(F.length(F.col(f"`{text}`")), F.lit(0)) <= SAMPLE_CHARS
+    met = part.where((F.pmod(F.xxhash64(*whole), F.lit(1 << 30)) <= share) & short)
+    return [r[0] for r in met.select(F.col(f"`{text}`")).limit(rows).collect()]
+
+
+def plan_cascade(docs: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """The rules, which read a document of text and words, in the order of their rejections per cost on :func:`sample_texts`."""
+    few = sample_texts(docs, text, sample_rows)
     if not few:
         return rules
-    sample = docs.sparkSession.createDataFrame(few, short.schema).coalesce(1)
-    sample = sample.select(prepare(F.col("text")).alias("doc")).persist()
+    spark = docs.sparkSession
+    sample = spark.createDataFrame([(t,) for t in few], "text string").repartition(min(8, len(few)))
+    sample = sample.select(text_and_words(F.col("text")).alias("doc")).persist()
     try:
         return order_rules(rules, measure(sample, "doc", rules))
     finally:
@@ -267,7 +277,7 @@ def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:
     Nothing is counted before a rule asks for it, so most junk leaves by a
     cheap rule and the window counts run on the rest alone.
     """
-    ordered = plan_cascade(docs, LAZY_RULES, text=text)
+    ordered = plan_cascade(docs, LAZY_RULES, text)
     return docs.where(bind(text_and_words(F.col(f"`{text}`")), lambda d: rejected_by(d, ordered)).isNull())
 
 
@@ -280,8 +290,9 @@ def quality_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     content rules run, by measured order, only where the base rules pass.
     """
     base = [rule.name for rule in BASE_RULES]
-    ordered = plan_cascade(docs, BASE_RULES + CONTENT_RULES, counted, text)
-    ordered = [r for r in ordered if r.name in base] + [r for r in ordered if r.name not in base]
+    by = {r.name: r for r in BASE_RULES + CONTENT_RULES}
+    planned = [r.name for r in plan_cascade(docs, LAZY_RULES, text)]
+    ordered = [by[n] for n in planned if n in base] + [by[n] for n in planned if n not in base]
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     judged = bind(
         counted(F.col(f"`{text}`")),

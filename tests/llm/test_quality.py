@@ -85,3 +85,22 @@ def test_the_sample_is_of_the_whole_table(spark, monkeypatch):
     rows = spark.range(10_000).select(F.when(F.col("id") < 3000, 5).otherwise(F.col("id")).alias("doc_id"), F.col("id").cast("string").alias("text"))
     assert len(quality.plan_cascade(rows, quality.LAZY_RULES)) == len(quality.LAZY_RULES)
     assert 300 <= len(seen["rows"]) <= 400 and max(map(int, seen["rows"])) > 9000
+
+
+def test_a_table_of_many_files_is_sampled_from_some(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_FILES", 3)
+    spark.range(2000).select("id", F.col("id").cast("string").alias("text")).repartition(10).write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    found = {int(t) for t in quality.sample_texts(table, rows=1000)}
+    where = {r.id: r.f for r in table.select("id", F.col("_metadata.file_path").alias("f")).collect()}
+    assert len({where[i] for i in found}) == 3 and 450 <= len(found) <= 650
+    again = quality.sample_texts(table.select("text", F.length("text").alias("n")), rows=1000)  # a plan above the files
+    assert 500 <= len(again) <= 1000
+
+
+def test_report_and_filter_have_the_same_order_each_time(spark):
+    """Costs of rules include the counts they need, so clear differences decide."""
+    texts = ["word " * 300, "# " * 300, "a few words", "SHOUT LOUD " * 200, " ".join(str(k) for k in range(300))]
+    docs = spark.createDataFrame([(i, texts[i % 5] + str(i)) for i in range(500)], "doc_id long, text string")
+    orders = {tuple(r.name for r in quality.plan_cascade(docs, quality.LAZY_RULES)) for _ in range(4)}
+    assert {o[0] for o in orders} == {"too_few_words"} and {o.index("symbols") < o.index("repeated_windows") for o in orders} == {True}
