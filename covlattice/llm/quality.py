@@ -41,7 +41,7 @@ SAMPLE_CHARS = 50_000
 #: A row is tried so often by a rule, and the least time counts.
 TIMES = 5
 #: Rejections per second within this factor of the best of a group count as equal.
-EQUAL = 1.1
+EQUAL = 1.3
 
 
 class Rule(NamedTuple):
