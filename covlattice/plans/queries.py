@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from covlattice.functions import scalar
 from covlattice.functions.text import format_block, shuffle_key, stable_seed
 from covlattice.functions.vocab import CELL_TYPES, TARGET_ORDER, agg_group, cell_code, coverage_index, edge_code, node_code
-from covlattice.operators import batching, coverage, encoder, geometry, graph, inference, losses, metrics, pairs, splits, stats
+from covlattice.operators import batching, coverage, encoder, geometry, graph, inference, losses, metrics, pairs, simjoin, splits, stats
 from covlattice.plans import adapters as view
 from covlattice.session import cut_lineage
 from covlattice.sources import sinks
@@ -58,14 +58,9 @@ def coverage_global_ids(s: SparkSession, d: str) -> DataFrame:
     return ids.groupBy("module", "sample").agg(F.count("*").alias("n"), F.min("global_id").alias("first"), F.max("global_id").alias("last"), F.sum("global_id").alias("total"))
 
 
-def _undirected(s: SparkSession, d: str) -> DataFrame:
-    """Every unordered pair of a module; the pool belongs to pair sampling only."""
-    return pairs.all_geometry(_sig_table(s, d))
-
-
 @query
 def pair_jaccard(s: SparkSession, d: str) -> DataFrame:
-    made = _undirected(s, d).select("module", "sample_a", "sample_b", F.posexplode("geometry").alias("k", "g"))
+    made = pairs.all_geometry(_sig_table(s, d)).select("module", "sample_a", "sample_b", F.posexplode("geometry").alias("k", "g"))
     kinds = F.array(*[F.lit(c) for c in coverage.GEOMETRY_ORDER])
     return made.select(
         "module", "sample_a", "sample_b", F.get(kinds, F.col("k")).alias("ctype"), r6("g.density_a", "density_a"), r6("g.density_b", "density_b"),
@@ -75,16 +70,28 @@ def pair_jaccard(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def coverage_similarity(s: SparkSession, d: str) -> DataFrame:
-    return _undirected(s, d).select("module", "sample_a", "sample_b", r6("similarity"))
+    """Every unordered pair of a module; the pool belongs to pair sampling only."""
+    return simjoin.all_similarity(_sigs(s, d)).withColumn("similarity", r6("similarity"))
 
 
 def most_similar(s: SparkSession, d: str, top: int = 20) -> DataFrame:
     """The most similar pairs of all; ties by their samples."""
-    return coverage_similarity(s, d).orderBy(F.desc("similarity"), "sample_a", "sample_b").limit(top)
+    return simjoin.most_similar(_sigs(s, d), top).select("module", "sample_a", "sample_b", r6("similarity"))
 
 
 QUERIES["most_similar_pairs"] = most_similar
 
+
+@query
+def similar_signatures(s: SparkSession, d: str) -> DataFrame:
+    """Pairs of signatures of a similarity of 0.8 or more, with the number of pairs of samples that they stand for."""
+    met, members = simjoin.similar_classes(_sigs(s, d), 0.8)
+    sizes = cut_lineage(members.groupBy("module", "class").agg(F.count("*").alias("n")))
+    a, b = (sizes.select("module", F.col("class").alias(f"class_{e}"), F.col("n").alias(f"n_{e}")) for e in "ab")
+    n = F.when(F.col("class_a") == F.col("class_b"), F.col("n_a") * (F.col("n_a") - 1) / 2).otherwise(F.col("n_a") * F.col("n_b"))
+    made = met.join(a, ["module", "class_a"]).join(b, ["module", "class_b"])
+    return made.select("module", "class_a", "class_b", r6("similarity"), n.cast("long").alias("n_pairs"))
+
 # --- pair sampling ----------------------------------------------------------------------------
 
 

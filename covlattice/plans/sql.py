@@ -194,6 +194,11 @@ ORACLES = {
     "coverage_similarity": _PAIRS + " SELECT module, sample_a, sample_b, round(similarity, 6) AS similarity FROM sim",
     "most_similar_pairs": _PAIRS + """ SELECT module, sample_a, sample_b, round(similarity, 6) AS similarity FROM sim
       ORDER BY round(similarity, 6) DESC, sample_a, sample_b LIMIT 20""",
+    "similar_signatures": _PAIRS + """, sig AS (SELECT module, sample, string_agg(k || ':' || e, ',' ORDER BY k, e) AS sig FROM cov GROUP BY ALL),
+      cls AS (SELECT module, sample, min(sample) OVER (PARTITION BY module, sig) AS class FROM sig)
+      SELECT s.module, least(a.class, b.class) AS class_a, greatest(a.class, b.class) AS class_b, round(any_value(similarity), 6) AS similarity,
+             count(*) AS n_pairs FROM sim s JOIN cls a ON a.module = s.module AND a.sample = sample_a JOIN cls b ON b.module = s.module AND b.sample = sample_b
+      WHERE round(similarity, 9) >= 0.8 GROUP BY 1, 2, 3""",
     "candidate_pool": _COV + "," + _RING.format(source="cov", pool=256) + " SELECT module, anchor, candidate FROM dir",
     "relative_strata": _STRATA + " SELECT module, anchor, candidate, rank, pool_size, stratum, round(similarity, 6) AS similarity FROM strata",
     "quota_candidates": _STRATA + " SELECT module, anchor, candidate, stratum, place FROM placed WHERE place <= quota",
