@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from covlattice.functions.text import sha_prefix, shuffle_key
 from covlattice.operators.coverage import pair_geometry, plain_geometry, plain_similarity, plain_signature, plain_words, similarity
+from covlattice.session import cut_lineage
 
 POOL = 256
 TILE = 256
@@ -71,7 +72,7 @@ def informative_pairs(sigs: DataFrame, seed: str = "0", pool: int = POOL, run: i
     rank = F.row_number().over(W.partitionBy("module", "kind", "run").orderBy("place")) - 1
     ring = ring.withColumn("number", rank).join(runs, ["module", "kind", "run"]).withColumn("others", F.col("members") - F.col("equals"))
     ring = ring.withColumn("rank", F.col("before") + F.col("number")).withColumn("u", F.col("place") - F.col("rank"))
-    ring = ring.drop("run", "number", "before").persist()  # a row for each sample, read four times
+    ring = cut_lineage(ring.drop("run", "number", "before"))  # a row for each sample, read four times
     # without equal samples, or with equal ones only, the next places are the candidates
     steps = F.sequence(F.lit(1).cast("long"), F.least(F.lit(pool).cast("long"), F.col("members") - 1))
     plain = ring.where("members > 1 AND (equals = 1 OR others = 0)").select(
@@ -208,6 +209,44 @@ def select_pairs(strata: DataFrame, quotas: dict[str, int] | None = None, seed:
     return own.withColumn("filled", filled).where(F.col("filled") <= limit).select("module", "sample_a", "sample_b", "anchor", "stratum", "similarity")
 
 
+def greedy_pairs(strata: DataFrame, quotas: dict[str, int] | None = None, seed: str = "0") -> DataFrame:
+    """Pairs that fill the quotas as one pass over the anchors does, and the same pairs as it.
+
+    The pass takes a module's anchors in hash order; an anchor takes, in each
+    stratum, the first of its candidates in hash order whose pair no earlier
+    anchor has taken.  Here all anchors choose at once, again and again: in each
+    round an anchor is denied the pairs that earlier anchors chose in the round
+    before.  The first anchors are right from the first round on, those that
+    depend on them from the next, and choices that a round leaves unchanged are
+    those of the pass.  So the set is maximal: an anchor under its quota has no
+    pair of that stratum left.  Only what is denied goes from round to round, at
+    most the quotas' sum for each anchor.
+    """
+    quotas = QUOTAS if quotas is None else quotas
+    within = shuffle_key(F.lit(seed), F.col("stratum"), F.col("anchor"), F.col("candidate"))
+    one = F.struct(within.alias("h"), "candidate", "similarity")
+    listed = [F.array_sort(F.collect_list(F.when(F.col("stratum") == s, one))).alias(f"in_{s}") for s in quotas]
+    lists = cut_lineage(strata.groupBy("module", "anchor").agg(*listed))
+    denied = lists.select("module", "anchor", F.array().cast(f"array<{strata.schema['anchor'].dataType.simpleString()}>").alias("denied")).limit(0)
+    key = ["module", "anchor"]
+    earlier = shuffle_key(F.lit(seed), F.col("module"), F.col("anchor")), shuffle_key(F.lit(seed), F.col("module"), F.col("c.candidate"))
+    while True:
+        met = lists.join(denied, key, "left")
+        free = lambda s: F.filter(f"in_{s}", lambda x: ~F.coalesce(F.array_contains("denied", x["candidate"]), F.lit(False)))  # noqa: B023, E731
+        taken = F.flatten(F.array(*[F.transform(F.slice(free(s), 1, q), lambda x: F.struct(F.lit(s).alias("stratum"), x["candidate"].alias("candidate"), x["similarity"].alias("similarity"))) for s, q in quotas.items()]))  # noqa: B023
+        chosen = cut_lineage(met.select(*key, F.explode(taken).alias("c")))
+        mine = earlier[0] < earlier[1], (earlier[0] == earlier[1]) & (F.col("anchor") < F.col("c.candidate"))
+        told = chosen.where(mine[0] | mine[1]).groupBy("module", F.col("c.candidate").alias("anchor")).agg(F.array_sort(F.collect_set("anchor")).alias("denied"))
+        told = cut_lineage(told)
+        if denied.join(told, [*key, "denied"], "full").count() == denied.count() == told.count():
+            break
+        denied = told
+    return chosen.select(
+        "module", F.least("anchor", "c.candidate").alias("sample_a"), F.greatest("anchor", "c.candidate").alias("sample_b"), "anchor",
+        F.col("c.stratum").alias("stratum"), F.col("c.similarity").alias("similarity"),
+    )
+
+
 def degrees(pairs: DataFrame) -> DataFrame:
     """(module, sample, degree) of the ends of unordered pairs."""
     ends = pairs.select("module", F.explode(F.array("sample_a", "sample_b")).alias("sample"))

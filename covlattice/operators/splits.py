@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from covlattice.functions.text import shuffle_key
 from covlattice.operators.order import running_total
+from covlattice.session import cut_lineage
 
 
 def stimulus_groups(samples: DataFrame) -> DataFrame:
@@ -36,6 +37,47 @@ def grouped_split(samples: DataFrame, val_fraction: float = 0.1, seed: int = 42)
     return placed.select("test_id", (~F.col("reserved") & (F.col("before") < target)).alias("is_val"))
 
 
+def sequential_split(samples: DataFrame, val_fraction: float = 0.1, seed: int = 42) -> DataFrame:
+    """(test_id, is_val): the split of one pass over the stimuli, and the same as it.
+
+    The pass takes stimuli in seeded hash order until the validation side has
+    its share of the rows; a stimulus after which some module would have no
+    training rows is passed over.  Whether one is passed over depends on those
+    before it only, so the pass is a fixed point: with the stimuli passed over
+    so far, running totals over the whole order say which ones would empty a
+    module; the first stimuli are right at once, later ones when those before
+    them are, and a round that changes none of the stimuli before the end is the
+    pass.  Each round is two running totals, by module and over all stimuli.
+    No validation stimulus at all is an error.
+    """
+    total = samples.count()
+    if not total:
+        raise ValueError("there are no samples to split")
+    target = max(1, int(total * val_fraction))
+    order = ["h", "test_id"]
+    per = cut_lineage(samples.groupBy("test_id", "module").agg(F.count("*").alias("n")).withColumn("h", shuffle_key(F.lit(seed), F.col("test_id"))))
+    sizes = cut_lineage(per.groupBy("module").agg(F.sum("n").alias("rows")))
+    passed = per.select("test_id").limit(0)
+    while True:
+        gone = passed.withColumn("gone", F.lit(True))
+        held = per.join(gone, "test_id", "left").withColumn("taken", F.when(F.col("gone"), F.lit(0).cast("long")).otherwise(F.col("n")))
+        by_module = running_total(held, order, "taken", "earlier", ["module"]).join(sizes, "module")
+        empties = by_module.groupBy(*order).agg(
+            F.bool_or(F.col("earlier") + F.col("n") >= F.col("rows")).alias("empties"), F.sum("taken").alias("taken")
+        )
+        placed = cut_lineage(running_total(empties, order, "taken", "before"))
+        reached = placed.where(F.col("before") < target)
+        now = cut_lineage(reached.where("empties").select("test_id"))
+        known = passed.join(reached, "test_id", "left_semi")
+        if known.join(now, "test_id", "full").count() == known.count() == now.count():
+            break
+        passed = now
+    split = placed.select("test_id", (~F.col("empties") & (F.col("before") < target)).alias("is_val"))
+    if split.where("is_val").isEmpty():
+        raise ValueError("no stimulus can go to validation while every module keeps training rows")
+    return split
+
+
 def split_diagnostics(samples: DataFrame, split: DataFrame) -> DataFrame:
     """One row: rows, stimuli and modules of both sides, shared stimuli, and modules that only validation has."""
     sided = samples.join(split, "test_id")

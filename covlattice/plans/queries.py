@@ -121,6 +121,12 @@ def pair_selection(s: SparkSession, d: str) -> DataFrame:
     return pairs.select_pairs(_strata(s, d)).select("module", "sample_a", "sample_b", "anchor", "stratum", r6("similarity"))
 
 
+@query
+def greedy_pairs(s: SparkSession, d: str) -> DataFrame:
+    """The pairs of a pass over the anchors of a module, one after the other."""
+    return pairs.greedy_pairs(_strata(s, d)).select("module", "sample_a", "sample_b", "anchor", "stratum", r6("similarity"))
+
+
 @query
 def endpoint_weights(s: SparkSession, d: str) -> DataFrame:
     return pairs.endpoint_weights(pairs.select_pairs(_strata(s, d))).withColumn("weight", r6("weight"))
@@ -169,6 +175,18 @@ def grouped_split(s: SparkSession, d: str) -> DataFrame:
     return splits.grouped_split(view.stimuli(s, d))
 
 
+@query
+def sequential_split(s: SparkSession, d: str) -> DataFrame:
+    """The split of one pass over the stimuli, over samples of which some modules have few."""
+    return splits.sequential_split(_few_of_a_module(view.stimuli(s, d)), 0.3)
+
+
+def _few_of_a_module(samples: DataFrame) -> DataFrame:
+    """Modules of an even number and few of the others: one by the last digits of the stimulus, so that it is soon used up."""
+    rare = (F.col("module") * 37 + F.col("test_id")) % 997
+    return samples.where((F.col("module") % 2 == 0) | (rare < 2))
+
+
 @query
 def split_diagnostics(s: SparkSession, d: str) -> DataFrame:
     samples = view.stimuli(s, d)

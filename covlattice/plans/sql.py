@@ -203,6 +203,23 @@ ORACLES = {
     "relative_strata": _STRATA + " SELECT module, anchor, candidate, rank, pool_size, stratum, round(similarity, 6) AS similarity FROM strata",
     "quota_candidates": _STRATA + " SELECT module, anchor, candidate, stratum, place FROM placed WHERE place <= quota",
     "pair_selection": _STRATA + " SELECT module, sample_a, sample_b, anchor, stratum, round(similarity, 6) AS similarity FROM chosen",
+    "greedy_pairs": _STRATA.replace("WITH ", "WITH RECURSIVE ", 1) + """, l AS (
+        SELECT module, anchor, row_number() OVER (PARTITION BY module ORDER BY md5('0|' || module || '|' || anchor), anchor) AS rn,
+               list(candidate ORDER BY place) FILTER (stratum = 'low') AS low, list(candidate ORDER BY place) FILTER (stratum = 'mid') AS mid,
+               list(candidate ORDER BY place) FILTER (stratum = 'high') AS high FROM placed GROUP BY module, anchor),
+      f AS (
+        SELECT module, 0::BIGINT AS rn, []::VARCHAR[] AS taken, NULL::BIGINT AS anchor, []::BIGINT[] AS a, []::BIGINT[] AS b, []::BIGINT[] AS c
+        FROM (SELECT DISTINCT module FROM l)
+        UNION ALL
+        SELECT module, rn, list_concat(taken, list_transform(list_concat(a, b, c), lambda x: least(anchor, x) || '-' || greatest(anchor, x))), anchor, a, b, c
+        FROM (SELECT f.module, l.rn, taken, l.anchor,
+                     list_filter(coalesce(low, []), lambda x: NOT list_contains(taken, least(l.anchor, x) || '-' || greatest(l.anchor, x)))[1:2] AS a,
+                     list_filter(coalesce(mid, []), lambda x: NOT list_contains(taken, least(l.anchor, x) || '-' || greatest(l.anchor, x)))[1:1] AS b,
+                     list_filter(coalesce(high, []), lambda x: NOT list_contains(taken, least(l.anchor, x) || '-' || greatest(l.anchor, x)))[1:1] AS c
+              FROM f JOIN l ON l.module = f.module AND l.rn = f.rn + 1)),
+      g AS (SELECT module, anchor, unnest(a) AS candidate FROM f UNION ALL SELECT module, anchor, unnest(b) FROM f UNION ALL SELECT module, anchor, unnest(c) FROM f)
+      SELECT module, least(anchor, candidate) AS sample_a, greatest(anchor, candidate) AS sample_b, anchor, stratum, round(similarity, 6) AS similarity
+      FROM g JOIN placed USING (module, anchor, candidate)""",
     "endpoint_weights": _STRATA + " SELECT module, sample, degree, round((SELECT avg(degree) FROM deg) / degree, 6) AS weight FROM deg",
     "pair_diagnostics": _STRATA + """, pools AS (
       SELECT module, anchor, count(*) AS pool, least(2, count(*) FILTER (stratum = 'low')) AS low, least(1, count(*) FILTER (stratum = 'mid')) AS mid,
@@ -237,6 +254,23 @@ ORACLES = {
         FROM f JOIN ordered o ON o.bucket = f.bucket AND o.run = f.run AND o.rn = f.rn + 1)
       SELECT sample, size, bucket, run, batch FROM f""",
     "grouped_split": _SPLIT + " SELECT test_id, is_val FROM split",
+    "sequential_split": """WITH RECURSIVE samples AS (
+        SELECT l_orderkey AS test_id, s_nationkey AS module FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+        WHERE s_nationkey % 2 = 0 OR (s_nationkey * 37 + l_orderkey) % 997 < 2),
+      mods AS (SELECT module, row_number() OVER (ORDER BY module) AS m, count(*) AS n FROM samples GROUP BY module),
+      k AS (SELECT count(*) AS k FROM mods), goal AS (SELECT greatest(1, floor(count(*) * 0.3))::BIGINT AS goal FROM samples),
+      per AS (SELECT test_id, m, count(*) AS n FROM samples JOIN mods USING (module) GROUP BY ALL),
+      grp AS (SELECT test_id, row_number() OVER (ORDER BY md5('42|' || test_id), test_id) AS rn, sum(n)::BIGINT AS n, map_from_entries(list((m, n))) AS by_m
+              FROM per GROUP BY test_id),
+      f AS (
+        SELECT 0::BIGINT AS rn, NULL::BIGINT AS test_id, FALSE AS ok, 0::BIGINT AS filled, (SELECT list(n ORDER BY m) FROM mods) AS rest
+        UNION ALL
+        SELECT rn, test_id, ok, filled + CASE WHEN ok THEN n ELSE 0 END,
+               CASE WHEN ok THEN list_transform(rest, lambda x, i: x - coalesce(by_m[i], 0)) ELSE rest END
+        FROM (SELECT g.rn, g.test_id, g.n, g.by_m, f.filled, f.rest,
+                     len(list_filter(map_keys(g.by_m), lambda i: f.rest[i] - g.by_m[i] <= 0)) = 0 AS ok
+              FROM f JOIN grp g ON g.rn = f.rn + 1 WHERE f.filled < (SELECT goal FROM goal)))
+      SELECT test_id, coalesce(f.ok, FALSE) AS is_val FROM grp LEFT JOIN f USING (test_id)""",
     "split_diagnostics": _SPLIT + """, s AS (SELECT * FROM samples JOIN split USING (test_id)),
       m AS (SELECT module, bool_or(is_val) AS v, bool_or(NOT is_val) AS t FROM s GROUP BY module)
       SELECT a.*, b.* FROM
