@@ -28,28 +28,34 @@ ASM_EDGE_TYPES = [
     "RETURN", "DATA_DEP", "MEMORY_DEP", "ANTI_DEP", "OUTPUT_DEP",
 ]
 
-#: Cell types by the coarse node type they belong to; a cell's code is its place in this listing.
+#: Cell types by the coarse node type they belong to; a cell's code is its place in this listing.
 CELLS_BY_NODE_TYPE = [
-    ("INPUT", "INPUT"),
-    ("OUTPUT", "OUTPUT"),
-    ("CONSTANT", "CONSTANT"),
-    ("MUX", "$mux $pmux $bmux $demux"),
-    ("COMBINATIONAL", "$tribuf"),
-    ("SEQUENTIAL", "$dff $dffe $adff $adffe $asdff $asdffe $sdff $sdffe $sdffce $dlatch $adlatch $dlatchsr $sr $ff $aldff $aldffe"),
-    ("MEMORY", "$mem $mem_v2 $memrd $memrd_v2 $memwr $memwr_v2 $meminit $meminit_v2"),
-    ("ARITHMETIC", "$add $sub $mul $div $mod $divfloor $modfloor $pow $neg $pos"),
-    ("COMPARE", "$eq $ne $lt $le $gt $ge $eqx $nex"),
-    ("LOGIC", "$and $or $xor $xnor $not $reduce_and $reduce_or $reduce_xor $reduce_xnor $reduce_bool $logic_and $logic_or $logic_not"),
-    ("SHIFT", "$shl $shr $sshl $sshr $shift $shiftx"),
-    ("COMBINATIONAL", "$concat $slice $lut $sop"),
-    ("UNKNOWN", "UNKNOWN"),
+    ("INPUT", ["INPUT"]),
+    ("OUTPUT", ["OUTPUT"]),
+    ("CONSTANT", ["CONSTANT"]),
+    ("MUX", ["$mux", "$pmux", "$bmux", "$demux"]),
+    ("COMBINATIONAL", ["$tribuf"]),
+    ("SEQUENTIAL", [
+        "$dff", "$dffe", "$adff", "$adffe", "$asdff", "$asdffe", "$sdff", "$sdffe", "$sdffce", "$dlatch", "$adlatch",
+        "$dlatchsr", "$sr", "$ff", "$aldff", "$aldffe",
+    ]),
+    ("MEMORY", ["$mem", "$mem_v2", "$memrd", "$memrd_v2", "$memwr", "$memwr_v2", "$meminit", "$meminit_v2"]),
+    ("ARITHMETIC", ["$add", "$sub", "$mul", "$div", "$mod", "$divfloor", "$modfloor", "$pow", "$neg", "$pos"]),
+    ("COMPARE", ["$eq", "$ne", "$lt", "$le", "$gt", "$ge", "$eqx", "$nex"]),
+    ("LOGIC", [
+        "$and", "$or", "$xor", "$xnor", "$not", "$reduce_and", "$reduce_or", "$reduce_xor", "$reduce_xnor", "$reduce_bool",
+        "$logic_and", "$logic_or", "$logic_not",
+    ]),
+    ("SHIFT", ["$shl", "$shr", "$sshl", "$sshr", "$shift", "$shiftx"]),
+    ("COMBINATIONAL", ["$concat", "$slice", "$lut", "$sop"]),
+    ("UNKNOWN", ["UNKNOWN"]),
 ]
 
-#: Aggregation group of each node type: the three port-like types share group 0.
-AGG_GROUPS = [max(0, code - 2) for code in range(len(NODE_TYPES))]
+#: Aggregation group of each node type, in the order of the node types.
+AGG_GROUPS = [0, 0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 9]
 
-CELL_TYPES = [cell for _, cells in CELLS_BY_NODE_TYPE for cell in cells.split()]
-_NODE_OF_CELL = [NODE_TYPES.index(kind) for kind, cells in CELLS_BY_NODE_TYPE for _ in cells.split()]
+CELL_TYPES = [cell for _, cells in CELLS_BY_NODE_TYPE for cell in cells]
+_NODE_OF_CELL = [NODE_TYPES.index(kind) for kind, cells in CELLS_BY_NODE_TYPE for _ in cells]
 
 
 def _lookup(keys: list, values: list, column: Column, default: int) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from covlattice.functions.vocab import CELL_TYPES, CELLS_BY_NODE_TYPE, NODE_TYPES
-
 _BASE = """
 base AS (
   SELECT c_nationkey AS module, c_custkey AS sample, CAST(substr(p_brand, 7) AS INT) - 1 AS line,
@@ -381,10 +379,19 @@ ORACLES = {
       CAST('0x' || substr(sha256('42' || chr(0) || n_name), 1, 16) AS UBIGINT)::VARCHAR AS seed FROM nation""",
 }
 
-#: Vocabularies as SQL lists; their order is their code.
-_CELLS = "[" + ", ".join(f"'{c}'" for c in CELL_TYPES) + "]"
-_GROUPS = "[" + ", ".join(f"'{k}'" for k, cells in CELLS_BY_NODE_TYPE for _ in cells.split()) + "]"
-_KINDS = "[" + ", ".join(f"'{k}'" for k in NODE_TYPES) + "]"
+#: Expected codes, written out: cell types in the order of their codes, the node type of each, and the group of each node type.
+_CELLS = """['INPUT', 'OUTPUT', 'CONSTANT', '$mux', '$pmux', '$bmux', '$demux', '$tribuf',
+  '$dff', '$dffe', '$adff', '$adffe', '$asdff', '$asdffe', '$sdff', '$sdffe',
+  '$sdffce', '$dlatch', '$adlatch', '$dlatchsr', '$sr', '$ff', '$aldff', '$aldffe',
+  '$mem', '$mem_v2', '$memrd', '$memrd_v2', '$memwr', '$memwr_v2', '$meminit', '$meminit_v2',
+  '$add', '$sub', '$mul', '$div', '$mod', '$divfloor', '$modfloor', '$pow',
+  '$neg', '$pos', '$eq', '$ne', '$lt', '$le', '$gt', '$ge',
+  '$eqx', '$nex', '$and', '$or', '$xor', '$xnor', '$not', '$reduce_and',
+  '$reduce_or', '$reduce_xor', '$reduce_xnor', '$reduce_bool', '$logic_and', '$logic_or', '$logic_not', '$shl',
+  '$shr', '$sshl', '$sshr', '$shift', '$shiftx', '$concat', '$slice', '$lut',
+  '$sop', 'UNKNOWN']"""
+_NODE_TYPES = "[0, 1, 2, 6, 6, 6, 6, 3, 4, 4, 4, 4, 4, 4, 4, 4, 4, 4, 4, 4, 4, 4, 4, 4, 5, 5, 5, 5, 5, 5, 5, 5, 7, 7, 7, 7, 7, 7, 7, 7, 7, 7, 9, 9, 9, 9, 9, 9, 9, 9, 8, 8, 8, 8, 8, 8, 8, 8, 8, 8, 8, 8, 8, 10, 10, 10, 10, 10, 10, 3, 3, 3, 3, 11]"
+_GROUPS = "[0, 0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 9]"
 _HISTORY = """WITH RECURSIVE h AS (
   SELECT (o_orderkey % 100)::INT AS epoch, round(avg(o_totalprice) / 100000, 6) AS value FROM orders GROUP BY 1
 ), o AS (SELECT *, row_number() OVER (ORDER BY epoch) AS rn FROM h)"""
@@ -398,8 +405,8 @@ ORACLES["combined_geometry_loss"] = f"""SELECT v.loss AS volume, v.n_types AS vo
 ORACLES |= {
     "type_codes": f"""WITH c AS (SELECT ({_CELLS} || ['INPUT', 'OUTPUT', '$other'])[p_partkey % (len({_CELLS}) + 3) + 1] AS cell, p_size FROM part),
       k AS (SELECT coalesce(list_position({_CELLS}, cell), len({_CELLS}))::INT - 1 AS cell, [0, 3, 6, 0][p_size % 4 + 1] AS edge_type FROM c),
-      t AS (SELECT cell, edge_type, list_position({_KINDS}, ({_GROUPS})[cell + 1])::INT - 1 AS node_type FROM k)
-      SELECT cell, node_type, greatest(0, node_type - 2)::INT AS agg_group, edge_type, count(*) AS n FROM t GROUP BY ALL""",
+      t AS (SELECT cell, edge_type, ({_NODE_TYPES})[cell + 1] AS node_type FROM k)
+      SELECT cell, node_type, ({_GROUPS})[node_type + 1] AS agg_group, edge_type, count(*) AS n FROM t GROUP BY ALL""",
     "graph_targets": """SELECT p_partkey AS sample, ctype, CASE WHEN p_partkey % 5 <> 0 THEN CASE ctype WHEN 'line' THEN round(p_size / 100, 6)
         WHEN 'toggle' THEN round(p_retailprice / 10000, 6) END END AS y
       FROM part, (SELECT unnest(['branch', 'line', 'fsm', 'toggle', 'condition']) AS ctype)""",
