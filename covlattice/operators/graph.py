@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from covlattice.functions.scalar import softmax_row
 from covlattice.functions.vocab import EDGE_TYPES, NODE_TYPES, asm_edge_code, asm_node_code, cell_code, edge_code, node_code
 from covlattice.functions.text import format_block
+from covlattice.operators.joins import join_counted
 
 _DATA, _TRUE, _FALSE, _CONTROL, _CLOCK, _RESET, _ENABLE = range(len(EDGE_TYPES))
 
@@ -143,16 +144,36 @@ def segment_mean_max(messages: DataFrame, value: str = "m") -> DataFrame:
     )
 
 
+#: Scores of a step share a factor, so that their exponentials can be summed before the largest score is known.
+SCORE_STEP = 64
+
+
+def softmax_totals(edges: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
+    """(keys, top, total, n): the largest score of a group, the sum of exp(score - top), and the rows.
+
+    Scores are summed by steps of ``SCORE_STEP``, each about its own factor, in
+    groupings with partial sums; the steps of a group are merged as pairs of
+    maximum and sum, so no row is joined back to its maximum.
+    """
+    step = F.floor(F.col(score) / SCORE_STEP)
+    parts = edges.groupBy(*keys, step.alias("step_")).agg(
+        F.max(score).alias("top_"), F.sum(F.exp(F.col(score) - step * SCORE_STEP)).alias("sum_"), F.count(F.lit(1)).alias("n_")
+    )
+    top = F.max("top_")
+    merged = F.collect_list(F.struct("step_", "sum_"))  # as many as a group's scores span steps
+    total = lambda t: F.aggregate("steps_", F.lit(0.0), lambda a, p: a + p["sum_"] * F.exp(p["step_"] * SCORE_STEP - t))
+    held = parts.groupBy(*keys).agg(top.alias("top"), merged.alias("steps_"), F.sum("n_").alias("n"))
+    return held.select(*keys, "top", total(F.col("top")).alias("total"), "n")
+
+
 def attention_softmax(edges: DataFrame, score: str = "score") -> DataFrame:
     """``attention``: softmax of the scores of the edges into a node.
 
-    Maximum and sum are groupings, so that a node with very many in-edges is
-    summed in parts.
+    Maximum and sum come in one pass (:func:`softmax_totals`) and are joined
+    back once; a node with very many in-edges is met by broadcast.
     """
-    top = edges.groupBy("graph", "dst").agg(F.max(score).alias("top"))
-    shifted = edges.join(top, ["graph", "dst"]).withColumn("e", F.exp(F.col(score) - F.col("top")))
-    total = shifted.groupBy("graph", "dst").agg(F.sum("e").alias("total"))
-    return shifted.join(total, ["graph", "dst"]).withColumn("attention", F.col("e") / F.col("total")).drop("top", "e", "total")
+    met = join_counted(edges, softmax_totals(edges, ["graph", "dst"], score), ["graph", "dst"], "n")
+    return met.withColumn("attention", F.exp(F.col(score) - F.col("top")) / F.col("total")).drop("top", "total")
 
 
 def _port_scaled(messages: DataFrame, scale: DataFrame | None) -> DataFrame:
@@ -257,31 +278,6 @@ def mean_pool(nodes: DataFrame, column: str = "x") -> DataFrame:
     return long.groupBy("graph").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda p: p["v"]).alias("x"))
 
 
-def cross_pool(source: DataFrame, latents: DataFrame, dims: int) -> DataFrame:
-    """Attention of a few latents over a graph's nodes: (graph, latent, x).
-
-    ``latents`` (latent, q) is a setting of a few rows; a graph without nodes has zero vectors.
-    """
-    graphs = source.select("graph").distinct()
-    pairs = source.where("x is not null").join(F.broadcast(latents))
-    score = F.aggregate(F.zip_with("q", "x", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v) / F.sqrt(F.lit(float(dims)))
-    scored = pairs.select("graph", F.col("latent").alias("dst"), "x", score.alias("score"))
-    weighted = attention_softmax(scored).withColumn("x", F.transform("x", lambda v: v * F.col("attention")))
-    pooled = vector_sum(weighted, ["graph", "dst"]).withColumnRenamed("dst", "latent")
-    zero = F.array_repeat(F.lit(0.0), dims)
-    return graphs.join(F.broadcast(latents.select("latent"))).join(pooled, ["graph", "latent"], "left").select("graph", "latent", F.coalesce("x", zero).alias("x"))
-
-
-def cross_read(target: DataFrame, pooled: DataFrame, gate: float, dims: int) -> DataFrame:
-    """Nodes read the latents of the other graph and add a gated share of what they read."""
-    met = target.join(pooled.select("graph", "latent", F.col("x").alias("z")), "graph")
-    score = F.aggregate(F.zip_with("x", "z", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v) / F.sqrt(F.lit(float(dims)))
-    scored = met.select("graph", F.col("node").alias("dst"), "z", score.alias("score"))
-    read = attention_softmax(scored).withColumn("z", F.transform("z", lambda v: v * F.col("attention")))
-    summed = vector_sum(read, ["graph", "dst"], "z").select("graph", F.col("dst").alias("node"), "z")
-    return target.join(summed, ["graph", "node"]).select("graph", "node", F.zip_with("x", "z", lambda a, b: a + gate * b).alias("x"))
-
-
 def combine_graphs(rtl: DataFrame, asm: DataFrame, how: str = "concat") -> DataFrame:
     """Graph embeddings side by side (``concat``) or added (``add``)."""
     both = rtl.join(asm.select("graph", F.col("x").alias("y")), "graph")

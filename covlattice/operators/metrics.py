@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from covlattice.operators.joins import join_counted
 from covlattice.operators.order import lower_medians, value_counts
 
 EPS = 1e-8
@@ -58,11 +59,12 @@ def regression_metrics(rows: DataFrame, by: str = "ctype") -> DataFrame:
 def average_ranks(rows: DataFrame, value: str, out: str, by: str | None = None) -> DataFrame:
     """``rows`` with the rank of a value; equal values share the mean of their ranks.
 
-    Ranks come from the counts of the distinct values, not from a sort of the rows.
+    Ranks come from the counts of the distinct values, not from a sort of the
+    rows; a value that very many rows have is met by broadcast.
     """
     keys = [by] if by else []
-    ranks = value_counts(rows, value, keys).select(*keys, value, (F.col("before_") + (F.col("n_") + 1) / 2.0).alias(out))
-    return rows.join(ranks, [*keys, value])
+    ranks = value_counts(rows, value, keys).select(*keys, value, "n_", (F.col("before_") + (F.col("n_") + 1) / 2.0).alias(out))
+    return join_counted(rows, ranks, [*keys, value], "n_")
 
 
 def spearman(rows: DataFrame, x: str, y: str, by: str = "ctype") -> DataFrame:

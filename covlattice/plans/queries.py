@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from covlattice.functions import scalar
 from covlattice.functions.text import format_block, shuffle_key, stable_seed
 from covlattice.functions.vocab import CELL_TYPES, TARGET_ORDER, agg_group, cell_code, coverage_index, edge_code, node_code
-from covlattice.operators import batching, coverage, encoder, geometry, graph, inference, losses, metrics, pairs, simjoin, splits, stats
+from covlattice.operators import batching, coverage, encoder, fusion, geometry, graph, inference, losses, metrics, pairs, simjoin, splits, stats
 from covlattice.plans import adapters as view
 from covlattice.session import cut_lineage
 from covlattice.sources import sinks
@@ -385,7 +385,7 @@ def mean_pool(s: SparkSession, d: str) -> DataFrame:
 def cross_pool(s: SparkSession, d: str) -> DataFrame:
     v = view.table(s, d, "embeddings").select(F.col("label").alias("graph"), F.col("embedding").cast("array<double>").alias("x"))
     latents = s.range(3).select(F.col("id").cast("int").alias("latent"), F.transform(F.sequence(F.lit(0), F.lit(view.DIMS - 1)), lambda k: ((k + F.col("id")) % 3 - 1).cast("double")).alias("q"))
-    made = graph.cross_pool(v, latents, view.DIMS)
+    made = fusion.cross_pool(v, latents, view.DIMS)
     return made.select("graph", "latent", F.posexplode("x").alias("dim", "v")).select("graph", "latent", "dim", r6("v"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from covlattice.functions import vocab
 from covlattice.functions.text import stable_seed
-from covlattice.operators import batching, graph, order, splits, stats
+from covlattice.operators import batching, fusion, graph, order, splits, stats
 from covlattice.plans import config
 from covlattice.sources import datasets, schemas, sinks
 from covlattice.streaming import ingest
@@ -106,9 +106,9 @@ def test_message_passing(spark):
     assert got["a"] == pytest.approx([0.0, 1.0]) and got["b"] == pytest.approx([0 + 1 / 3 + 2 / math.sqrt(3), 2 / math.sqrt(3) + 1 / 3])
     assert graph.mean_pool(x).first().x == pytest.approx([1.0, 1.0])
     latents = spark.createDataFrame([(0, [0.0, 0.0]), (1, [100.0, 0.0])], "latent int, q array<double>")
-    pooled = graph.cross_pool(x, latents, 2)
+    pooled = fusion.cross_pool(x, latents, 2)
     assert {r.latent: [round(v, 6) for v in r.x] for r in pooled.collect()} == {0: [1.0, 1.0], 1: [2.0, 1.0]}
-    assert graph.cross_read(x, pooled, 0.5, 2).count() == 3
+    assert fusion.cross_read(x, pooled, 0.5, 2).count() == 3
     assert graph.combine_graphs(graph.mean_pool(x), graph.mean_pool(x), "add").first().x == pytest.approx([2.0, 2.0])
 
 
