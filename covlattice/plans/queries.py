@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covlattice.functions import scalar
 from covlattice.functions.text import format_block, shuffle_key, stable_seed
 from covlattice.functions.vocab import CELL_TYPES, TARGET_ORDER, agg_group, cell_code, coverage_index, edge_code, node_code
-from covlattice.operators import batching, coverage, encoder, fusion, geometry, graph, inference, losses, metrics, pairs, simjoin, splits, stats
+from covlattice.operators import batching, coverage, encoder, fusion, gated, geometry, graph, inference, losses, metrics, pairs, simjoin, splits, stats
 from covlattice.plans import adapters as view
 from covlattice.session import cut_lineage
 from covlattice.sources import sinks
@@ -368,6 +369,55 @@ def routed_aggregate(s: SparkSession, d: str) -> DataFrame:
     return made.select("graph", "node", "node_type", r6("out"))
 
 
+def _rule(rows: int, columns: int, k: int) -> np.ndarray:
+    """A small matrix of given weights: fifths from -3 to 3."""
+    return np.array([[((3 * i + 5 * j + k) % 7 - 3) / 5 for j in range(columns)] for i in range(rows)])
+
+
+def _layer(inputs: int, outputs: int, k: int, act: str = "none") -> encoder.Dense:
+    return encoder.Dense(_rule(outputs, inputs, k), np.array([((i + k) % 3 - 1) / 5 for i in range(outputs)]), act)
+
+
+def _gated_weights() -> gated.GatedWeights:
+    """A gated layer over vectors of two places."""
+    mlp = lambda n, k: [_layer(n, 4, k, "gelu"), _layer(4, 2, k + 1)]
+    return gated.GatedWeights(
+        data=mlp(4, 1), control=mlp(4, 3), attention=_layer(4, 1, 5), gate=[_layer(2, 1, 6, "gelu"), _layer(1, 2, 0)], mix=_rule(10, 3, 8),
+        reset=_layer(2, 2, 9, "sigmoid"), enable=_layer(2, 2, 10, "sigmoid"), pair_types=_rule(3, 2, 11), pair=mlp(6, 12), port_scale=1 + _rule(8, 2, 14),
+        update=mlp(4, 15), edge=mlp(4, 17),
+    )
+
+
+def _gated(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges after a gated layer: vectors of node type and graph, and of price and discount."""
+    nodes = view.nodes(s, d).select("graph", "node", "node_type", F.array(F.col("node_type") / 12, (F.col("graph") + 1) / 8).alias("x"))
+    edges = view.edges(s, d).select("graph", "src", "dst", "edge_type", "target_port", F.array(F.col("m") / 10, F.col("score") / 10).alias("e"))
+    return gated.gated_layers(nodes, edges, [_gated_weights()])
+
+
+@query
+def gated_layer(s: SparkSession, d: str) -> DataFrame:
+    """Vectors of the nodes after a gated layer with port scales, a pair function and attention."""
+    return _gated(s, d)[0].select("graph", "node", "node_type", *[r6(F.get("x", F.lit(k)), f"x{k}") for k in range(2)])
+
+
+@query
+def gated_edges(s: SparkSession, d: str) -> DataFrame:
+    """Mean edge vectors by type after a gated layer, which sees the sources' new vectors."""
+    e = _gated(s, d)[1]
+    return e.groupBy("graph", "edge_type").agg(F.count("*").alias("n"), *[r6(F.avg(F.get("e", F.lit(k))), f"e{k}") for k in range(2)])
+
+
+@query
+def cross_read(s: SparkSession, d: str) -> DataFrame:
+    """Vectors of even ids read latents that pool those of odd ids of their label; label 3 has none of these."""
+    v = view.table(s, d, "embeddings").select(F.col("label").alias("graph"), F.col("vec_id").alias("node"), F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("x"))
+    latents = s.range(3).select(F.col("id").cast("int").alias("latent"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: ((k + F.col("id")) % 3 - 1).cast("double")).alias("q"))
+    pooled = fusion.cross_pool(v.where("node % 2 = 1 AND graph <> 3").select("graph", "x"), latents, 8)
+    made = fusion.cross_read(v.where("node % 2 = 0"), pooled, 0.5, 8)
+    return made.select("graph", "node", F.posexplode("x").alias("dim", "v")).select("graph", "node", "dim", r6("v"))
+
+
 @query
 def gcn_norm(s: SparkSession, d: str) -> DataFrame:
     e, n = view.edges(s, d), view.nodes(s, d)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 _BASE = """
 base AS (
   SELECT c_nationkey AS module, c_custkey AS sample, CAST(substr(p_brand, 7) AS INT) - 1 AS line,
@@ -339,6 +341,17 @@ ORACLES = {
         WHEN node_type = 4 THEN gr * t5 + (1 - gr) * (ge * t0 + (1 - ge) * t4) WHEN node_type = 5 THEN t0 + t6
         WHEN node_type IN (7, 9, 10) THEN pa - pb ELSE (att + mean_ + max_) / 3 END, 0), 6) AS out
       FROM nodes n LEFT JOIN q ON q.graph = n.graph AND q.dst = n.node""",
+    "cross_read": """WITH x AS (SELECT label AS graph, vec_id, k AS dim, embedding[k + 1]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(8)) AS k)),
+      q AS (SELECT l AS latent, k AS dim, (k + l) % 3 - 1 AS q FROM (SELECT unnest(range(3)) AS l), (SELECT unnest(range(8)) AS k)),
+      s AS (SELECT graph, vec_id, latent, sum(v * q) / sqrt(8) AS s FROM x JOIN q USING (dim) WHERE vec_id % 2 = 1 AND graph <> 3 GROUP BY ALL),
+      a AS (SELECT graph, vec_id, latent, exp(s - max(s) OVER (PARTITION BY graph, latent)) AS e FROM s),
+      w AS (SELECT graph, vec_id, latent, e / sum(e) OVER (PARTITION BY graph, latent) AS w FROM a),
+      z AS (SELECT graph, latent, dim, sum(w * v) AS z FROM w JOIN x USING (graph, vec_id) GROUP BY ALL),
+      t AS (SELECT graph, vec_id, latent, sum(v * z) / sqrt(8) AS s FROM x JOIN z USING (graph, dim) WHERE vec_id % 2 = 0 GROUP BY ALL),
+      b AS (SELECT graph, vec_id, latent, exp(s - max(s) OVER (PARTITION BY graph, vec_id)) AS e FROM t),
+      u AS (SELECT graph, vec_id, latent, e / sum(e) OVER (PARTITION BY graph, vec_id) AS w FROM b),
+      r AS (SELECT graph, vec_id, dim, sum(w * z) AS r FROM u JOIN z USING (graph, latent) GROUP BY ALL)
+      SELECT graph, vec_id AS node, x.dim::INT AS dim, round(v + 0.5 * coalesce(r, 0), 6) AS v FROM x LEFT JOIN r USING (graph, vec_id, dim) WHERE vec_id % 2 = 0""",
     "gcn_norm": _EDGES + """, f AS (SELECT graph, src, dst FROM valid UNION ALL SELECT graph, node, node FROM nodes),
       d AS (SELECT graph, dst AS node, count(*) AS d FROM f GROUP BY ALL)
       SELECT f.graph, f.dst, count(*) AS n, round(sum(1 / sqrt(a.d * b.d)), 6) AS total
@@ -452,3 +465,85 @@ ORACLES |= {
       SELECT c_custkey, round({_SMOOTH.format('x')}, 6) AS smooth_l1, round(1 / greatest(abs(x - 1), 0.1), 6) AS relative_error, round(1 / (1 + exp(-x)), 6) AS sigmoid,
              round((greatest(2 * x, 0) + ln(1 + exp(-abs(2 * x)))) / 2, 6) AS softplus, round(greatest(x, 0), 6) AS relu, round(log2(abs(x) + 1), 6) AS width_code FROM r""",
 }
+
+
+# --- the gated layer over vectors of two places, stage by stage ------------------------------------
+
+#: ln of the odd factorials 1, 3, 15, 105, ... that the series of the error function is divided by.
+_ODD = [0.0]
+for _n in range(1, 200):
+    _ODD.append(_ODD[-1] + math.log(2 * _n + 1))
+_ODD_SQL = "[" + ", ".join(f"{x:.15g}" for x in _ODD) + "]"
+
+
+def _weighted(inputs: list[str], outputs: int, k: int) -> list[str]:
+    """A linear layer over columns: weights and bias of the rule of the given weights."""
+    made = []
+    for i in range(outputs):
+        terms = [f"({(3 * i + 5 * j + k) % 7 - 3} / 5.0) * {x}" for j, x in enumerate(inputs)]
+        made.append(f"({' + '.join(terms)} + {(i + k) % 3 - 1} / 5.0)")
+    return made
+
+
+def _named(prefix: str, columns: list[str]) -> str:
+    return ", ".join(f"{c} AS {prefix}{k}" for k, c in enumerate(columns))
+
+
+def _gelu(c: str) -> str:
+    series = f"list_sum(list_transform({_ODD_SQL}, lambda t, n: exp((n - 1) * ln({c} * {c}) - t)))"
+    erf = f"CASE WHEN abs({c}) > 8 THEN sign({c}) WHEN abs({c}) < 1e-12 THEN 0 ELSE 2 / sqrt(pi()) * exp(-{c} * {c} / 2) * ({c} / sqrt(2)) * {series} END"
+    return f"(0.5 * {c} * (1 + {erf}))"
+
+
+def _columns(prefix: str, n: int) -> list[str]:
+    return [f"{prefix}{k}" for k in range(n)]
+
+
+def _gelus(prefix: str, n: int) -> str:
+    return _named(f"g{prefix}", [_gelu(c) for c in _columns(prefix, n)])
+
+
+_SIGMOID = "1 / (1 + exp(-{}))"
+_FUSED = ["x0", "x1", "e0", "e1"]
+_TYPES = "d t f c k r n".split()
+_SUMS = ", ".join(f"coalesce(sum(m{v}) FILTER (edge_type = {k}), 0) AS {name}{v}" for k, name in enumerate(_TYPES) for v in range(2))
+_PORTS = ", ".join(f"coalesce(sum(m{v}) FILTER (target_port = {p}), 0) AS p{2 * p + v}" for p in range(2) for v in range(2))
+_SCALES = [f"({[((3 * p + 5 * v + 14) % 7 - 3) for p in range(8)]})[target_port + 1]" for v in range(2)]
+_MEMORY = ", ".join(f"coalesce(sum(m{v} * (1 + {_SCALES[v]} / 5.0)) FILTER (edge_type IN (0, 6)), 0) AS y{v}" for v in range(2))
+_MIX = [f"({[((3 * g + 5 * j + 8) % 7 - 3) for g in range(10)]})[greatest(0, node_type - 2) + 1] / 5.0" for j in range(3)]
+_PAIR_TYPE = [f"({[((3 * t + 5 * v + 11) % 7 - 3) for t in range(3)]})[list_position([7, 9, 10], node_type)] / 5.0" for v in range(2)]
+_GATED = _EDGES + f""", x AS (SELECT graph, node, node_type, node_type / 12.0 AS x0, (graph + 1) / 8.0 AS x1 FROM nodes),
+a0 AS (SELECT e.graph, e.src, e.dst, e.edge_type, e.target_port, x0, x1, e.m / 10 AS e0, e.score / 10 AS e1
+       FROM edges e JOIN x ON x.graph = e.graph AND x.node = e.src),
+a1 AS (SELECT *, {_named("h", _weighted(_FUSED, 4, 1))}, {_named("q", _weighted(_FUSED, 4, 3))}, {_weighted(_FUSED, 1, 5)[0]} AS score FROM a0),
+a2 AS (SELECT *, {_gelus("h", 4)}, {_gelus("q", 4)} FROM a1),
+a3 AS (SELECT graph, dst, edge_type, target_port, score, """ + ", ".join(
+    f"CASE WHEN edge_type = 3 THEN {c} ELSE {d} END AS m{v}" for v, (c, d) in enumerate(zip(_weighted(_columns("gq", 4), 2, 4), _weighted(_columns("gh", 4), 2, 2)))
+) + f""" FROM a2),
+a4 AS (SELECT *, exp(score - max(score) OVER (PARTITION BY graph, dst)) AS w FROM a3),
+s0 AS (SELECT graph, dst, {_SUMS}, {_PORTS}, {_MEMORY}, bool_or(edge_type = 3) AS ctl, sum(w * m0) / sum(w) AS at0, sum(w * m1) / sum(w) AS at1,
+              avg(m0) AS mean0, avg(m1) AS mean1, greatest(0, max(m0)) AS max0, greatest(0, max(m1)) AS max1 FROM a4 GROUP BY graph, dst),
+s1 AS (SELECT x.graph, x.node, x.node_type, x.x0, x.x1, coalesce(ctl, FALSE) AS ctl, """ + ", ".join(
+    f"coalesce({c}, 0) AS {c}" for c in [f"{n}{v}" for n in _TYPES for v in range(2)] + _columns("p", 4) + _columns("y", 2) + _columns("at", 2) + _columns("mean", 2) + _columns("max", 2)
+) + f""" FROM x LEFT JOIN s0 ON s0.graph = x.graph AND s0.dst = x.node),
+s2 AS (SELECT *, {_named("z", _weighted(["c0", "c1"], 1, 6))}, {_named("u", _weighted(_columns("p", 4) + _PAIR_TYPE, 4, 12))},
+              {_named("sr", [_SIGMOID.format(c) for c in _weighted(["r0", "r1"], 2, 9)])}, {_named("se", [_SIGMOID.format(c) for c in _weighted(["n0", "n1"], 2, 10)])},
+              {_named("mx", [f"exp({c})" for c in _MIX])} FROM s1),
+s3 AS (SELECT *, {_gelus("z", 1)}, {_gelus("u", 4)} FROM s2),
+s4 AS (SELECT *, {_named("lg", _weighted(["gz0"], 2, 0))}, {_named("pair", _weighted(_columns("gu", 4), 2, 13))} FROM s3),
+s5 AS (SELECT graph, node, node_type, x0, x1, """ + ", ".join(
+    f"""CASE WHEN ctl THEN exp(lg0) / (exp(lg0) + exp(lg1)) * t{v} + exp(lg1) / (exp(lg0) + exp(lg1)) * f{v} + d{v} + k{v} + r{v} + n{v}
+      WHEN node_type = 4 THEN sr{v} * r{v} + (1 - sr{v}) * (se{v} * d{v} + (1 - se{v}) * k{v}) WHEN node_type = 5 THEN y{v} WHEN node_type IN (7, 9, 10) THEN pair{v}
+      ELSE (mx0 * at{v} + mx1 * mean{v} + mx2 * max{v}) / (mx0 + mx1 + mx2) END AS o{v}""" for v in range(2)
+) + f""" FROM s4),
+n1 AS (SELECT *, {_named("h", _weighted(["x0", "x1", "o0", "o1"], 4, 15))} FROM s5),
+n2 AS (SELECT *, {_gelus("h", 4)} FROM n1),
+n3 AS (SELECT graph, node, node_type, x0 + {_weighted(_columns("gh", 4), 2, 16)[0]} AS v0, x1 + {_weighted(_columns("gh", 4), 2, 16)[1]} AS v1 FROM n2),
+n4 AS (SELECT graph, node, node_type, (v0 - v1) / 2 / sqrt(((v0 - v1) / 2) ** 2 + 1e-5) AS x0, (v1 - v0) / 2 / sqrt(((v0 - v1) / 2) ** 2 + 1e-5) AS x1 FROM n3)"""
+ORACLES["gated_layer"] = _GATED + " SELECT graph, node, node_type, round(x0, 6) AS x0, round(x1, 6) AS x1 FROM n4"
+ORACLES["gated_edges"] = _GATED + f""", b0 AS (SELECT a0.graph, edge_type, n4.x0, n4.x1, e0, e1 FROM a0 JOIN n4 ON n4.graph = a0.graph AND n4.node = a0.src),
+b1 AS (SELECT *, {_named("h", _weighted(_FUSED, 4, 17))} FROM b0),
+b2 AS (SELECT *, {_gelus("h", 4)} FROM b1),
+b3 AS (SELECT graph, edge_type, e0 + {_weighted(_columns("gh", 4), 2, 18)[0]} AS v0, e1 + {_weighted(_columns("gh", 4), 2, 18)[1]} AS v1 FROM b2),
+b4 AS (SELECT graph, edge_type, (v0 - v1) / 2 / sqrt(((v0 - v1) / 2) ** 2 + 1e-5) AS e FROM b3)
+SELECT graph, edge_type, count(*) AS n, round(avg(e), 6) AS e0, round(avg(-e), 6) AS e1 FROM b4 GROUP BY ALL"""
