@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from covlattice.functions.text import sha_prefix, shuffle_key
+from covlattice.functions.vocab import GEOMETRY_ORDER
 from covlattice.operators.coverage import pair_geometry, plain_geometry, plain_similarity, plain_signature, plain_words, similarity
 from covlattice.session import cut_lineage
 
@@ -260,6 +261,23 @@ def endpoint_weights(pairs: DataFrame) -> DataFrame:
     return by_sample.join(F.broadcast(mean)).select("module", "sample", "degree", (F.col("mean_degree") / F.col("degree")).alias("weight"))
 
 
+def pair_records(chosen: DataFrame, sigs: DataFrame, order: list[str] = GEOMETRY_ORDER) -> DataFrame:
+    """A row for each chosen pair and coverage type: its five targets, and degree and weight of both ends.
+
+    (module, sample_a, sample_b, stratum, ctype, density_a, density_b,
+    size_mask, jaccard, iou_mask, degree_a, degree_b, weight_a, weight_b).
+    ``chosen`` and ``sigs`` are read more than once.
+    """
+    met = with_geometry(chosen.select("module", "sample_a", "sample_b", "stratum"), sigs, "sample_a", "sample_b")
+    weights = endpoint_weights(chosen)
+    for e in "ab":
+        ends = weights.select("module", F.col("sample").alias(f"sample_{e}"), F.col("degree").alias(f"degree_{e}"), F.col("weight").alias(f"weight_{e}"))
+        met = met.join(ends, ["module", f"sample_{e}"])
+    kinds = F.array(*[F.lit(c) for c in order])
+    long = met.select("module", "sample_a", "sample_b", "stratum", F.posexplode("geometry").alias("k", "g"), "degree_a", "degree_b", "weight_a", "weight_b")
+    return long.select("module", "sample_a", "sample_b", "stratum", F.get(kinds, F.col("k")).alias("ctype"), "g.*", "degree_a", "degree_b", "weight_a", "weight_b")
+
+
 def pair_fingerprint(pairs: DataFrame) -> DataFrame:
     """A hash of a set of pairs that does not depend on their order.
 

@@ -501,8 +501,9 @@ def size_correlation(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def lr_schedule(s: SparkSession, d: str) -> DataFrame:
-    steps = s.range(0, 1000, 10).select(F.col("id").alias("step"))
-    return steps.select("step", *[r6(scalar.lr_factor(F.col("step"), 1000, 500, k), k) for k in ("cosine", "linear", "constant")])
+    """Learning rates of the steps that orders are, taken by their keys in a cycle of a thousand."""
+    steps = view.table(s, d, "orders").select((F.col("o_orderkey") % 1000).alias("step")).groupBy("step").agg(F.count("*").alias("n"))
+    return steps.select("step", "n", *[r6(scalar.lr_factor(F.col("step"), 1000, 500, k), k) for k in ("cosine", "linear", "constant")])
 
 
 @query
@@ -618,13 +619,22 @@ def aggregation_mix(s: SparkSession, d: str) -> DataFrame:
 @query
 def pair_records(s: SparkSession, d: str) -> DataFrame:
     """Chosen pairs with what is covered at both ends."""
-    sigs = _sigs(s, d)
+    sigs = _sig_table(s, d)
     covered = sigs.select("module", "sample", F.aggregate("sig", F.lit(0), lambda n, t: n + t["c"]).alias("covered"))
     a, b = (covered.select("module", F.col("sample").alias(f"sample_{e}"), F.col("covered").alias(f"covered_{e}")) for e in "ab")
-    chosen = pairs.select_pairs(_strata(s, d)).select("module", "sample_a", "sample_b", "stratum")
+    chosen = pairs.select_pairs(_strata(s, d, sigs)).select("module", "sample_a", "sample_b", "stratum")
     return chosen.join(a, ["module", "sample_a"]).join(b, ["module", "sample_b"]).select("module", "sample_a", "sample_b", "stratum", "covered_a", "covered_b")
 
 
+@query
+def pair_targets(s: SparkSession, d: str) -> DataFrame:
+    """Chosen pairs with the five targets of each type, and the degrees and weights of both ends."""
+    sigs = _sig_table(s, d)
+    made = pairs.pair_records(cut_lineage(pairs.select_pairs(_strata(s, d, sigs))), sigs)
+    numbers = ("density_a", "density_b", "jaccard", "weight_a", "weight_b")
+    return made.select(*[r6(c) if c in numbers else c for c in made.columns])
+
+
 @query
 def geometry_spearman(s: SparkSession, d: str) -> DataFrame:
     """Rank correlation of box IoU and Jaccard over all pairs, ties sharing their mean rank."""
@@ -644,7 +654,7 @@ def shard_scale(s: SparkSession, d: str) -> DataFrame:
     """Factors by which the means of unequal shards average to the mean of all rows."""
     shards = view.table(s, d, "orders").groupBy((F.col("o_custkey") % 7).alias("rank_id")).agg(F.count("*").alias("n"))
     total = shards.agg(F.sum("n").alias("all_rows"), F.count("*").alias("ranks"))  # one row
-    return shards.join(F.broadcast(total)).select("rank_id", "n", r6(F.try_divide(F.col("ranks") * F.col("n"), F.col("all_rows")), "scale"))
+    return shards.join(F.broadcast(total)).select("rank_id", "n", r6(losses.tail_scale(F.col("n"), F.col("all_rows"), F.col("ranks")), "scale"))
 
 
 # --- histories --------------------------------------------------------------------------------
@@ -673,8 +683,9 @@ def plateau_rates(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def drop_path_rates(s: SparkSession, d: str) -> DataFrame:
-    layers = s.range(4).select(F.col("id").alias("layer"))
-    return layers.select("layer", r6(scalar.drop_path_rate(F.col("layer"), 0.3, 4), "rate"))
+    """Rates of four layers, to which parts are dealt by their keys."""
+    layers = view.table(s, d, "part").select((F.col("p_partkey") % 4).alias("layer")).groupBy("layer").agg(F.count("*").alias("n"))
+    return layers.select("layer", "n", r6(scalar.drop_path_rate(F.col("layer"), 0.3, 4), "rate"))
 
 
 @query

@@ -19,7 +19,7 @@ from covlattice.functions.vocab import TARGET_ORDER
 from covlattice.operators import coverage, graph, pairs, samples
 from covlattice.plans import adapters as view
 from covlattice.session import cut_lineage, shared_path
-from covlattice.sources import datasets, schemas, sinks
+from covlattice.sources import cache, datasets, schemas, sinks, store
 from covlattice.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,16 +201,52 @@ def sample_table(s: SparkSession, d: str) -> DataFrame:
 def cached_encodings(s: SparkSession, d: str) -> DataFrame:
     """Texts encoded in two calls; the second encodes only what the cache lacks (round says in which call)."""
     texts = view.table(s, d, "conversations").select("turn", "text").where("text is not null")
-    cache, fingerprint = shared_path(s, "encodings"), cache_fingerprint("lengths", 512, "mean")
+    path, fingerprint = shared_path(s, "encodings"), cache_fingerprint("lengths", 512, "mean")
 
     def encode(mark: float) -> Callable[[DataFrame], DataFrame]:
         return lambda rows: rows.select("content_key", F.array(F.length("text").cast("double"), F.lit(mark)).alias("vector"))
 
-    sinks.cached_encodings(texts.where("turn % 2 = 0").select("text"), cache, fingerprint, encode(1.0))
-    made = sinks.cached_encodings(texts.select("text"), cache, fingerprint, encode(2.0))
+    sinks.cached_encodings(texts.where("turn % 2 = 0").select("text"), path, fingerprint, encode(1.0))
+    made = sinks.cached_encodings(texts.select("text"), path, fingerprint, encode(2.0))
     return made.select("content_key", F.get("vector", F.lit(0)).alias("length"), F.get("vector", F.lit(1)).alias("round"))
 
 
+@query
+def healed_encodings(s: SparkSession, d: str) -> DataFrame:
+    """A cache of which every seventh entry is spoilt, read again: good entries stay, spoilt and missing ones are encoded anew.
+
+    ``round`` says in which call a text was encoded; ``reason`` why its first entry was put aside.
+    """
+    texts = view.table(s, d, "conversations").select("turn", "text").where("text is not null")
+    folder, fingerprint = shared_path(s, "healing"), cache_fingerprint("lengths", 512, "mean")
+
+    def encode(mark: float) -> Callable[[DataFrame], DataFrame]:
+        return lambda rows: rows.select("content_key", F.array(F.length("text").cast("double"), F.lit(mark)).alias("vector"))
+
+    first = cache.encode_through(texts.where("turn % 2 = 0"), f"{folder}/made", fingerprint, 2, encode(1.0))
+    n = F.get("vector", F.lit(0))
+    vector = F.when(n % 7 == 1, F.slice("vector", 1, 1)).when(n % 7 == 2, F.array(F.lit(float("nan")), n)).otherwise(F.col("vector"))
+    held = first.select("content_key", F.when(n % 7 == 3, F.array(n + 1, F.lit(1.0))).otherwise(vector).alias("vector"), cache.checksum(F.col("vector")).alias("checksum"))
+    cache.add_part(held, f"{folder}/spoilt")
+    made = cache.encode_through(texts, f"{folder}/spoilt", fingerprint, 2, encode(2.0))
+    why = cache.quarantined(s, f"{folder}/spoilt").select("content_key", "reason")
+    return made.join(why, "content_key", "left").select("content_key", n.alias("length"), F.get("vector", F.lit(1)).alias("round"), "reason")
+
+
+@query
+def stored_samples(s: SparkSession, d: str) -> DataFrame:
+    """Customers of building firms, read by key from a sorted store of all customers, and their orders from another."""
+    folder = shared_path(s, "store")
+    customer = view.table(s, d, "customer")
+    store.write_keyed(customer, f"{folder}/customer", "c_custkey")
+    store.write_keyed(view.table(s, d, "orders"), f"{folder}/orders", "o_custkey")
+    asked = customer.where("c_mktsegment = 'BUILDING'").select("c_custkey")
+    found = store.read_many(s, f"{folder}/customer", "c_custkey", asked)
+    theirs = store.read_many(s, f"{folder}/orders", "o_custkey", asked.withColumnRenamed("c_custkey", "o_custkey"))
+    n = theirs.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"))
+    return found.join(n, "c_custkey", "left").select("c_custkey", "c_nationkey", F.coalesce("n_orders", F.lit(0)).alias("n_orders"))
+
+
 @query
 def metric_history(s: SparkSession, d: str) -> DataFrame:
     """A history with an epoch written twice: the later step counts."""

@@ -45,6 +45,12 @@ ORACLES = {
              round(k % 101 / 100, 6) AS line, 0.5::DOUBLE AS fsm, NULL::DOUBLE AS toggle FROM t""",
     "cached_encodings": """SELECT substr(sha256(text || chr(0) || 'lengths|512|mean'), 1, 32) AS content_key, length(text)::DOUBLE AS length,
       (CASE WHEN bool_or(turn % 2 = 0) THEN 1 ELSE 2 END)::DOUBLE AS round FROM conversations WHERE text IS NOT NULL GROUP BY text""",
+    "healed_encodings": """WITH t AS (SELECT substr(sha256(text || chr(0) || 'lengths|512|mean'), 1, 32) AS content_key, length(text) AS n, bool_or(turn % 2 = 0) AS early
+        FROM conversations WHERE text IS NOT NULL GROUP BY text)
+      SELECT content_key, n::DOUBLE AS length, (CASE WHEN early AND n % 7 NOT IN (1, 2, 3) THEN 1 ELSE 2 END)::DOUBLE AS round,
+             CASE WHEN early THEN CASE n % 7 WHEN 1 THEN 'another length' WHEN 2 THEN 'not finite' WHEN 3 THEN 'another checksum' END END AS reason FROM t""",
+    "stored_samples": """SELECT c_custkey, c_nationkey, count(o_orderkey) AS n_orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey
+      WHERE c_mktsegment = 'BUILDING' GROUP BY ALL""",
     "metric_history": """WITH c AS (SELECT c_mktsegment AS name, count(*) AS n FROM customer GROUP BY 1)
       SELECT epoch, step, 'val' AS stage, name, (n * scale)::DOUBLE AS value FROM c, (VALUES (0, 10, 1), (1, 30, 4)) AS e(epoch, step, scale)""",
     "epoch_pairs": _epoch(0) + " UNION ALL " + _epoch(1),

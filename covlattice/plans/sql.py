@@ -382,9 +382,9 @@ ORACLES = {
       SELECT count(*) AS n, min(size) AS min, max(size) AS max, round(avg(size), 6) AS mean, quantile_disc(size, 0.5) AS median, round(stddev_pop(size), 6) AS std FROM s""",
     "coverage_histogram": _COV + """ SELECT least(7, floor((c / n) / 0.125))::INT AS bucket, count(*) AS n FROM cnt WHERE ctype = 'branch' GROUP BY 1""",
     "size_correlation": _PRED + " SELECT count(*) AS n, round(corr(weight, target), 6) AS r FROM valid",
-    "lr_schedule": """SELECT step, round(CASE WHEN step < 100 THEN step / 100 ELSE 0.5 * (1 + cos(pi() * (step - 100) / 900)) END, 6) AS cosine,
+    "lr_schedule": """SELECT step, n, round(CASE WHEN step < 100 THEN step / 100 ELSE 0.5 * (1 + cos(pi() * (step - 100) / 900)) END, 6) AS cosine,
       round(CASE WHEN step < 100 THEN step / 100 ELSE greatest(0.0, 1 - (step - 100) / 900) END, 6) AS linear,
-      round(CASE WHEN step < 100 THEN step / 100 ELSE 1.0 END, 6) AS "constant" FROM (SELECT unnest(range(0, 1000, 10)) AS step)""",
+      round(CASE WHEN step < 100 THEN step / 100 ELSE 1.0 END, 6) AS "constant" FROM (SELECT o_orderkey % 1000 AS step, count(*) AS n FROM orders GROUP BY 1)""",
     "format_blocks": """WITH w AS (SELECT conv_id, turn, role, string_split(text, ' ') AS ws FROM conversations),
       i AS (SELECT conv_id, turn, role, CASE WHEN len(ws) > 3 THEN ws[1] || ' ' || ws[2] || ', ' || ws[3] ELSE ws[1] END AS line FROM w)
       SELECT conv_id AS file, turn AS position, CASE WHEN role = 'user' THEN line || chr(10) || line ELSE 'nop' END AS block FROM i""",
@@ -444,6 +444,11 @@ ORACLES |= {
     "pair_records": _STRATA + """, s AS (SELECT module, sample, sum(c)::INT AS covered FROM cnt GROUP BY ALL)
       SELECT c.module, sample_a, sample_b, stratum, a.covered AS covered_a, b.covered AS covered_b
       FROM chosen c JOIN s a ON a.sample = sample_a JOIN s b ON b.sample = sample_b""",
+    "pair_targets": _STRATA + """, w AS (SELECT module, sample, degree, (SELECT avg(degree) FROM deg) / degree AS weight FROM deg)
+      SELECT c.module, c.sample_a, c.sample_b, stratum, ctype, round(ca / n, 6) AS density_a, round(cb / n, 6) AS density_b, n > 0 AS size_mask,
+             round(jaccard, 6) AS jaccard, ca + cb - inter > 0 AS iou_mask, a.degree AS degree_a, b.degree AS degree_b, round(a.weight, 6) AS weight_a,
+             round(b.weight, 6) AS weight_b
+      FROM chosen c JOIN jac USING (module, sample_a, sample_b) JOIN w a ON a.sample = c.sample_a JOIN w b ON b.sample = c.sample_b""",
     "geometry_spearman": _HARD + """, v AS (SELECT round(iou, 6) AS p, round(jaccard, 6) AS t FROM g WHERE iou_mask),
       r AS (SELECT rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2 AS x, rank() OVER (ORDER BY t) + (count(*) OVER (PARTITION BY t) - 1) / 2 AS y FROM v)
       SELECT 'iou' AS ctype, count(*) AS n, round(corr(x, y), 6) AS spearman FROM r""",
@@ -460,7 +465,7 @@ ORACLES |= {
                CASE WHEN value >= best AND bad = 3 THEN rate / 2 ELSE rate END
         FROM f JOIN o ON o.rn = f.rn + 1)
       SELECT epoch, round(rate, 6) AS rate FROM f""",
-    "drop_path_rates": "SELECT layer, round(0.1 * layer, 6)::DOUBLE AS rate FROM (SELECT unnest(range(4)) AS layer)",
+    "drop_path_rates": "SELECT p_partkey % 4 AS layer, count(*) AS n, round(0.1 * (p_partkey % 4), 6)::DOUBLE AS rate FROM part GROUP BY ALL",
     "scalar_maths": f"""WITH r AS (SELECT c_custkey, c_acctbal / 1000 AS x FROM customer)
       SELECT c_custkey, round({_SMOOTH.format('x')}, 6) AS smooth_l1, round(1 / greatest(abs(x - 1), 0.1), 6) AS relative_error, round(1 / (1 + exp(-x)), 6) AS sigmoid,
              round((greatest(2 * x, 0) + ln(1 + exp(-abs(2 * x)))) / 2, 6) AS softplus, round(greatest(x, 0), 6) AS relu, round(log2(abs(x) + 1), 6) AS width_code FROM r""",
