@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from covlattice.functions import scalar
 from covlattice.functions.text import format_block, shuffle_key, stable_seed
 from covlattice.functions.vocab import CELL_TYPES, TARGET_ORDER, agg_group, cell_code, coverage_index, edge_code, node_code
-from covlattice.operators import batching, coverage, encoder, fusion, gated, geometry, graph, inference, losses, metrics, pairs, simjoin, splits, stats
+from covlattice.operators import batching, coverage, dual, encoder, fusion, gated, geometry, graph, inference, losses, metrics, pairs, simjoin, splits, stats
 from covlattice.plans import adapters as view
 from covlattice.session import cut_lineage
 from covlattice.sources import sinks
@@ -586,6 +586,15 @@ def gcn_propagate(s: SparkSession, d: str) -> DataFrame:
     return made.select("graph", "node", r6(F.get("x", F.lit(0)), "x0"), r6(F.get("x", F.lit(1)), "x1"))
 
 
+@query
+def gcn_layer(s: SparkSession, d: str) -> DataFrame:
+    """A graph convolution with weights over vectors of node type and graph, with GELU, residual and normalisation."""
+    n = view.nodes(s, d).select("graph", "node", F.array(F.col("node_type") / 12, (F.col("graph") + 1) / 8).alias("x"))
+    normed = graph.gcn_norm(graph.valid_edges(view.edges(s, d), n), n)
+    made = dual.gcn_layer(n, normed, _layer(2, 2, 20))
+    return made.select("graph", "node", *[r6(F.get("x", F.lit(k)), f"x{k}") for k in range(2)])
+
+
 @query
 def cell_features(s: SparkSession, d: str) -> DataFrame:
     """Layer-normalised sum of a type's vector and the log width times a weight."""

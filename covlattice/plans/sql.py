@@ -552,3 +552,12 @@ b2 AS (SELECT *, {_gelus("h", 4)} FROM b1),
 b3 AS (SELECT graph, edge_type, e0 + {_weighted(_columns("gh", 4), 2, 18)[0]} AS v0, e1 + {_weighted(_columns("gh", 4), 2, 18)[1]} AS v1 FROM b2),
 b4 AS (SELECT graph, edge_type, (v0 - v1) / 2 / sqrt(((v0 - v1) / 2) ** 2 + 1e-5) AS e FROM b3)
 SELECT graph, edge_type, count(*) AS n, round(avg(e), 6) AS e0, round(avg(-e), 6) AS e1 FROM b4 GROUP BY ALL"""
+ORACLES["gcn_layer"] = _EDGES + f""", f AS (SELECT graph, src, dst FROM valid UNION ALL SELECT graph, node, node FROM nodes),
+deg AS (SELECT graph, dst AS node, count(*) AS d FROM f GROUP BY ALL),
+x AS (SELECT graph, node, node_type / 12.0 AS x0, (graph + 1) / 8.0 AS x1 FROM nodes),
+p AS (SELECT f.graph, f.dst AS node, sum(s.x0 / sqrt(a.d * b.d)) AS a0, sum(s.x1 / sqrt(a.d * b.d)) AS a1
+      FROM f JOIN deg a ON a.graph = f.graph AND a.node = f.src JOIN deg b ON b.graph = f.graph AND b.node = f.dst
+      JOIN x s ON s.graph = f.graph AND s.node = f.src GROUP BY f.graph, f.dst),
+h AS (SELECT graph, node, x0, x1, {_named("h", _weighted(["a0", "a1"], 2, 20))} FROM p JOIN x USING (graph, node)),
+v AS (SELECT graph, node, x0 + {_gelu("h0")} AS v0, x1 + {_gelu("h1")} AS v1 FROM h)
+SELECT graph, node, round((v0 - v1) / 2 / sqrt(((v0 - v1) / 2) ** 2 + 1e-5), 6) AS x0, round((v1 - v0) / 2 / sqrt(((v0 - v1) / 2) ** 2 + 1e-5), 6) AS x1 FROM v"""
