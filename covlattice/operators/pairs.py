@@ -20,7 +20,7 @@ from covlattice.operators.coverage import pair_geometry, plain_geometry, plain_s
 from covlattice.session import cut_lineage
 
 POOL = 256
-TILE = 256
+TILE = 2048
 QUOTAS = {"low": 2, "mid": 1, "high": 1}
 
 

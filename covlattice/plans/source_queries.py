@@ -20,7 +20,7 @@ from covlattice.operators import coverage, graph, pairs, samples
 from covlattice.plans import adapters as view
 from covlattice.session import cut_lineage, shared_path
 from covlattice.sources import cache, datasets, schemas, sinks, store
-from covlattice.streaming import ingest
+from covlattice.streaming import ingest, runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _WRITTEN: dict[tuple[str, str], list[str]] = {}
@@ -258,6 +258,23 @@ def metric_history(s: SparkSession, d: str) -> DataFrame:
     return sinks.latest_metrics(s.read.parquet(path))
 
 
+@query
+def streamed_runs(s: SparkSession, d: str) -> DataFrame:
+    """Metrics and early stopping of runs on a stream that is started twice: epochs 0 to 9, then the rest, from the kept state."""
+    o = view.table(s, d, "orders").select(
+        F.col("o_orderpriority").alias("run"), (F.col("o_orderkey") % 20).cast("int").alias("epoch"),
+        (F.col("o_totalprice") / 100000 * (1 + (F.col("o_custkey") % 7 - 3) / (10 + F.col("o_orderkey") % 20))).alias("pred"),
+        (F.col("o_totalprice") / 100000).alias("target"),
+    )
+    folder = shared_path(s, "runs")
+    for part in (o.where("epoch < 10"), o.where("epoch >= 10")):
+        part.write.mode("append").parquet(f"{folder}/rows")
+        stream = s.readStream.schema(o.schema).parquet(f"{folder}/rows")
+        runs.write_reports(runs.run_reports(stream, patience=2), f"{folder}/reports", f"{folder}/state").awaitTermination()
+    made = s.read.schema(runs.REPORT).parquet(f"{folder}/reports")
+    return made.select("run", "epoch", "n", *[(F.round(c, 6) + 0.0).alias(c) for c in ("mse", "mae", "r2", "best")], "bad", "stop_epoch")
+
+
 @query
 def epoch_pairs(s: SparkSession, d: str) -> DataFrame:
     """Pairs chosen anew for each of two epochs, by seed."""

@@ -51,6 +51,16 @@ ORACLES = {
              CASE WHEN early THEN CASE n % 7 WHEN 1 THEN 'another length' WHEN 2 THEN 'not finite' WHEN 3 THEN 'another checksum' END END AS reason FROM t""",
     "stored_samples": """SELECT c_custkey, c_nationkey, count(o_orderkey) AS n_orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey
       WHERE c_mktsegment = 'BUILDING' GROUP BY ALL""",
+    "streamed_runs": """WITH o AS (
+        SELECT o_orderpriority AS run, (o_orderkey % 20)::INT AS epoch, o_totalprice / 100000 AS t,
+               o_totalprice / 100000 * (1 + (o_custkey % 7 - 3) / (10 + o_orderkey % 20)) - o_totalprice / 100000 AS e FROM orders),
+      m AS (SELECT run, epoch, count(*) AS n, avg(e * e) AS mse, avg(abs(e)) AS mae, 1 - sum(e * e) / (sum(t * t) - sum(t) * sum(t) / count(*)) AS r2 FROM o GROUP BY ALL),
+      b AS (SELECT *, row_number() OVER w AS rn, coalesce(mse < min(mse) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS better
+            FROM m WINDOW w AS (PARTITION BY run ORDER BY epoch)),
+      c AS (SELECT *, (rn - max(CASE WHEN better THEN rn END) OVER w)::INT AS bad, min(mse) OVER w AS best FROM b WINDOW w AS (PARTITION BY run ORDER BY epoch))
+      SELECT run, epoch, n, round(mse, 6) AS mse, round(mae, 6) AS mae, round(r2, 6) AS r2, round(best, 6) AS best, bad,
+             min(CASE WHEN bad >= 2 THEN epoch END) OVER (PARTITION BY run ORDER BY epoch) AS stop_epoch
+      FROM c QUALIFY epoch < max(epoch) OVER (PARTITION BY run)""",
     "metric_history": """WITH c AS (SELECT c_mktsegment AS name, count(*) AS n FROM customer GROUP BY 1)
       SELECT epoch, step, 'val' AS stage, name, (n * scale)::DOUBLE AS value FROM c, (VALUES (0, 10, 1), (1, 30, 4)) AS e(epoch, step, scale)""",
     "epoch_pairs": _epoch(0) + " UNION ALL " + _epoch(1),

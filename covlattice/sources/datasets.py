@@ -7,9 +7,10 @@ dataset.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from covlattice.functions.text import sha_prefix, without_controls
@@ -42,23 +43,11 @@ def read_samples(spark: SparkSession, directory: str) -> DataFrame:
     Versions, required fields and the manifest's total are checked; blank lines
     are skipped; a missing ASM graph is a null path.
     """
-    manifest = read_manifest(spark, directory)
-    if manifest["schema_version"] != schemas.DATASET_VERSION:
-        raise DatasetError(f"{directory}: unsupported manifest version {manifest['schema_version']}")
-    path = f"{directory}/{manifest['samples'] or 'samples.jsonlines'}"
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    rows = lines.select(F.from_json("value", schemas.SAMPLE).alias("s")).select("s.*")
-    facts = rows.agg(
-        F.count("*").alias("n"),
-        F.count_if(~F.coalesce(F.col("schema_version") == schemas.SAMPLE_VERSION, F.lit(False))).alias("versions"),
-        F.count_if(F.col("sample_id").isNull() | F.col("rtl_graph").isNull()).alias("missing"),
-    ).first()
-    if facts["versions"]:
-        raise DatasetError(f"{directory}: {facts['versions']} samples of another version")
-    if facts["missing"]:
-        raise DatasetError(f"{directory}: {facts['missing']} samples without an id or an RTL graph")
-    if manifest["total"] is not None and manifest["total"] != facts["n"]:
-        raise DatasetError(f"{directory}: the manifest counts {manifest['total']} samples, there are {facts['n']}")
+    return read_all_samples(spark, [directory])
+
+
+def _located(rows: DataFrame, directory: str, manifest: dict) -> DataFrame:
+    """Sample rows with dataset_dir, dataset, and the paths of their graphs."""
 
     def inside(p: Column) -> Column:
         absolute = p.startswith("/") | p.rlike("^[A-Za-z][A-Za-z0-9+.-]*:/")
@@ -74,14 +63,58 @@ def read_samples(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def read_all_samples(spark: SparkSession, directories: str | Iterable[str] | None) -> DataFrame:
-    """Samples of all directories under each other."""
-    found = None
-    for directory in dataset_dirs(directories):
-        rows = read_samples(spark, directory)
-        found = rows if found is None else found.unionByName(rows)
-    if found is None:
+    """Samples of all directories under each other, checked as by :func:`read_samples`, in one job for all of them."""
+    listed, rows, facts = _unchecked(spark, directories)
+    _check(listed, rows.agg(*facts).first().asDict())
+    return rows
+
+
+def read_samples_observed(spark: SparkSession, directories: str | Iterable[str] | None) -> tuple[DataFrame, Callable[[], None]]:
+    """The samples, and the check of what was read of them: no job of its own.
+
+    The counts are metrics of the plan that reads the rows; the check waits for
+    the first action over all of them and raises what :func:`read_samples`
+    would have.
+    """
+    listed, rows, facts = _unchecked(spark, directories)
+    seen = Observation()
+    return rows.observe(seen, *facts), lambda: _check(listed, seen.get)
+
+
+def _unchecked(spark: SparkSession, directories: str | Iterable[str] | None) -> tuple[list[dict], DataFrame, list[Column]]:
+    """Manifests, samples of all directories, and what to count of them by directory."""
+    dirs = dataset_dirs(directories)
+    if not dirs:
         raise DatasetError("no dataset directory is given")
-    return found
+    all_ = [spark.read.schema(schemas.MANIFEST).option("multiLine", True).json(f"{x}/manifest.json").withColumn("dir_", F.lit(k)) for k, x in enumerate(dirs)]
+    held = {r["dir_"]: r.asDict() for r in reduce(DataFrame.unionByName, all_).collect()}  # a row for each directory
+    rows, facts, listed = [], [], []
+    for k, x in enumerate(dirs):
+        if k not in held:
+            raise DatasetError(f"{x}: no manifest")
+        manifest = held[k] | {"directory": x}
+        if manifest["schema_version"] != schemas.DATASET_VERSION:
+            raise DatasetError(f"{x}: unsupported manifest version {manifest['schema_version']}")
+        lines = spark.read.text(f"{x}/{manifest['samples'] or 'samples.jsonlines'}").where(F.trim("value") != "")
+        made = lines.select(F.from_json("value", schemas.SAMPLE).alias("s")).select("s.*")
+        rows.append(_located(made, x, manifest))
+        own = F.col("dataset_dir") == x
+        wrong = ~F.coalesce(F.col("schema_version") == schemas.SAMPLE_VERSION, F.lit(False))
+        lacking = F.col("sample_id").isNull() | F.col("rtl_graph").isNull()
+        facts += [F.count_if(own).alias(f"n{k}"), F.count_if(own & wrong).alias(f"versions{k}"), F.count_if(own & lacking).alias(f"missing{k}")]
+        listed.append(manifest)
+    return listed, reduce(DataFrame.unionByName, rows), facts
+
+
+def _check(listed: list[dict], facts: dict[str, int]) -> None:
+    for k, manifest in enumerate(listed):
+        x, n = manifest["directory"], facts[f"n{k}"]
+        if facts[f"versions{k}"]:
+            raise DatasetError(f"{x}: {facts[f'versions{k}']} samples of another version")
+        if facts[f"missing{k}"]:
+            raise DatasetError(f"{x}: {facts[f'missing{k}']} samples without an id or an RTL graph")
+        if manifest["total"] is not None and manifest["total"] != n:
+            raise DatasetError(f"{x}: the manifest counts {manifest['total']} samples, there are {n}")
 
 
 def graph_key(path: Column) -> Column:
