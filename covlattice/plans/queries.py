@@ -13,7 +13,7 @@ from covlattice.functions.text import format_block, shuffle_key, stable_seed
 from covlattice.functions.vocab import CELL_TYPES, TARGET_ORDER, agg_group, cell_code, coverage_index, edge_code, node_code
 from covlattice.operators import batching, coverage, dual, encoder, fusion, gated, geometry, graph, inference, losses, metrics, pairs, simjoin, splits, stats
 from covlattice.plans import adapters as view
-from covlattice.session import cut_lineage
+from covlattice.session import cut_lineage, written_once
 from covlattice.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,7 +36,7 @@ def _sigs(s: SparkSession, d: str) -> DataFrame:
 
 
 def _sig_table(s: SparkSession, d: str) -> DataFrame:
-    return cut_lineage(_sigs(s, d))
+    return written_once(_sigs(s, d), "signatures")
 
 
 # --- coverage sets ----------------------------------------------------------------------------

@@ -39,6 +39,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
+
+    A checkpoint makes its rows twice, once to count and once to write them;
+    this makes them once, for plans that cost more than their rows.  The table
+    stays when the session ends.
+    """
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
