@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from covlattice.functions.text import cache_fingerprint
 from covlattice.functions.vocab import TARGET_ORDER
-from covlattice.operators import coverage, graph, pairs, samples
+from covlattice.operators import coverage, graph, pairs, ringpairs, samples
 from covlattice.plans import adapters as view
-from covlattice.session import cut_lineage, shared_path
+from covlattice.session import shared_path, written_once
 from covlattice.sources import cache, datasets, schemas, sinks, store
 from covlattice.streaming import ingest, runs
 
@@ -284,11 +284,10 @@ def streamed_runs(s: SparkSession, d: str) -> DataFrame:
 @query
 def epoch_pairs(s: SparkSession, d: str) -> DataFrame:
     """Pairs chosen anew for each of two epochs, by seed."""
-    sigs, found = cut_lineage(coverage.signatures(view.coverage(s, d))), []
+    sigs, found = written_once(coverage.signatures(view.coverage(s, d)), "signatures"), []
     for epoch in range(2):
         seed = str(epoch)
-        near = pairs.with_geometry(pairs.informative_pairs(sigs, seed), sigs).select("module", "anchor", "candidate", "similarity")
-        chosen = pairs.select_pairs(pairs.relative_strata(near, seed), seed=seed)
+        chosen = ringpairs.select_pairs(ringpairs.ranked_candidates(sigs, seed), seed)
         found.append(chosen.select(F.lit(epoch).alias("epoch"), "module", "sample_a", "sample_b", "anchor", "stratum"))
     return found[0].unionByName(found[1])
 
