@@ -98,6 +98,50 @@ def _runs(ring: DataFrame, values: Column) -> DataFrame:
     return sent.select("module", F.col("t.run").alias("run"), F.col("t.q").alias("q"), F.col("t.own").alias("own"), "sample", "alone", "hot", "v")
 
 
+def _each_run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of a run at a time; each begins with q = 0."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        first = np.flatnonzero(batch.column("q").to_numpy() == 0).tolist()
+        for low, high in zip([0, *first], [*first, batch.num_rows]):
+            if low in first and held:
+                yield held
+                held = []
+            if high > low:
+                held.append(batch.slice(low, high - low))
+    if held:
+        yield held
+
+
+def _sent(ring: DataFrame, values: Column) -> DataFrame:
+    parts = int(ring.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _runs(ring, values).repartition(parts, "module", "run").sortWithinPartitions("module", "run", "q")
+
+
+def candidate_pairs(samples: DataFrame, seed: str = "0", pool: int = pairs.POOL) -> DataFrame:
+    """:func:`covlattice.operators.pairs.candidate_pairs`: (module, anchor, candidate), made within runs of the ring."""
+    if not 0 < pool <= AFTER:
+        raise ValueError("a pool lies within the places after a run")
+    ring = pairs.ring_positions(samples.select("module", "sample"), seed).withColumns({"alone": F.lit(True), "hot": F.lit(False)})
+    kinds = {f.name: f.dataType.simpleString() for f in samples.select("module", "sample").schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _each_run(batches):
+            rows = pa.Table.from_batches(held).combine_chunks()
+            module, sample = rows.column("module")[0], rows.column("sample").combine_chunks()
+            own = int(rows.column("own").to_numpy(zero_copy_only=False).sum())
+            reach = min(pool, len(rows) - own)
+            for low in range(0, own if reach else 0, STEP):
+                i = np.repeat(np.arange(low, min(own, low + STEP)), reach)
+                j = i + np.tile(np.arange(1, reach + 1), len(i) // reach)
+                yield pa.RecordBatch.from_arrays([pa.repeat(module, len(i)), sample.take(pa.array(i)), sample.take(pa.array(j))], names=["module", "anchor", "candidate"])
+
+    sent = _sent(ring, F.array(F.lit(0).cast("bigint")))
+    return sent.mapInArrow(run, f"module {kinds['module']}, anchor {kinds['sample']}, candidate {kinds['sample']}")
+
+
 def ranked_candidates(sigs: DataFrame, seed: str = "0", pool: int = pairs.POOL) -> DataFrame:
     """(module, anchor, contested, ranked): the candidates of every sample by similarity, ties in hash order.
 
@@ -125,8 +169,7 @@ def ranked_candidates(sigs: DataFrame, seed: str = "0", pool: int = pairs.POOL)
         ring = ring.withColumn("hot", F.lit(False))
     sig = F.col("sig")
     values = F.concat(F.transform(sig, lambda s: s["n"].cast("long")), F.transform(sig, lambda s: s["c"].cast("long")), F.flatten(F.transform(sig, lambda s: s["words"])))
-    parts = int(sigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = _runs(ring, values).repartition(parts, "module", "run").sortWithinPartitions("module", "run", "q")
+    sent = _sent(ring, values)
     kind = sigs.schema["sample"].dataType.simpleString()
     schema = f"module {sigs.schema['module'].dataType.simpleString()}, anchor {kind}, ranked array<struct<candidate: {kind}, similarity: double>>"
     types = len(pairs.GEOMETRY_ORDER)
@@ -145,18 +188,7 @@ def ranked_candidates(sigs: DataFrame, seed: str = "0", pool: int = pairs.POOL)
             yield made.filter(pa.array((counts > 0) & ~skipped[low : low + len(counts)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            first = np.flatnonzero(batch.column("q").to_numpy() == 0).tolist()
-            for low, high in zip([0, *first], [*first, batch.num_rows]):
-                if low in first and held:
-                    yield from one(held)
-                    held = []
-                if high > low:
-                    held.append(batch.slice(low, high - low))
-        if held:
+        for held in _each_run(batches):
             yield from one(held)
 
     found = sent.mapInArrow(run, schema)

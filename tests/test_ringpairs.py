@@ -51,3 +51,9 @@ def test_ranks_round_as_spark_does(spark):
     values = [0.0009765625, 0.5, 1 / 3, 0.1234567885, 0.1234567895, 2.5e-9, 1.0]
     want = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(F.round("x", 9)).collect()]
     assert [float(x) / 1e9 for x in ringpairs.nano(__import__("numpy").array(values))] == pytest.approx(want, abs=1e-13)
+
+
+def test_candidates_within_runs(sigs):
+    samples = sigs.select("module", "sample")
+    for pool in (5, 20):
+        assert listed(ringpairs.candidate_pairs(samples, "1", pool)) == listed(pairs.candidate_pairs(samples, "1", pool))
