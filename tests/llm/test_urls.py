@@ -195,3 +195,39 @@ def test_joins_by_shuffle_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT_KEYS", 5)
     test_tokens_of_one_name_all_count(spark)
     test_mined_rules_block_what_labels_show(spark)
+
+
+def mixtures():
+    """Twelve tokens in most mixtures: more combinations than are listed; two rare rules of several tokens."""
+    r = random.Random(7)
+    rows = [([f"w{k}" for k in range(12) if r.random() < 0.9], r.random() < 0.43) for _ in range(416)] + [(["x"], False)] * 600
+    rows += [(["left", "right"], True)] * 7 + [(["left", "w1"], False)] * 20 + [(["right", "w2"], False)] * 20
+    return rows
+
+
+def minimal(rules):
+    return {r for r in rules if not any(set(q) < set(r) for q in rules)}
+
+
+@pytest.mark.parametrize("searched", [1 << 18, 40])
+def test_no_rule_is_lost_where_combinations_are_many(spark, monkeypatch, searched):
+    """Rules of few bad URLs are found beside more combinations than FP-growth may list."""
+    monkeypatch.setattr(urls, "SEARCHED", searched)
+    rows = mixtures()
+    labelled = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    rules, _ = urls.mine_rules(labelled, combinations=64)
+    got = {tuple(sorted(x.tokens)): (x.n, x.confidence) for x in rules.collect()}
+    want = mined_by_brute_force(rows)
+    assert ("left", "right") in got and any(len(t) > 2 for t in got)
+    assert set(got) == minimal(want)
+    for tokens, (n, confidence) in got.items():
+        has = [b for t, b in rows if set(tokens) <= set(t)]
+        assert (n, confidence) == (len(has), sum(has) / len(has))
+
+
+def test_rules_do_not_change_with_what_is_listed(spark):
+    r = random.Random(3)
+    rows = [([f"t{x}" for x in range(14) if r.random() < 0.5], r.random() < 0.3) for _ in range(250)]
+    labelled = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    few, all_ = ({(tuple(x.tokens), x.n) for x in urls.mine_rules(labelled, combinations=c)[0].collect()} for c in (16, 1 << 30))
+    assert few == all_ and len(all_) > 3
