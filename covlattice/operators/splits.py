@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covlattice.functions.text import shuffle_key
+from covlattice.operators.joins import join_counted
 from covlattice.operators.order import running_total
-from covlattice.session import cut_lineage
+from covlattice.session import cut_lineage, tasks_for, written_once
 
 
 def stimulus_groups(samples: DataFrame) -> DataFrame:
@@ -55,17 +56,18 @@ def sequential_split(samples: DataFrame, val_fraction: float = 0.1, seed: int =
         raise ValueError("there are no samples to split")
     target = max(1, int(total * val_fraction))
     order = ["h", "test_id"]
-    per = cut_lineage(samples.groupBy("test_id", "module").agg(F.count("*").alias("n")).withColumn("h", shuffle_key(F.lit(seed), F.col("test_id"))))
-    sizes = cut_lineage(per.groupBy("module").agg(F.sum("n").alias("rows")))
+    per = written_once(samples.groupBy("test_id", "module").agg(F.count("*").alias("n")).withColumn("h", shuffle_key(F.lit(seed), F.col("test_id"))), "stimuli")
+    parts = tasks_for(per)
+    sizes = cut_lineage(per.groupBy("module").agg(F.sum("n").alias("rows"), F.count("*").alias("w_")))
     passed = per.select("test_id").limit(0)
     while True:
         gone = passed.withColumn("gone", F.lit(True))
         held = per.join(gone, "test_id", "left").withColumn("taken", F.when(F.col("gone"), F.lit(0).cast("long")).otherwise(F.col("n")))
-        by_module = running_total(held, order, "taken", "earlier", ["module"]).join(sizes, "module")
-        empties = by_module.groupBy(*order).agg(
+        by_module = join_counted(running_total(held, order, "taken", "earlier", ["module"]), sizes, ["module"], "w_")
+        empties = by_module.repartition(parts, *order).groupBy(*order).agg(
             F.bool_or(F.col("earlier") + F.col("n") >= F.col("rows")).alias("empties"), F.sum("taken").alias("taken")
         )
-        placed = cut_lineage(running_total(empties, order, "taken", "before"))
+        placed = written_once(running_total(empties, order, "taken", "before"), "placed")
         reached = placed.where(F.col("before") < target)
         now = cut_lineage(reached.where("empties").select("test_id"))
         known = passed.join(reached, "test_id", "left_semi")
