@@ -17,6 +17,7 @@ from covlattice.functions.scalar import softmax_row
 from covlattice.functions.vocab import EDGE_TYPES, NODE_TYPES, asm_edge_code, asm_node_code, cell_code, edge_code, node_code
 from covlattice.functions.text import format_block
 from covlattice.operators.joins import join_counted
+from covlattice.session import tasks_for, written_once
 
 _DATA, _TRUE, _FALSE, _CONTROL, _CLOCK, _RESET, _ENABLE = range(len(EDGE_TYPES))
 
@@ -55,11 +56,11 @@ def mark_valid(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges whose ends both exist: two semi joins."""
-    known = nodes.select("graph", "node")
-    return edges.join(known.withColumnRenamed("node", "src"), ["graph", "src"], "left_semi").join(
-        known.withColumnRenamed("node", "dst"), ["graph", "dst"], "left_semi"
-    )
+    """Edges whose ends both exist: two semi joins, of as many tasks as the counted edges need."""
+    known, parts = nodes.select("graph", "node"), tasks_for(edges)
+    for end in ("src", "dst"):
+        edges = edges.repartition(parts, "graph", end).join(known.withColumnRenamed("node", end), ["graph", end], "left_semi")
+    return edges
 
 
 def asm_nodes(graphs: DataFrame) -> DataFrame:
@@ -255,20 +256,41 @@ def routed_aggregate(
     return met.select("graph", F.col("dst").alias("node"), "node_type", "out")
 
 
+def _with_degrees(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Written edges (graph, src, dst) with a loop at every node, (graph, node, d) of what is met by any, and the tasks for both."""
+    loops = nodes.select("graph", F.col("node").alias("src"), F.col("node").alias("dst"))
+    full = written_once(edges.select("graph", "src", "dst").unionByName(loops), "looped_edges")
+    deg = full.groupBy("graph", F.col("dst").alias("node")).agg(F.count("*").alias("d"))
+    return full, written_once(deg, "degrees"), tasks_for(full)  # written, or edges would be shuffled into as few tasks as the degrees
+
+
+def _at_both(full: DataFrame, src: DataFrame, dst: DataFrame, parts: int) -> DataFrame:
+    """``full`` with the columns of ``src`` and ``dst`` (graph, node, ...) at its ends; it is left in parts by target."""
+    met = full.repartition(parts, "graph", "src").join(src.withColumnRenamed("node", "src"), ["graph", "src"])
+    return met.repartition(parts, "graph", "dst").join(dst.withColumnRenamed("node", "dst"), ["graph", "dst"])
+
+
+_NORM = "1 / sqrt(d_src * d_dst)"
+
+
 def gcn_norm(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges and a loop at every node with ``norm`` = 1 / sqrt(d_src d_dst), degrees counting the loops."""
-    loops = nodes.select("graph", F.col("node").alias("src"), F.col("node").alias("dst"))
-    full = edges.select("graph", "src", "dst").unionByName(loops)
-    deg = full.groupBy("graph", "dst").agg(F.count("*").alias("d"))
-    a = deg.select("graph", F.col("dst").alias("src"), F.col("d").alias("d_src"))
-    b = deg.select("graph", "dst", F.col("d").alias("d_dst"))
-    return full.join(a, ["graph", "src"]).join(b, ["graph", "dst"]).select("graph", "src", "dst", (1 / F.sqrt(F.col("d_src") * F.col("d_dst"))).alias("norm"))
+    full, deg, parts = _with_degrees(edges, nodes)
+    met = _at_both(full, deg.withColumnRenamed("d", "d_src"), deg.withColumnRenamed("d", "d_dst"), parts)
+    return met.select("graph", "src", "dst", F.expr(_NORM).alias("norm"))
 
 
 def gcn_propagate(edges: DataFrame, features: DataFrame) -> DataFrame:
-    """One normalised propagation: (graph, node, x) to the same, x a vector."""
-    messages = gather(gcn_norm(edges, features), features)
-    scaled = messages.withColumn("x", F.transform("x", lambda v: v * F.col("norm")))
+    """One normalised propagation: (graph, node, x) to the same, x a vector.
+
+    Edges meet what is known of their source at once, its degree and its vector,
+    and are summed where they have met the degree of their target.
+    """
+    features = written_once(features.select("graph", "node", "x"), "features")
+    full, deg, parts = _with_degrees(edges, features)
+    sources = features.join(deg.withColumnRenamed("d", "d_src"), ["graph", "node"])
+    met = _at_both(full, sources, deg.withColumnRenamed("d", "d_dst"), parts)
+    scaled = met.select("graph", "dst", F.transform("x", lambda v: v * F.expr(_NORM)).alias("x"))
     return vector_sum(scaled, ["graph", "dst"]).select("graph", F.col("dst").alias("node"), "x")
 
 
