@@ -14,6 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Accumulators that a task holds before it sends them on.
@@ -54,13 +55,21 @@ class Layout(NamedTuple):
         )
 
 
-def _runs(keys: list[tuple]) -> np.ndarray:
-    return np.array([k for k in range(len(keys)) if k == 0 or keys[k] != keys[k - 1]], np.int64)
+def _codes(columns: list[pa.Array]) -> np.ndarray:
+    """A number for each row that rows of the same keys share; a null is a key as well."""
+    out = np.zeros(len(columns[0]), np.int64)
+    for column in columns:
+        coded = pc.dictionary_encode(column, null_encoding="encode")
+        out = np.unique(out * max(1, len(coded.dictionary)) + coded.indices.to_numpy(), return_inverse=True)[1]
+    return out
 
 
-def _rows(keys: list[tuple], types: list[pa.DataType], names: list[str], acc: np.ndarray) -> pa.RecordBatch:
+def _starts(codes: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
+
+
+def _rows(columns: list[pa.Array], names: list[str], acc: np.ndarray) -> pa.RecordBatch:
     ends = pa.array(np.arange(len(acc) + 1, dtype=np.int32) * acc.shape[1])
-    columns = [pa.array(c, t) for c, t in zip(zip(*keys), types)]
     return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, pa.array(acc.ravel()))], names=[*names, "acc"])
 
 
@@ -71,42 +80,44 @@ def accumulate(rows: DataFrame, keys: list[str], layout: Layout, parts: Callable
     """
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
 
+    def merged(columns: list[pa.Array], acc: np.ndarray) -> tuple[list[pa.Array], np.ndarray]:
+        codes = _codes(columns)
+        order = np.argsort(codes, kind="stable")
+        starts = _starts(codes[order])
+        return [c.take(pa.array(order[starts])) for c in columns], layout.merge(acc[order], starts)
+
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, np.ndarray] = {}
-        types = None
+        held: list[tuple[list[pa.Array], np.ndarray]] = []
         for batch in batches:
-            types = [batch.column(k).type for k in keys]
-            acc, of = parts(batch), list(zip(*(batch.column(k).to_pylist() for k in keys)))
-            order = np.array(sorted(range(len(of)), key=lambda x: repr(of[x])), np.int64)
-            of = [of[x] for x in order]
-            starts = _runs(of)
-            merged = layout.merge(acc[order], starts) if len(of) else acc
-            for s, row in zip(starts, merged):
-                before = held.get(of[s])
-                held[of[s]] = row if before is None else layout.merge(np.stack([before, row]), np.zeros(1, np.int64))[0]
-            if len(held) > HELD:
-                yield _rows(list(held), types, keys, np.stack(list(held.values())))
-                held = {}
-        if held:
-            yield _rows(list(held), types, keys, np.stack(list(held.values())))
+            if not batch.num_rows:
+                continue
+            held.append(merged([batch.column(k) for k in keys], parts(batch)))
+            if sum(len(acc) for _, acc in held) > 2 * HELD:
+                if len(held) > 1:
+                    held = [merged([pa.concat_arrays(c) for c in zip(*(columns for columns, _ in held))], np.concatenate([acc for _, acc in held]))]
+                if len(held[0][1]) > HELD:
+                    yield _rows(held[0][0], keys, held[0][1])
+                    held = []
+        for columns, acc in held:
+            yield _rows(columns, keys, acc)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # a key whose rows may go on in the next batch
-        types = None
+        last: tuple[list[pa.Array], np.ndarray] | None = None  # a key whose rows may go on in the next batch
         for batch in batches:
-            types = [batch.column(k).type for k in keys]
-            of = list(zip(*(batch.column(k).to_pylist() for k in keys)))
-            acc = batch.column("acc").flatten().to_numpy(zero_copy_only=False).reshape(len(of), layout.width)
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k) for k in keys]
+            acc = batch.column("acc").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, layout.width)
             if last:
-                of, acc = [last[0], *of], np.concatenate([last[1], acc])
-            starts = _runs(of)
-            merged = layout.merge(acc, starts)
-            done = [of[s] for s in starts]
-            last = done[-1], merged[-1:]
-            if len(done) > 1:
-                yield _rows(done[:-1], types, keys, merged[:-1])
+                columns = [pa.concat_arrays([a, b]) for a, b in zip(last[0], columns)]
+                acc = np.concatenate([last[1], acc])
+            starts = _starts(_codes(columns))
+            columns, acc = [c.take(pa.array(starts)) for c in columns], layout.merge(acc, starts)
+            last = [c.slice(len(c) - 1) for c in columns], acc[-1:]
+            if len(acc) > 1:
+                yield _rows([c.slice(0, len(c) - 1) for c in columns], keys, acc[:-1])
         if last:
-            yield _rows([last[0]], types, keys, last[1])
+            yield _rows(*last[:1], keys, last[1])
 
     begun = rows.mapInArrow(begin, f"{kinds}, acc array<double>")
     return begun.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merge, f"{kinds}, acc array<double>")

@@ -9,7 +9,8 @@ few rows for each task.  Nodes then route their sums by type.
 
 Layers follow each other as supersteps: node and edge state are written between
 them, and a layer shuffles the edges once to meet their sources and the
-accumulators once to meet their targets.
+accumulators once to meet their targets.  The edges after the last layer are a
+plan: who asks for the nodes only does not make them.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from covlattice.functions.vocab import AGG_GROUPS, EDGE_TYPES, NODE_TYPES
 from covlattice.operators.accumulate import Layout, accumulate
 from covlattice.operators.encoder import Dense
-from covlattice.session import cut_lineage
+from covlattice.session import written_once
 
 _DATA, _TRUE, _FALSE, _CONTROL, _CLOCK, _RESET, _ENABLE = range(len(EDGE_TYPES))
 
@@ -181,9 +182,10 @@ def gated_layers(nodes: DataFrame, edges: DataFrame, layers: list[GatedWeights])
     no node are not part of the graph.
     """
     edges = edges.select("graph", "src", "dst", "edge_type", "target_port", F.col("e").cast("array<double>").alias("e"))
-    state = cut_lineage(at_source(edges, nodes))
-    nodes = nodes.select("graph", "node", "node_type", F.col("x").cast("array<double>").alias("x"))
+    nodes = written_once(nodes.select("graph", "node", "node_type", F.col("x").cast("array<double>").alias("x")), "nodes")
+    state = at_source(edges, nodes)
     for w in layers:
-        nodes = cut_lineage(update_nodes(nodes, accumulated_messages(state, w), w))
-        state = cut_lineage(update_edges(at_source(state.drop("x"), nodes), w))
+        state = written_once(state, "edges")  # read for messages and for the update
+        nodes = written_once(update_nodes(nodes, accumulated_messages(state, w), w), "nodes")
+        state = update_edges(at_source(state.drop("x"), nodes), w)
     return nodes, state.drop("x")
